@@ -9,6 +9,11 @@ from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
 from .quality_rules import STOP_WORDS, quality_rules
+from .simhash import simhash_groups
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +71,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM x GROUP BY doc_id"""
 
-QUERIES = {"op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_simhash": op1_simhash, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup}
 SQL = {"op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
