@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
+from .quality_model import score_quality
 from .quality_rules import STOP_WORDS, quality_rules
 from .simhash import simhash_groups
 
@@ -21,6 +22,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return score_quality(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -76,5 +82,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM x GROUP BY doc_id"""
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_simhash": op1_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_model": op6_quality_model, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup}
 SQL = {"op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
