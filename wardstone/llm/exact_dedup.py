@@ -61,6 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     again = flagged.where("suspect").select("doc_id", "chars", "text_sha256")
     groups = again.groupBy("text_sha256").agg(F.min_by("doc_id", _best(F.col("chars"), F.col("doc_id"))).alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stored(groups, "groups")  # a written table, so that the join's own exchange can split a hot group
     met = again.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
@@ -78,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = tagged.withColumn("__ws_again", suspected(tagged, "__ws_hash", docs.count(), max_bytes))
     again = marked.where("__ws_again")
     best = _best(F.length(text_of(text_col)), F.col(id_col))
-    winners = again.groupBy(F.col("__ws_sha").alias("__ws_win")).agg(F.min(best).alias("__ws_best"))
+    winners = stored(again.groupBy(F.col("__ws_sha").alias("__ws_win")).agg(F.min(best).alias("__ws_best")), "winners")
     met = again.join(winners, (F.col("__ws_sha") == F.col("__ws_win")) & best.eqNullSafe(F.col("__ws_best")), "left_semi")
     extra = ("__ws_sha", "__ws_hash", "__ws_again")
     return marked.where("not __ws_again").drop(*extra).unionByName(met.dropDuplicates(["__ws_sha"]).drop(*extra))
