@@ -81,6 +81,7 @@ def line_dedup(
 
     keys = stored(some.select(F.col(id_col).alias("id"), F.explode(suspected(text)).alias("key")).distinct(), "lines")
     counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
+    counted = stored(counted, "counted")  # a written table, so that the join's own exchange can split a hot key
     drops = keys.join(counted, "key").where(F.col("id") < F.col("last"))
     drops = drops.groupBy(F.col("id").alias("__ws_id")).agg(F.collect_list("key").alias("__ws_drops"))
 
