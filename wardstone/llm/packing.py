@@ -28,13 +28,13 @@ from .common import stored, text_of
 CAPACITY = 2048
 #: Word chunks whose ids a task remembers.
 REMEMBERED = 200_000
-#: Plan rows that are broadcast (under 100 bytes each); a longer plan is joined by a shuffle.
+#: Plan rows that are broadcast (under 100 bytes each); a plan has a few rows for each length that occurs.
 PLAN_ROWS = 100_000
 
 
 @lru_cache(maxsize=2)
 def encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ranks file; special tokens in a text are ordinary text."""
+    """The byte-level BPE of a ranks file."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -45,10 +45,11 @@ class Encoder:
 
     The vocabulary's pattern always ends a token before a space that follows a character which is no white space, so
     such chunks can be encoded alone, and those seen before are remembered. Texts with a space after white space are
-    encoded whole.
+    encoded whole. The vocabulary's end mark is one id wherever it stands in a text, as its tokenizer file has it.
     """
 
     _GAP = re.compile(r"\s ")
+    MARK, MARK_ID = "<|endoftext|>", 50256
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.encoding, self.known, self.remembered = encoding(path), {}, remembered
@@ -57,6 +58,8 @@ class Encoder:
         return b"".join(i.to_bytes(4, "little") for i in self.encoding.encode_ordinary(chunk))
 
     def __call__(self, text: str) -> bytes:
+        if self.MARK in text:
+            return self.MARK_ID.to_bytes(4, "little").join(self(part) if part else b"" for part in text.split(self.MARK))
         if self._GAP.search(text):
             return self._encode(text)
         first, *rest = text.split(" ")
@@ -166,14 +169,16 @@ def best_fit_packing(
     by_length = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # ``capacity`` rows at most
     rows = plan(by_length, capacity)
     slots = docs.sparkSession.createDataFrame(
-        pd.DataFrame(rows, columns=["length", "first_rank", "ranks", "each", "first_sequence", "at"], dtype="int64"),
-        "length long, first_rank long, ranks long, each long, first_sequence long, at long",
+        [(n, [x[1:] for x in rows if x[0] == n]) for n in by_length],
+        "length long, slots array<struct<first_rank: long, ranks: long, each: long, first_sequence: long, at: long>>",
     )
     ranked = cut.join(bases.select("length", "part", "base"), ["length", "part"]).withColumn("place", F.col("base") + F.col("rank"))
+    # at most ``capacity`` rows, and at most PLAN_ROWS slots in them, or else a join that Spark plans by size
     placed = ranked.join(F.broadcast(slots) if len(rows) <= PLAN_ROWS else slots, "length")
-    turn = F.col("place") - F.col("first_rank")
-    return placed.where((turn >= 0) & (turn < F.col("ranks"))).select(
+    mine = lambda s: (s["first_rank"] <= F.col("place")) & (F.col("place") < s["first_rank"] + s["ranks"])
+    placed = placed.withColumn("slot", F.get(F.filter("slots", mine), 0)).withColumn("turn", F.col("place") - F.col("slot.first_rank"))
+    return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("first_sequence") + F.floor(turn / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + turn % F.col("each") * F.col("length")).alias("offset"),
+        (F.col("slot.first_sequence") + F.floor(F.col("turn") / F.col("slot.each"))).cast("long").alias("sequence_id"),
+        (F.col("slot.at") + F.col("turn") % F.col("slot.each") * F.col("length")).alias("offset"),
     )
