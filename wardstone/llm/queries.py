@@ -12,12 +12,19 @@ from .packing import best_fit_packing
 from .quality_model import score_quality
 from .quality_rules import STOP_WORDS, quality_rules
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_array_dedup
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -82,5 +89,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM x GROUP BY doc_id"""
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_model": op6_quality_model, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality_model": op6_quality_model,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
+}
 SQL = {"op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
