@@ -9,7 +9,9 @@ from .common import table
 from .exact_dedup import exact_groups
 from .html_extract import extract_pages
 from .line_dedup import line_dedup
+from .lm_scoring import lm_scores
 from .packing import best_fit_packing
+from .piece_sampling import decode_pieces, sample_pieces
 from .quality_model import score_quality
 from .quality_rules import STOP_WORDS, quality_rules
 from .simhash import simhash_groups
@@ -20,6 +22,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sample_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decode_pieces(rows).select(
+        "doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
@@ -30,6 +40,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return score_quality(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
@@ -96,8 +110,10 @@ FROM x GROUP BY doc_id"""
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_piece_sampling": op2_piece_sampling,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_model": op6_quality_model,
     "op7_html_extract": op7_html_extract,
     "op8_quality_rules": op8_quality_rules,
