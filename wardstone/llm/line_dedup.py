@@ -13,25 +13,26 @@ from pyspark.sql import functions as F
 from .bloom import MAX_BYTES, SENT_SCHEMA, repeat_filter, segment_count, sent
 from .common import ASCII_SPACE, stored, text_of
 
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_SPACE = ASCII_SPACE.encode()
 
 
-def line_key(line: str) -> str:
-    """The line without white space of ASCII at both ends, A-Z lower-cased."""
-    return line.strip(ASCII_SPACE).translate(_LOWER)
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
-def _keys(text: str, least: int) -> list[str]:
+def line_key(line: bytes) -> bytes:
+    """The UTF-8 line without white space of ASCII at both ends, A-Z lower-cased."""
+    return line.strip(_SPACE).lower()
+
+
+def _keys(text: str, least: int) -> list[bytes]:
     """The distinct keys of a text that have at least ``least`` code points."""
-    if text.isascii():
-        found = {x.strip(ASCII_SPACE) for x in text.lower().split("\n")}
-    else:
-        found = {line_key(x) for x in text.split("\n")}
-    return [k for k in found if len(k) >= least]
+    found = {x.strip(_SPACE) for x in _raw(text).lower().split(b"\n")}
+    return [k for k in found if len(k) >= 4 * least or len(k) >= least and len(k.decode("utf-8", "surrogatepass")) >= least]
 
 
-def _hashes(keys: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys)).view(np.int64)
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys)).view(np.int64)
 
 
 def line_dedup(
@@ -56,13 +57,13 @@ def line_dedup(
 
     held = repeat_filter(some.select(text.alias("t")).mapInPandas(send, SENT_SCHEMA), segments)
 
-    def found(texts: pd.Series) -> list[list[str]]:
+    def found(texts: pd.Series) -> list[list[bytes]]:
         keys = [_keys(t, min_chars) for t in texts]
         flags = held.suspects(_hashes([k for each in keys for k in each]))
         ends = np.cumsum([0, *map(len, keys)])
         return [[k for k, s in zip(each, flags[a:b]) if s] for each, a, b in zip(keys, ends, ends[1:])]
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<binary>")
     def suspected(texts: pd.Series) -> pd.Series:
         return pd.Series(found(texts))
 
@@ -74,9 +75,9 @@ def line_dedup(
     def without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
         out = []
         for t, d in zip(texts, drops):
-            gone, lines = set(d), t.split("\n")
+            gone, lines = set(d), _raw(t).split(b"\n")
             left = [x for x in lines if line_key(x) not in gone]
-            out.append(("\n".join(left), len(lines) - len(left)))
+            out.append((b"\n".join(left).decode("utf-8", "surrogatepass"), len(lines) - len(left)))
         return pd.DataFrame(out, columns=["text", "n_dropped"])
 
     keys = stored(some.select(F.col(id_col).alias("id"), F.explode(suspected(text)).alias("key")).distinct(), "lines")
@@ -89,6 +90,6 @@ def line_dedup(
     flagged = base.withColumn("__ws_any", any_suspected(text))
     plain = flagged.where("not __ws_any").drop("__ws_any").withColumn(text_col, text).withColumn("n_dropped", F.lit(0).cast("long"))
     met = flagged.where("__ws_any").drop("__ws_any").join(drops, F.col(id_col) == F.col("__ws_id"), "left")
-    met = met.withColumn("__ws_out", without(text, F.coalesce("__ws_drops", F.array().cast("array<string>"))))
+    met = met.withColumn("__ws_out", without(text, F.coalesce("__ws_drops", F.array().cast("array<binary>"))))
     met = met.withColumn(text_col, F.col("__ws_out.text")).withColumn("n_dropped", F.col("__ws_out.n_dropped"))
     return plain.unionByName(met.drop("__ws_out", "__ws_drops", "__ws_id"))
