@@ -1,4 +1,6 @@
 """All registered queries of the engine and their oracle SQL."""
 
-QUERIES = {}
-SQL = {}
+from . import access, histories, reads  # noqa: F401  each registers its queries
+
+QUERIES = {**reads.QUERIES}
+SQL = {**reads.SQL}
