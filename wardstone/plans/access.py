@@ -198,20 +198,20 @@ query("A19_grant_expiry_errors", "select capability_grant_id, case when expires_
 
 # --- validity at an instant -------------------------------------------------------------------------------------------
 
-_flag = lambda key, table, id_, sql, column: query(key, f"select {id_}, {sql} as flag from {table}")(lambda m: getattr(m, table).select(id_, column.alias("flag")))
-_flag("T1_membership_active", "memberships", "membership_id", f"({_MEMBER})", t.membership_active(t.instant(AS_OF)))
-_flag("T2_grant_active", "capability_grants", "capability_grant_id", f"({_GRANT})", t.grant_active(t.instant(AS_OF)))
-_flag("T3_grant_expired", "capability_grants", "capability_grant_id", f"not ({_GRANT})", ~t.grant_active(t.instant(AS_OF)))
-_flag("T4_grant_active_stored", "capability_grants", "capability_grant_id", f"({_STORED})", t.grant_active_stored(t.instant(AS_OF)))
+_flag = lambda key, table, id_, sql, column: query(key, f"select {id_}, {sql} as flag from {table}")(lambda m: getattr(m, table).select(id_, column().alias("flag")))
+_flag("T1_membership_active", "memberships", "membership_id", f"({_MEMBER})", lambda: t.membership_active(t.instant(AS_OF)))
+_flag("T2_grant_active", "capability_grants", "capability_grant_id", f"({_GRANT})", lambda: t.grant_active(t.instant(AS_OF)))
+_flag("T3_grant_expired", "capability_grants", "capability_grant_id", f"not ({_GRANT})", lambda: ~t.grant_active(t.instant(AS_OF)))
+_flag("T4_grant_active_stored", "capability_grants", "capability_grant_id", f"({_STORED})", lambda: t.grant_active_stored(t.instant(AS_OF)))
 _EXPIRED = f"({_SAT} >= idle_expires_at or {_SAT} >= absolute_expires_at)"
-_flag("T5_session_active", "sessions", "session_id", f"revoked_at is null and not {_EXPIRED}", t.session_active(t.instant(SESSION_AT)))
-_flag("T6_session_expired", "sessions", "session_id", _EXPIRED, t.session_expired(t.instant(SESSION_AT)))
+_flag("T5_session_active", "sessions", "session_id", f"revoked_at is null and not {_EXPIRED}", lambda: t.session_active(t.instant(SESSION_AT)))
+_flag("T6_session_expired", "sessions", "session_id", _EXPIRED, lambda: t.session_expired(t.instant(SESSION_AT)))
 _STATUS = f"case when revoked_at is not null then 'revoked' when {_EXPIRED} then 'expired' else 'active' end"
-_flag("T7_session_status", "sessions", "session_id", _STATUS, t.session_status(t.instant(SESSION_AT)))
+_flag("T7_session_status", "sessions", "session_id", _STATUS, lambda: t.session_status(t.instant(SESSION_AT)))
 _flag("T8_session_evaluated", "sessions", "session_id", f"case when revoked_at is not null then 'revoked' when {_EXPIRED} or {_SAT} - last_seen_at > interval 6 hours then 'expired' else 'active' end",
-      t.session_evaluated(t.instant(SESSION_AT), "6 hours"))
-_flag("T9_transaction_valid", "oidc_transactions", "oidc_transaction_id", f"consumed_at is null and {_SAT} < expires_at", t.transaction_valid(t.instant(SESSION_AT)))
-_flag("T11_principal_active", "principals", "principal_id", "status = 'active'", t.principal_active())
+      lambda: t.session_evaluated(t.instant(SESSION_AT), "6 hours"))
+_flag("T9_transaction_valid", "oidc_transactions", "oidc_transaction_id", f"consumed_at is null and {_SAT} < expires_at", lambda: t.transaction_valid(t.instant(SESSION_AT)))
+_flag("T11_principal_active", "principals", "principal_id", "status = 'active'", lambda: t.principal_active())
 query("T10_token_times", """select request_id, case when 1000 >= exp + 60 then 'expired' when nbf is not null and nbf > 1060 then 'not_yet_valid' when iat > 1060 then 'bad_issued_at' else 'ok' end as outcome from
   (select request_id, 900 + request_id % 200 as iat, case when request_id % 3 = 0 then null else 1000 + request_id % 90 end as nbf, 850 + request_id % 400 as exp from request_log) x""")(
     lambda m: m.request_log.select("request_id", t.token_times(F.lit(1000), 900 + F.col("request_id") % 200, F.when(F.col("request_id") % 3 != 0, 1000 + F.col("request_id") % 90), 850 + F.col("request_id") % 400).alias("outcome"))
