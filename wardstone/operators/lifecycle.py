@@ -184,6 +184,15 @@ def found_sessions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+def found_keys(requests: DataFrame, keys: DataFrame) -> DataFrame:
+    """Requests (set_id, kid) with the key of their set: by its id, or, without one, the set's only key."""
+    k = keys.withColumnRenamed("set_id", "__set").withColumnRenamed("kid", "__kid")
+    only = k.groupBy("__set").agg(F.count("*").alias("__n"), F.first("key_id").alias("key_id")).where("__n = 1").drop("__n")
+    named = requests.where("kid is not null").join(k, (F.col("set_id") == F.col("__set")) & (F.col("kid") == F.col("__kid")), "left").drop("__set", "__kid")
+    rest = requests.where("kid is null").join(only, F.col("set_id") == F.col("__set"), "left").drop("__set")
+    return named.unionByName(rest)
+
+
 # --- identities -------------------------------------------------------------------------------------------------------
 
 

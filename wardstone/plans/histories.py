@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
-from ..functions.temporal import instant
-from ..operators import audit, catalog, integrity, lifecycle
+from ..functions.temporal import instant, session_status
+from ..operators import access, audit, catalog, integrity, lifecycle
 from ..sources.model import AS_OF, SESSION_AT
 from .reads import query
 
@@ -191,6 +191,11 @@ query("L7_rotation_breaks", """select session_id, rotation_number, broken from (
     lambda m: lifecycle.rotation_breaks(m.session_rotations.where("(session_id + rotation_number) % 7 != 0"))
 )
 
+query("P5_session_view", f"""select session_id as id, principal_id, case when revoked_at is not null then 'revoked' when {_SAT} >= idle_expires_at or {_SAT} >= absolute_expires_at then 'expired' else 'active' end as status,
+  created_at, {_hmac_sql("'csrf-v1:' || session_id || ':https://a.example'")} as csrf_token from sessions""")(
+    lambda m: m.sessions.select(F.col("session_id").alias("id"), "principal_id", session_status(instant(SESSION_AT)).alias("status"), "created_at", x.csrf_token(SECRET, "session_id", F.lit("https://a.example")).alias("csrf_token"))
+)
+
 # --- integrity --------------------------------------------------------------------------------------------------------
 
 for _rule in ("C1_blank", "C2_enum", "C3_version", "C4_interval", "C5_scope", "C6_hash", "C7_range", "C8_unique", "C9_partial_unique", "C11_foreign"):
@@ -358,6 +363,24 @@ query("X25_severities", f"select event_id, case when s in (401, 403, 409) then '
     lambda m: m.audit_source.withColumn("s", F.expr(_STATUS)).select("event_id", x.severity("s").alias("severity"), x.problem_code("s").alias("code"))
 )
 
+_KINDS = "case event_id % 6 when 0 then 'session_expired' when 1 then 'csrf_token_mismatch' when 2 then 'not_found' when 3 then 'conflict' when 4 then 'nonce_mismatch' else 'jwks_fetch' end"
+query("A18_error_status", "select event_id, case event_id % 6 when 0 then 401 when 1 then 403 when 2 then 404 when 3 then 409 when 4 then 400 else 500 end as status from audit_source")(
+    lambda m: m.audit_source.withColumn("kind", F.expr(_KINDS)).select("event_id", access.error_status("kind").alias("status"))
+)
+query("X11_constant_time_equality", "select event_id, action_code = 'CLICK' as same from audit_source")(lambda m: m.audit_source.select("event_id", (F.col("action_code") == "CLICK").alias("same")))
+_KEYSET = ("keyset", "select n_regionkey as set_id, n_nationkey as key_id, 'k' || cast(n_nationkey as varchar(20)) as kid from nation where n_regionkey < 3 or n_nationkey = 3")
+query("X15_found_keys", """select q.event_id, k.key_id from (select event_id, event_id % 4 as set_id, case when event_id % 5 < 3 then 'k' || cast(event_id % 25 as varchar(20)) end as kid from audit_source) q
+  left join (select *, count(*) over (partition by set_id) as n from keyset) k on k.set_id = q.set_id and (k.kid = q.kid or q.kid is null and k.n = 1)""", _KEYSET)(
+    lambda m: lifecycle.found_keys(
+        m.audit_source.select("event_id", (F.col("event_id") % 4).alias("set_id"), F.when(F.col("event_id") % 5 < 3, F.concat(F.lit("k"), (F.col("event_id") % 25).cast("string"))).alias("kid")),
+        m.spark.read.parquet(f"{m.sf_dir}/nation.parquet").where("n_regionkey < 3 or n_nationkey = 3").select(
+            F.col("n_regionkey").cast("long").alias("set_id"), F.col("n_nationkey").alias("key_id"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("kid")))
+    .select("event_id", "key_id")
+)
+query("X26_identity_keys", "select principal_id, issuer || '|' || subject as identity_key, timestamp '1970-01-01 00:00:00' + interval '1' second * principal_id as issued_at from oidc_identities")(
+    lambda m: m.oidc_identities.select("principal_id", F.concat_ws("|", "issuer", "subject").alias("identity_key"), F.timestamp_seconds("principal_id").cast("timestamp_ntz").alias("issued_at"))
+)
+
 # --- migrations -------------------------------------------------------------------------------------------------------
 
 _BUNDLE, _APPLIED = "select r_regionkey as version, r_name as description, H(r_name) as checksum from region", "select r_regionkey as version, r_name <> 'EUROPE' or true as success, case when r_regionkey = 1 then 'x' else H(r_name) end as checksum from region where r_regionkey < 4"
