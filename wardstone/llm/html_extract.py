@@ -235,15 +235,20 @@ class Page:
     def text(self, paths: list[str]) -> str:
         """The blocks under the first of ``paths`` that the page has text under, else under its own best path."""
         kept = self.kept()
-        under: dict[int, set[str]] = {0: {""}}
-
-        def above(x: int) -> set[str]:
-            if x not in under:
-                under[x] = above(self.parent[x]) | {self.path(x)}
-            return under[x]
+        full = [""]  # paths of the elements, parents first
+        for x in range(1, len(self.name)):
+            above, step = full[self.parent[x]], self.step[x]
+            full.append(f"{above}>{step}" if above and step else above or step)
+
+        def under(x: int, path: str) -> bool:
+            while x > 0:
+                if full[x] == path:
+                    return True
+                x = self.parent[x]
+            return path == ""
 
         for path in [*paths, *(p for p, _ in self.best()[:1])]:
-            found = [text for x, text, _ in kept if path in above(x)]
+            found = [text for x, text, _ in kept if under(x, path)]
             if found:
                 return "\n\n".join(found)
         return ""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .bloom import column_filter
 from .common import stored, text_of
 from .components import connected_components, forest
 
@@ -116,10 +117,8 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, held = None, []
 
     def close() -> list[tuple[int, int]]:
-        if len(held) < 2:
-            return []
-        fps = np.unique(np.array(held, np.int64).view(np.uint64))
-        return _near_forest(fps, MAX_BITS)
+        fps = np.unique(np.concatenate(held)).view(np.uint64) if held else np.zeros(0, np.uint64)
+        return _near_forest(fps, MAX_BITS) if len(fps) > 1 else []
 
     for frame in frames:
         out: list[tuple[int, int]] = []
@@ -130,7 +129,7 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if keys[a] != key:
                 out += close()
                 key, held = keys[a], []
-            held.extend(fps[a:b])
+            held.append(fps[a:b].copy())
         if out:
             yield pd.DataFrame(np.array(out, np.uint64).view(np.int64), columns=["a", "b"])
     if out := close():
@@ -164,7 +163,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their group: one document of each group, with all its columns.
 
-    Of rows that repeat the same id one stays. Groups whose only id is null keep one row.
+    Of rows that repeat an id one stays. A row with a null id goes if its group has an id; of a group whose ids are all
+    null, one row of each fingerprint stays. Most rows pass straight through: only those whose id may be a loser's or a
+    repeated one, by a filter of such ids, shuffle.
     """
-    keep = simhash_groups(docs, id_col, text_col).select(F.col("component_id").alias("__ws_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__ws_keep")), "left_semi").dropDuplicates([id_col])
+    groups = stored(simhash_groups(docs, id_col, text_col), "groups")
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("component_id")).where("doc_id is not null")
+    gone = stored(repeated.where("n > 1 or component_id != doc_id").select("doc_id", F.xxhash64("doc_id").alias("h"), (F.col("component_id") != F.col("doc_id")).alias("loser")), "gone")
+    maybe = column_filter(gone, "h", gone.count(), members=True)
+
+    key = F.col(id_col)
+    flagged = docs.withColumn("__ws_maybe", maybe.holds(F.when(key.isNotNull(), F.xxhash64(key.cast("long")))))
+    plain = flagged.where(key.isNotNull() & ~F.col("__ws_maybe")).drop("__ws_maybe")
+    losers = gone.where("loser").select(F.col("doc_id").alias("__ws_gone"))
+    met = flagged.where("__ws_maybe").drop("__ws_maybe").join(losers, key == F.col("__ws_gone"), "left_anti").dropDuplicates([id_col])
+    alone = groups.where("component_id is null").select(F.col("fingerprint").alias("__ws_alone")).distinct()
+    nameless = docs.where(key.isNull()).withColumn("__ws_fp", F.lower(F.lpad(F.hex(_fingerprints(text_of(text_col))), 16, "0")))
+    nameless = nameless.join(alone, F.col("__ws_fp") == F.col("__ws_alone"), "left_semi").dropDuplicates(["__ws_fp"]).drop("__ws_fp")
+    return plain.unionByName(met).unionByName(nameless)
