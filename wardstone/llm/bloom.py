@@ -14,7 +14,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bits of one segment; bits for each expected hash; bits set by a hash; the broadcast's bound in bytes.
 SEGMENT_BITS, BITS_PER_HASH, PROBES, MAX_BYTES = 1 << 18, 12, 4, 32 << 20
@@ -51,8 +52,8 @@ def _bits(keys: np.ndarray) -> np.ndarray:
     return np.stack([((a + np.uint64(i) * b) ^ (b >> np.uint64(7))) % np.uint64(SEGMENT_BITS) for i in range(PROBES)]).astype(np.int64)
 
 
-def sent(batches: Iterable[np.ndarray], segments: int) -> Iterator[pd.DataFrame]:
-    """What one task sends to the segments for its hashes."""
+def sent(batches: Iterable[np.ndarray], segments: int, all_twice: bool = False) -> Iterator[pd.DataFrame]:
+    """What one task sends to the segments for its hashes; ``all_twice``: each counts as a repeat."""
     held: list[np.ndarray] = []
 
     def flush() -> pd.DataFrame:
@@ -60,7 +61,7 @@ def sent(batches: Iterable[np.ndarray], segments: int) -> Iterator[pd.DataFrame]
         held.clear()
         segment, keys = _placed(hashes, segments)
         order = np.argsort(segment, kind="stable")
-        segment, keys, again = segment[order], keys[order], counts[order] > 1
+        segment, keys, again = segment[order], keys[order], (counts[order] > 1) | all_twice
         starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
         ends = np.r_[starts[1:], len(segment)]
         return pd.DataFrame({
@@ -81,45 +82,70 @@ def sent(batches: Iterable[np.ndarray], segments: int) -> Iterator[pd.DataFrame]
         yield flush()
 
 
-def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stream rows sorted by segment through the two filters of each segment; gives the twice filters."""
-    at, once, twice = None, None, None
-    packed = lambda: pd.DataFrame({"segment": np.array([at], np.int32), "filter": [np.packbits(twice).tobytes()]})
-    for frame in frames:
-        for segment, new, again in zip(frame["segment"], frame["once"], frame["twice"]):
-            if segment != at:
-                if at is not None:
-                    yield packed()
-                at, once, twice = segment, np.zeros(SEGMENT_BITS, np.uint8), np.zeros(SEGMENT_BITS, np.uint8)
-            bits = _bits(np.frombuffer(new, np.uint32))
-            twice[bits[:, once[bits].all(axis=0)]] = 1
-            once[bits] = 1
-            twice[_bits(np.frombuffer(again, np.uint32))] = 1
-    if at is not None:
-        yield packed()
+def _merger(twice_bits: int):
+    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Stream rows sorted by segment through the two filters of each segment; gives the twice filters."""
+        at, once, twice = None, None, None
+        packed = lambda: pd.DataFrame({"segment": np.array([at], np.int32), "filter": [np.packbits(twice).tobytes()]})
+        for frame in frames:
+            for segment, new, again in zip(frame["segment"], frame["once"], frame["twice"]):
+                if segment != at:
+                    if at is not None:
+                        yield packed()
+                    at, once, twice = segment, np.zeros(SEGMENT_BITS, np.uint8), np.zeros(twice_bits, np.uint8)
+                bits = _bits(np.frombuffer(new, np.uint32))
+                twice[bits[:, once[bits].all(axis=0)] % twice_bits] = 1
+                once[bits] = 1
+                twice[_bits(np.frombuffer(again, np.uint32)) % twice_bits] = 1
+        if at is not None:
+            yield packed()
+
+    return merged
 
 
 class RepeatFilter:
     """The broadcast twice filter; ``suspects`` tells which hashes may occur twice or more."""
 
-    def __init__(self, held: Broadcast, segments: int):
-        self.held, self.segments = held, segments
+    def __init__(self, held: Broadcast, segments: int, twice_bits: int):
+        self.held, self.segments, self.twice_bits = held, segments, twice_bits
 
     def suspects(self, hashes: np.ndarray) -> np.ndarray:
         segment, keys = _placed(hashes, self.segments)
         bits = self.held.value
-        at = segment * SEGMENT_BITS + _bits(keys)
+        at = segment * self.twice_bits + _bits(keys) % self.twice_bits
         return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
+    def holds(self, column: Column) -> Column:
+        """Whether the hash in a long column is suspected; a null is not."""
+
+        @F.pandas_udf("boolean")
+        def suspected(h: pd.Series) -> pd.Series:
+            return pd.Series(self.suspects(h.to_numpy()))
+
+        return suspected(F.coalesce(column, F.lit(0).cast("long"))) & column.isNotNull()
+
+
+def repeat_filter(payload: DataFrame, segments: int, twice_bits: int = SEGMENT_BITS) -> RepeatFilter:
+    """Merge the rows of ``sent`` by segment and broadcast the twice filters, ``segments`` times ``twice_bits`` bits.
+
+    Fewer ``twice_bits`` than SEGMENT_BITS suit hashes of which few repeat.
+    """
+    merged = payload.repartition("segment").sortWithinPartitions("segment").mapInPandas(_merger(twice_bits), "segment int, filter binary")
+    size = twice_bits // 8
+    bits = np.zeros(segments * size, np.uint8)
+    for row in merged.collect():  # the filters themselves, of bounded size
+        bits[row.segment * size : (row.segment + 1) * size] = np.frombuffer(bytes(row["filter"]), np.uint8)
+    return RepeatFilter(payload.sparkSession.sparkContext.broadcast(bits), segments, twice_bits)
+
+
+def column_filter(rows: DataFrame, hash_col: str, expected: int, max_bytes: int = MAX_BYTES, members: bool = False) -> RepeatFilter:
+    """The filter of the hashes that occur twice or more in a long column, or, with ``members``, of all of them."""
+    segments = segment_count(expected, max_bytes)
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from sent((frame["h"].to_numpy() for frame in frames), segments, members)
 
-def repeat_filter(payload: DataFrame, segments: int) -> RepeatFilter:
-    """Merge the rows of ``sent`` by segment and broadcast the twice filters, MAX_BYTES at most."""
-    merged = payload.repartition("segment").sortWithinPartitions("segment").mapInPandas(_merged, "segment int, filter binary")
-    bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        at = row.segment * SEGMENT_BITS // 8
-        bits[at : at + SEGMENT_BITS // 8] = np.frombuffer(bytes(row["filter"]), np.uint8)
-    return RepeatFilter(payload.sparkSession.sparkContext.broadcast(bits), segments)
+    return repeat_filter(rows.select(F.col(hash_col).alias("h")).where("h is not null").mapInPandas(send, SENT_SCHEMA), segments)
 
 
 SENT_SCHEMA = _SENT

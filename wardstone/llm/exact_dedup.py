@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import MAX_BYTES, SENT_SCHEMA, repeat_filter, segment_count, sent
+from .bloom import MAX_BYTES, column_filter
 from .common import stored, text_of
 
 
@@ -27,18 +24,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def suspected(rows: DataFrame, hash_col: str = "hash", expected: int | None = None, max_bytes: int = MAX_BYTES) -> Column:
     """A column of ``rows`` that is true wherever the hash may occur in another row; reads the hashes once to build the filters."""
-    segments = segment_count(rows.count() if expected is None else expected, max_bytes)
-
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from sent((frame["h"].to_numpy() for frame in frames), segments)
-
-    held = repeat_filter(rows.select(F.col(hash_col).alias("h")).mapInPandas(send, SENT_SCHEMA), segments)
-
-    @F.pandas_udf("boolean")
-    def seen_again(h: pd.Series) -> pd.Series:
-        return pd.Series(held.suspects(h.to_numpy()))
-
-    return seen_again(F.col(hash_col))
+    return column_filter(rows, hash_col, rows.count() if expected is None else expected, max_bytes).holds(F.col(hash_col))
 
 
 def _best(chars: Column, doc_id: Column) -> Column:

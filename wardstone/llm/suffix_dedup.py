@@ -2,7 +2,8 @@
 
 Spark deals the work out by content. Each window of ``length`` bytes is filed under its anchor, the leftmost of its
 ANCHOR-byte strings with the least hash, so equal windows meet under one anchor. Anchors that only one document holds
-leave by a once-seen/twice-seen filter. Neighbouring windows with the same anchor travel as one context; equal contexts
+leave by a once-seen/twice-seen filter. Of equal whole texts only the row with the least id goes this way, as the others
+lose all their bytes to it. Neighbouring windows with the same anchor travel as one context; equal contexts
 are merged before and after the shuffle, with the least document that holds them. A task then sorts the suffixes of the
 contexts of many anchors by Lyndon-prefix groups (suffix_sort), equal windows stand side by side in that order, and
 each gets the least document of its class. Anchors with too many different contexts are dealt out window by window.
@@ -12,25 +13,28 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import SENT_SCHEMA, RepeatFilter, repeat_filter, segment_count, sent
+from .bloom import SEGMENT_BITS, SENT_SCHEMA, RepeatFilter, column_filter, repeat_filter, segment_count, sent
 from .common import stored, text_of
 from .suffix_sort import suffix_order
 
 #: Bytes of a repeated string, and of an anchor in it.
-LENGTH, ANCHOR = 50, 24
-#: Bound of the broadcast filter; past it more anchors are suspected, which costs shuffle but loses nothing.
-FILTER_BYTES = 64 << 20
+LENGTH, ANCHOR = 50, 28
+#: Bound of a broadcast filter; past it more anchors are suspected, which costs shuffle but loses nothing. Bits of the
+#: filter of repeated anchors in each segment: few anchors repeat.
+FILTER_BYTES, REPEAT_BITS = 32 << 20, 1 << 15
 #: Different contexts of an anchor from which its windows are dealt out one by one, and most such anchors (8 bytes each).
 CROWD, MOST_CROWDED = 1000, 1 << 20
+#: Crowds are found on one document of so many, by a hash of its id; this steers where windows go, never what is found.
+CROWD_SHARE = 8
 #: Bytes of a text that are hashed at a time, contexts that a task merges before it sends them, bytes sorted together.
-CHUNK, MERGED, BLOCK = 1 << 16, 1 << 17, 1 << 13
+CHUNK, MERGED, BLOCK = 1 << 16, 1 << 16, 1 << 13
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -55,25 +59,82 @@ def _gram_hashes(octets: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(raw: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with the same anchor: first window, windows, place of the anchor, hash of the anchor."""
-    width, found = length - k + 1, []
-    for at in range(0, max(0, len(raw) - length + 1), CHUNK):
-        hashes = _gram_hashes(np.frombuffer(raw, np.uint8, min(len(raw) - at, CHUNK + length - 1), at), k)
-        least = (hashes & ~np.uint64(0xFFFFF)) | np.arange(len(hashes), dtype=np.uint64)  # ties: the leftmost place
-        size = 1
-        while size * 2 <= width:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if size < width:
-            least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-        place = (least & np.uint64(0xFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        place = place[first]
-        found.append((first + at, np.diff(np.r_[first, len(least)]), place + at, hashes[place]))
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
-    return tuple(np.concatenate(x) for x in zip(*found))
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    base = 0x9FB21C651E98DF25
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)], dtype=np.uint64) for x in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64))))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+_BYTE = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MUL)
+
+
+def _content_hashes(octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to each end, wherever they stand."""
+    power, inverse = _powers(1 << max(len(octets) - 1, 1).bit_length())
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[octets] * power[: len(octets)], dtype=np.uint64)]
+    return _mixed((sums[end] - sums[start]) * inverse[start])
+
+
+def _runs(octets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor's place for each window, the hashes of all strings of ``k`` bytes; fewer than 2^20 bytes."""
+    width, hashes = length - k + 1, _gram_hashes(octets, k)
+    least = (hashes & ~np.uint64(0xFFFFF)) | np.arange(len(hashes), dtype=np.uint64)  # ties: the leftmost place
+    size = 1
+    while size * 2 <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < width:
+        least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
+    return (least & np.uint64(0xFFFFF)).astype(np.int64), hashes
+
+
+def anchors_of(raws: list[bytes], length: int = LENGTH, k: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows with the same anchor, as arrays: text (its place in ``raws``), first window, windows, place and hash of
+    the anchor, hash of the run's bytes. Short texts are hashed together, long ones CHUNK windows at a time.
+    """
+    pieces: list[tuple[int, int, bytes]] = []  # text, first window, bytes
+    held = 0
+
+    def found() -> tuple[np.ndarray, ...]:
+        octets = np.frombuffer(b"".join(x for *_, x in pieces), np.uint8)
+        place, hashes = _runs(octets, length, k)
+        ends = np.cumsum([len(x) for *_, x in pieces])
+        starts = np.r_[0, ends[:-1]]
+        change = np.r_[True, place[1:] != place[:-1]]
+        change[starts] = True  # a text's runs are its own
+        cut = ends - length + 1
+        change[cut[cut < len(change)]] = True  # windows that reach into the next text
+        first = np.flatnonzero(change)
+        many = np.diff(np.r_[first, len(change)])
+        which = np.searchsorted(starts, first, side="right") - 1
+        own = first + length <= ends[which]
+        first, many, which = first[own], many[own], which[own]
+        text, base = (np.array([x[i] for x in pieces], np.int64)[which] for i in (0, 1))
+        at = place[first]
+        return text, first - starts[which] + base, many, at - starts[which] + base, hashes[at], _content_hashes(octets, first, first + many + length - 1)
+
+    for i, raw in enumerate(raws):
+        for at in range(0, max(0, len(raw) - length + 1), CHUNK):
+            part = raw if len(raw) < CHUNK + length else raw[at : at + CHUNK + length - 1]
+            pieces.append((i, at, part))
+            held += len(part)
+            if held >= CHUNK:
+                yield found()
+                pieces, held = [], 0
+    if pieces:
+        yield found()
+
+
+def anchors(raw: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Of one text: first window, windows, place and hash of the anchor, hash of the run's bytes."""
+    got = [x[1:] for x in anchors_of([raw], length, k)]
+    return tuple(map(np.concatenate, zip(*got))) if got else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
 def _raw(text: str) -> bytes:
@@ -81,30 +142,30 @@ def _raw(text: str) -> bytes:
 
 
 class Cutter:
-    """The contexts of suspected anchors of a text: (hash, context hash, first window, windows, anchor's offset, bytes)."""
+    """The contexts of suspected anchors of texts, as arrays: text, h, hash of the context, first window, windows, anchor's offset."""
 
     def __init__(self, suspects: RepeatFilter, crowded: np.ndarray, length: int, k: int):
         self.suspects, self.crowded, self.length, self.k = suspects, crowded, length, k
 
-    def __call__(self, raw: bytes) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-        first, many, place, hashes = anchors(raw, self.length, self.k)
-        if not len(first):
-            return
-        keep = self.suspects.suspects(hashes.view(np.int64))
-        first, many, place, hashes = first[keep], many[keep], place[keep], hashes[keep].view(np.int64)
-        full = np.isin(hashes, self.crowded) if len(self.crowded) else np.zeros(len(hashes), bool)
-        for q, n, p, h, crowd in zip(first.tolist(), many.tolist(), place.tolist(), hashes.tolist(), full.tolist()):
-            if crowd:
-                for w in range(q, q + n):
-                    part = raw[w : w + self.length]
-                    yield _signed(xxhash.xxh64_intdigest(part, 1)), _signed(xxhash.xxh64_intdigest(part)), w, 1, p - w, part
-            else:
-                part = raw[q : q + n + self.length - 1]
-                yield h, _signed(xxhash.xxh64_intdigest(part)), q, n, p - q, part
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    def __call__(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        for text, first, many, place, hashes, content in anchors_of(raws, self.length, self.k):
+            keep = self.suspects.suspects(hashes.view(np.int64))
+            text, first, many, place, hashes, content = (x[keep] for x in (text, first, many, place, hashes, content))
+            h, c, offset = hashes.view(np.int64), content.view(np.int64), place - first
+            full = np.isin(h, self.crowded) if len(self.crowded) else np.zeros(len(h), bool)
+            if full.any():  # window by window: each is a context of its own, filed under its own bytes
+                parts = [x[~full] for x in (text, h, c, first, many, offset)]
+                for i in np.unique(text[full]):
+                    mine = full & (text == i)
+                    n = many[mine]
+                    window = np.repeat(first[mine] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())
+                    low, high = int(window.min()), int(window.max()) + self.length
+                    own = _content_hashes(np.frombuffer(raws[i], np.uint8, high - low, low), window - low, window - low + self.length)
+                    more = (np.full(len(window), i), _mixed(own * _MUL).view(np.int64), own.view(np.int64), window, np.ones(len(window), np.int64), np.repeat(place[mine], n) - window)
+                    parts = [np.r_[x, y] for x, y in zip(parts, more)]
+                text, h, c, first, many, offset = parts
+            if len(h):
+                yield text, h, c, first, many, offset
 
 
 def _window_owners(contexts: list[tuple], length: int, k: int) -> pd.DataFrame:
@@ -198,75 +259,102 @@ def _sorter(length: int, k: int, block: int = BLOCK):
     return run
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter_bytes: int = FILTER_BYTES, crowd: int = CROWD) -> tuple[DataFrame, RepeatFilter]:
+def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter_bytes: int = FILTER_BYTES, crowd: int = CROWD) -> DataFrame:
     """Rows (id, mark, starts, ends) of the byte runs to remove, for ``docs`` (id long, mark long, t string)."""
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    segments = segment_count(2 * total // (length - k + 2) + 1, filter_bytes)
+    segments = segment_count(2 * total // (length - k + 2) + 1, filter_bytes * SEGMENT_BITS // REPEAT_BITS)
 
     def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for frame in frames:
-            for t in frame["t"]:
-                yield np.unique(anchors(_raw(t), length, k)[3]).view(np.int64)
+            for text, _, _, _, h, _ in anchors_of([_raw(t) for t in frame["t"]], length, k):
+                order = np.lexsort((h, text))  # once for each text (a long text's parts count on their own)
+                h, text = h[order], text[order]
+                yield h[np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]].view(np.int64)
 
-    suspects = repeat_filter(docs.select("t").mapInPandas(lambda frames: sent(hashes(frames), segments), SENT_SCHEMA), segments)
+    suspects = repeat_filter(docs.select("t").mapInPandas(lambda frames: sent(hashes(frames), segments), SENT_SCHEMA), segments, REPEAT_BITS)
 
     def crowds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Anchors with two different contexts or more in this task."""
-        cut, seen = Cutter(suspects, np.zeros(0, np.int64), length, k), []
+        cut, seen, size = Cutter(suspects, np.zeros(0, np.int64), length, k), [], 0
 
         def counted() -> pd.DataFrame:
-            pairs = pd.DataFrame(seen, columns=["h", "c"]).drop_duplicates()
+            pairs = pd.DataFrame(np.concatenate(seen or [np.zeros((0, 2), np.int64)]), columns=["h", "c"]).drop_duplicates()
             n = pairs.groupby("h").size()
             seen.clear()
             return n[n > 1].rename("n").reset_index()
 
         for frame in frames:
-            seen += [(x[0], x[1]) for t in frame["t"] for x in cut(_raw(t))]
-            if len(seen) >= 4 * MERGED:
-                yield counted()
+            for _, h, c, *_ in cut([_raw(t) for t in frame["t"]]):
+                seen.append(np.stack((h, c), axis=1))
+                size += len(h)
+                if size >= 4 * MERGED:
+                    size = 0
+                    yield counted()
         yield counted()
 
-    counts = docs.select("t").mapInPandas(crowds, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > crowd)
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(CROWD_SHARE)) == 0).select("t")
+    counts = some.mapInPandas(crowds, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > crowd // CROWD_SHARE)
     full = stored(counts, "crowded")
     if (many := full.count()) > MOST_CROWDED:  # then only the largest are dealt out window by window
         least = full.approxQuantile("n", [1 - MOST_CROWDED / many], 0.0)[0]
         full = full.where(F.col("n") > least)
-    crowded = np.sort(np.array([r["h"] for r in full.select("h").toLocalIterator()], np.int64))
+    crowded = np.sort(np.array([r["h"] for r in full.select("h").collect()], np.int64))
     held = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, met = Cutter(suspects, held.value, length, k), {}
-
-        def flush() -> pd.DataFrame:
-            rows = [(*key, *x) for key, x in met.items()]
-            met.clear()
-            return pd.DataFrame(rows, columns=["h", "c", "n", "p", "part", "low", "high"])
+        cut, parts, size = Cutter(suspects, held.value, length, k), [], 0
+
+        def merged(raws: list[bytes]) -> pd.DataFrame:
+            h, c, q, n, p, doc, row = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((c, h))
+            h, c, doc = h[order], c[order], doc[order]
+            edge = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            one = order[edge]
+            parts.clear()
+            return pd.DataFrame({
+                "h": h[edge], "c": c[edge], "n": n[one].astype(np.int32), "p": p[one].astype(np.int32),
+                "part": [raws[r][a:b] for r, a, b in zip(row[one].tolist(), q[one].tolist(), (q[one] + n[one] + length - 1).tolist())],
+                "low": np.minimum.reduceat(doc, edge), "high": np.maximum.reduceat(doc, edge),
+            })
 
         for frame in frames:
-            for doc, t in zip(frame["id"].tolist(), frame["t"]):
-                for h, c, _, n, p, part in cut(_raw(t)):
-                    old = met.get((h, c))
-                    if old is None:
-                        met[h, c] = [n, p, part, doc, doc]
-                    else:
-                        old[3], old[4] = min(old[3], doc), max(old[4], doc)
-                if len(met) >= MERGED:
-                    yield flush()
-        yield flush()
+            raws, ids = [_raw(t) for t in frame["t"]], frame["id"].to_numpy()
+            for text, h, c, q, n, p in cut(raws):
+                parts.append((h, c, q, n, p, ids[text], text))
+                size += len(h)
+                if size >= MERGED:
+                    size = 0
+                    yield merged(raws)
+            if parts:  # the texts of a batch go with it
+                size = 0
+                yield merged(raws)
 
     met = docs.select("id", "t").mapInPandas(contexts, "h long, c long, n int, p int, part binary, low long, high long")
     met = met.repartition("h").sortWithinPartitions("h")
     owners = stored(met.mapInPandas(_sorter(length, k), "h long, c long, a int, b int, m long"), "owners")
 
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = Cutter(suspects, held.value, length, k)
+        cut, parts, size = Cutter(suspects, held.value, length, k), [], 0
+
+        def gathered() -> pd.DataFrame:
+            h, c, doc, mark, q = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            return pd.DataFrame({"h": h, "c": c, "id": doc, "mark": mark, "q": q.astype(np.int32)})
+
         for frame in frames:
-            rows = [(h, c, doc, mark, q) for doc, mark, t in zip(frame["id"].tolist(), frame["mark"].tolist(), frame["t"]) for h, c, q, *_ in cut(_raw(t))]
-            yield pd.DataFrame(rows, columns=["h", "c", "id", "mark", "q"])
+            ids, marks = frame["id"].to_numpy(), frame["mark"].to_numpy()
+            for text, h, c, q, *_ in cut([_raw(t) for t in frame["t"]]):
+                parts.append((h, c, ids[text], marks[text], q))
+                size += len(h)
+                if size >= MERGED:
+                    size = 0
+                    yield gathered()
+        if parts:
+            yield gathered()
 
     spots = docs.mapInPandas(places, "h long, c long, id long, mark long, q int")
     runs = spots.join(owners, ["h", "c"]).where("m < id").select("id", "mark", (F.col("q") + F.col("a")).alias("s"), (F.col("q") + F.col("b") + length).alias("e"))
-    return runs.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("runs")), suspects
+    return runs.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
 
 
 def _merge(runs: list) -> list[tuple[int, int]]:
@@ -290,14 +378,21 @@ def suffix_array_dedup(
     character is dropped from the text, while kept_sha256 and the counts are of the bytes. Extra columns pass through;
     columns of the four names are replaced. An empty table gives an empty result.
     """
-    base = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256").withColumn(text_col, text_of(text_col)).withColumn("__ws_mark", F.xxhash64(text_col))
-    known = base.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("__ws_mark").alias("mark"), F.col(text_col).alias("t"))
-    runs, suspects = removed_spans(known, length, k, filter_bytes, crowd)
-    runs = runs.select(F.col("id").alias("__ws_id"), F.col("mark").alias("__ws_of"), F.col("runs").alias("__ws_runs"))
-
-    @F.pandas_udf("boolean")
-    def any_suspect(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(suspects.suspects(anchors(_raw(t), length, k)[3].view(np.int64)).any()) for t in texts], dtype=bool)
+    names, key, again = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), F.col("__ws_id"), F.col("__ws_again")
+    base = docs.drop(*names).withColumn(text_col, text_of(text_col)).withColumn("__ws_id", F.col(id_col).cast("long")).withColumn("__ws_sha", F.sha2(text_col, 256))
+    base = base.withColumn("__ws_mark", F.when(key.isNotNull(), F.xxhash64("__ws_sha")))
+
+    rows = docs.count()
+    base = base.withColumn("__ws_again", column_filter(base, "__ws_mark", rows, filter_bytes).holds(F.col("__ws_mark")))
+    firsts = stored(base.where(again).groupBy("__ws_sha").agg(F.xxhash64(F.min(key)).alias("first")), "firsts")
+    first = column_filter(firsts, "first", firsts.count(), filter_bytes, members=True)
+    base = base.withColumn("__ws_copy", again & ~first.holds(F.xxhash64(key)))  # surely not the first of its text
+
+    known = base.where(key.isNotNull() & ~F.col("__ws_copy")).select(key.alias("id"), F.col("__ws_mark").alias("mark"), F.col(text_col).alias("t"))
+    runs = removed_spans(known, length, k, filter_bytes, crowd).withColumn("h", F.xxhash64("id"))
+    runs = stored(runs.select(F.col("id").alias("__ws_of"), F.col("mark").alias("__ws_text"), F.col("runs").alias("__ws_runs"), "h"), "runs")
+    touched = column_filter(runs, "h", runs.count(), filter_bytes, members=True)
+    base = base.withColumn("__ws_met", ~F.col("__ws_copy") & key.isNotNull() & touched.holds(F.xxhash64(key)))
 
     @F.pandas_udf("text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     def without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -308,11 +403,14 @@ def suffix_array_dedup(
             out.append((left.decode("utf-8", "ignore"), len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
         return pd.DataFrame(out, columns=["text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    flagged = base.withColumn("__ws_any", any_suspect(text_col) & F.col(id_col).isNotNull())
-    zero, names = F.lit(0).cast("long"), ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    plain = flagged.where("not __ws_any").withColumns({"n_bytes": F.octet_length(text_col).cast("long"), "n_removed": zero, "n_spans": zero, "kept_sha256": F.sha2(text_col, 256)})
-    met = flagged.where("__ws_any").join(runs, (F.col(id_col) == F.col("__ws_id")) & (F.col("__ws_mark") == F.col("__ws_of")), "left")
+    gone, size, zero = F.col("__ws_copy") & (F.octet_length(text_col) >= length), F.octet_length(text_col).cast("long"), F.lit(0).cast("long")
+    plain = base.where(~F.col("__ws_met")).withColumns({
+        "n_bytes": size, "n_removed": F.when(gone, size).otherwise(zero), "n_spans": F.when(gone, 1).otherwise(zero).cast("long"),
+        "kept_sha256": F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("__ws_sha")), text_col: F.when(gone, "").otherwise(F.col(text_col)),
+    })
+    met = base.where("__ws_met").join(runs.drop("h"), (key == F.col("__ws_of")) & (F.col("__ws_mark") == F.col("__ws_text")), "left")
     none = F.array().cast("array<struct<s:int,e:int>>")
     met = met.withColumn("__ws_out", without(text_col, F.coalesce("__ws_runs", none)))
     met = met.withColumns({text_col: F.col("__ws_out.text"), **{x: F.col(f"__ws_out.{x}") for x in names}})
-    return plain.drop("__ws_any", "__ws_mark").unionByName(met.drop("__ws_any", "__ws_mark", "__ws_out", "__ws_id", "__ws_of", "__ws_runs"))
+    extra = ("__ws_id", "__ws_sha", "__ws_mark", "__ws_again", "__ws_copy", "__ws_met")
+    return plain.drop(*extra).unionByName(met.drop(*extra, "__ws_out", "__ws_of", "__ws_text", "__ws_runs"))
