@@ -44,6 +44,7 @@ class Vocabulary:
             self.weight[i] = -math.log(2 + ranks)
         total = math.log(sum(map(math.exp, self.weight)))
         self.weight = [w - total for w in self.weight]
+        self.whole = frozenset(self.ids.values())  # pieces that are no bytes
         self.steps: dict = {}  # character: (further steps, id of the piece that ends here or None)
         for piece, i in self.ids.items():
             at = self.steps

@@ -7,11 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 
-from .lattice import MARKER, vocabulary
+from .lattice import MARKER, forward, vocabulary
 
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-#: Words of one matrix.
-ROWS = 4096
+#: Words of one matrix; words of more characters are summed one by one.
+ROWS, LONG = 4096, 256
 
 
 class PieceTable:
@@ -58,12 +58,13 @@ def piece_table(path: str | None = None) -> PieceTable:
     return PieceTable(path)
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in ``words``, matrix of code points with the marker first) of words of one length."""
+def by_length(words: list[str], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in ``words``, matrix of code points with the marker first) of words of one length, ``most`` at most."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(lengths[order]) > 0]) if len(words) else []
-    for group in np.split(order, starts[1:]) if len(words) else []:
+    order = order[lengths[order] <= most] if most is not None else order
+    starts = np.flatnonzero(np.r_[True, np.diff(lengths[order]) > 0]) if len(order) else []
+    for group in np.split(order, starts[1:]) if len(order) else []:
         n = int(lengths[group[0]])
         step = max(1, ROWS * 16 // (n + 1) if n > 16 else ROWS)
         for a in range(0, len(group), step):
@@ -77,7 +78,7 @@ class Batch:
 
     def __init__(self, codes: np.ndarray, table: PieceTable, weight: np.ndarray):
         m, n = codes.shape
-        self.n, self.ids, self.logs = n, [], []
+        self.n, self.ids, self.logs, self.codes = n, [], [], codes
         literal = codes == ord(MARKER)
         literal[:, 0] = False
         h = np.zeros((m, n), np.uint64)
@@ -120,10 +121,17 @@ class Batch:
                 counts[x] += amount
 
 
+    def shares(self, j: int) -> np.ndarray:
+        """For each word, the cumulative shares of the edges of 1, 2, ... characters that end at ``j``."""
+        return np.exp(np.stack([self.total[:, j - k] + self.logs[k - 1][:, j - k] for k in range(1, min(len(self.logs), j) + 1)], axis=1) - self.total[:, j : j + 1]).cumsum(axis=1)
+
+
 def log_marginals(words: list[str], weight: np.ndarray, path: str | None = None) -> np.ndarray:
     out, table = np.zeros(len(words)), piece_table(path)
-    for part, codes in by_length(words):
+    for part, codes in by_length(words, LONG):
         out[part] = Batch(codes, table, weight).total[:, -1]
+    for i in (i for i, w in enumerate(words) if len(w) > LONG):
+        out[i] = forward(table.vocab.edges(MARKER + words[i]), weight)[-1]
     return out
 
 

@@ -1,8 +1,9 @@
 """SentencePiece encoding by sampling from the piece lattice, and lossless decoding.
 
 Forward filtering sums the weights of all segmentations of each prefix of a word; backward sampling then draws the
-pieces from the end, each in proportion to its share. The draws of a row come from a generator seeded by the row's key,
-so a row gives the same pieces on every run and in every partition.
+pieces from the end, each in proportion to its share. The draws of a row come from a generator seeded by the row's key
+and are dealt out by place in the text, so a row gives the same pieces on every run and in every partition. A task
+filters each different word of some texts once, and draws for all its occurrences together.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -18,70 +20,129 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 from .lattice import MARKER, forward, vocabulary
+from .lattice_batch import Batch, by_length, piece_table
 
 #: Seed of all draws, and sharpness: a segmentation's weight is raised to this power.
 SEED, SHARPNESS = 17, 0.5
-#: Words whose filtered lattices a task remembers, and their most characters.
-REMEMBERED, SHORT = 200_000, 24
+#: Characters of texts that are handled together.
+TOGETHER = 1 << 19
+#: Words of more characters go one by one.
+LONG = 256
 
 
 class Sampler:
     def __init__(self, path: str | None, sharpness: float):
-        self.vocabulary = vocabulary(path)
-        self.weight = [w * sharpness for w in self.vocabulary.weight]
-        self.chance = [math.exp(w) for w in self.weight]
-        self.known: dict[str, list] = {}
-
-    def _filtered(self, part: str) -> list:
-        """For each end in a word: (start, ids) of the edges there, and the cumulative sums of their shares but the last."""
-        ends = self.vocabulary.edges(MARKER + part)
-        out, chance = [None], self.chance
-        if len(part) <= SHORT:  # sums that a double holds
-            total = [1.0]
-            for edges in ends[1:]:
-                sums, sum_ = [], 0.0
-                for i, ids in edges:
-                    share = total[i] * chance[ids[0]]
-                    for x in ids[1:]:
-                        share *= chance[x]
-                    sum_ += share
-                    sums.append(sum_)
-                total.append(sum_)
-                out.append((edges, sums, sum_))
-        else:
-            logs = forward(ends, self.weight)
-            for edges, whole in zip(ends[1:], logs[1:]):
-                sums, sum_ = [], 0.0
-                for i, ids in edges:
-                    sum_ += math.exp(logs[i] + sum([self.weight[x] for x in ids]) - whole)
-                    sums.append(sum_)
-                out.append((edges, sums, sum_))
-        return out
-
-    def __call__(self, text: str, key: int) -> list[int]:
-        if not text:
-            return []
-        draw = iter(np.random.Generator(np.random.Philox(key=key & 0xFFFFFFFFFFFFFFFF)).random(len(text) + 1).tolist()).__next__
-        known, out = self.known, []
-        for part in text.split(" "):
-            word = known.get(part)
-            if word is None:
-                word = self._filtered(part)
-                if len(part) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = word
-            j, back = len(word) - 1, []
-            while j:
-                edges, sums, sum_ = word[j]
-                if len(edges) == 1:
-                    j, ids = edges[0]
-                else:
-                    at = bisect_right(sums, draw() * sum_)
-                    j, ids = edges[at if at < len(edges) else -1]
-                back += ids if len(ids) == 1 else ids[::-1]
-            back.reverse()
-            out += back
+        self.vocabulary, self.table = vocabulary(path), piece_table(path)
+        self.weight = np.array(self.vocabulary.weight) * sharpness
+
+    def _draw(self, batch: Batch, words: np.ndarray, draws: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For occurrences of a batch's words (rows ``words``, draws from ``at`` on): pieces from the end on, and how many.
+
+        A character that its bytes spell stands as its code point above the vocabulary's ids.
+        """
+        size, n = self.vocabulary.size, batch.n
+        shares = [None, *(batch.shares(j) for j in range(1, n + 1))]
+        place, count = np.full(len(words), n), np.zeros(len(words), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for j in range(n, 0, -1):
+            here = np.flatnonzero(place == j)
+            if not len(here):
+                continue
+            row, share = words[here], shares[j]
+            pick = (share[row] <= (draws[at[here] + count[here]] * share[row, -1])[:, None]).sum(axis=1)
+            pick = np.minimum(pick, share.shape[1] - 1)
+            start, ids = j - 1 - pick, np.empty(len(here), np.int64)
+            for k in range(share.shape[1]):
+                own = pick == k
+                if own.any():
+                    got = batch.ids[k][row[own], j - 1 - k]
+                    ids[own] = np.where(got >= 0, got, size + batch.codes[row[own], j - 1 - k].astype(np.int64)) if k == 0 else got
+            found.append((here, count[here], ids))
+            place[here] = start
+            count[here] += 1
+        pieces = np.full((len(words), int(count.max(initial=0))), -1, np.int64)
+        for here, step, ids in found:
+            pieces[here, step] = ids
+        return pieces, count
+
+    def _long(self, part: str, draws: np.ndarray) -> np.ndarray:
+        """The pieces of one word from the end on, without a matrix."""
+        ends, weight, size = self.vocabulary.edges(MARKER + part), self.weight.tolist(), self.vocabulary.size
+        total, back, j = forward(ends, weight), [], len(ends) - 1
+        for draw in draws.tolist():
+            edges = ends[j]
+            shares = list(accumulate(math.exp(total[i] + sum([weight[x] for x in ids]) - total[j]) for i, ids in edges))
+            start, ids = edges[min(bisect_right(shares, draw * shares[-1]), len(edges) - 1)]
+            back.append(ids[0] if ids[0] in self.vocabulary.whole else size + ord(part[start - 1]))
+            j = start
+            if not j:
+                break
+        return np.array(back, np.int64)
+
+    def _some(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        index: dict[str, int] = {}
+        words, lengths, per_text, draws = [], [], [], []
+        for text, key in zip(texts, keys):
+            parts = text.split(" ") if text else []
+            words += [index.setdefault(p, len(index)) for p in parts]
+            lengths += map(len, parts)
+            per_text.append(len(parts))
+            if text:  # a draw for each character, and for the marker of each word
+                draws.append(np.random.Generator(np.random.Philox(key=key & 0xFFFFFFFFFFFFFFFF)).random(len(text) + 1))
+        if not words:
+            return [np.zeros(0, np.int32) for _ in texts]
+        words, lengths, draws = np.array(words), np.array(lengths), np.concatenate(draws)
+        at = np.r_[0, (lengths + 1).cumsum()[:-1]]
+        by_word = np.argsort(words, kind="stable")
+        edges = np.r_[np.searchsorted(words[by_word], np.arange(len(index))), len(words)]
+        counts, parts = np.zeros(len(words), np.int64), []
+        names = list(index)
+        for i, name in enumerate(names):
+            if len(name) > LONG:
+                for use in by_word[edges[i] : edges[i + 1]].tolist():
+                    pieces = self._long(name, draws[at[use] : at[use] + len(name) + 1])
+                    counts[use] = len(pieces)
+                    parts.append((np.array([use]), pieces[None, :], counts[use : use + 1]))
+        for group, codes in by_length(names, LONG):
+            batch = Batch(codes, self.table, self.weight)
+            many = edges[group + 1] - edges[group]
+            uses = by_word[np.repeat(edges[group] - np.r_[0, many.cumsum()[:-1]], many) + np.arange(many.sum())]
+            pieces, count = self._draw(batch, np.repeat(np.arange(len(group)), many), draws, at[uses])
+            counts[uses] = count
+            parts.append((uses, pieces, count))
+        ends = counts.cumsum()
+        flat = np.empty(int(ends[-1]), np.int64)
+        for uses, pieces, count in parts:
+            row, step = np.nonzero(np.arange(pieces.shape[1]) < count[:, None])
+            flat[ends[uses[row]] - 1 - step] = pieces[row, step]
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(per_text)]]
+        return self._spelled(flat, bounds)
+
+    def _spelled(self, flat: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """The texts' pieces, with the bytes of characters that have no piece."""
+        size, octets = self.vocabulary.size, self.vocabulary.bytes
+        other = np.flatnonzero(flat >= size)
+        if len(other):
+            chars, which = np.unique(flat[other] - size, return_inverse=True)
+            spelled = [[octets[b] for b in chr(int(c)).encode("utf-8", "surrogatepass")] for c in chars]
+            more = np.ones(len(flat), np.int64)
+            more[other] = np.array([len(x) for x in spelled])[which]
+            starts = np.r_[0, more.cumsum()]
+            flat, bounds, first = np.repeat(flat, more), starts[bounds], starts[other]
+            for i, ids in enumerate(spelled):
+                for step, x in enumerate(ids):
+                    flat[first[which == i] + step] = x
+        flat = flat.astype(np.int32)
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def __call__(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """The pieces of each text."""
+        out, a, held = [], 0, 0
+        for b, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= TOGETHER or b == len(texts):
+                out += self._some(texts[a:b], keys[a:b])
+                a, held = b, 0
         return out
 
 
@@ -99,7 +160,7 @@ def sample_pieces(
     def sampled(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         sampler = Sampler(path, sharpness)
         for texts, keys in frames:
-            yield pd.Series([np.array(sampler(t, k), np.int32) for t, k in zip(texts, keys.tolist())], dtype=object)
+            yield pd.Series(sampler(texts.tolist(), keys.tolist()), dtype=object)
 
     return docs.withColumn("pieces", sampled(text_of(text_col), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))))
 
