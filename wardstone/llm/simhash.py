@@ -20,6 +20,7 @@ from pyspark.sql.types import LongType
 from .bloom import column_filter
 from .common import stored, text_of
 from .components import connected_components, forest
+from .similar import node_of, similar_groups
 
 #: Words of a shingle, seed of XXH64, most differing bits of a link.
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -160,14 +161,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", hexed, "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` whose id names their group: one document of each group, with all its columns.
 
+    The groups are those of op1 (3-word shingles, MAX_BITS differing bits) or, with a ``similarity``, those of
+    ``similar_groups``: all texts linked by so much Jaccard similarity of their shingles of ``shingle`` words.
+
     Of rows that repeat an id one stays. A row with a null id goes if its group has an id; of a group whose ids are all
     null, one row of each fingerprint stays. Most rows pass straight through: only those whose id may be a loser's or a
     repeated one, by a filter of such ids, shuffle.
     """
-    groups = stored(simhash_groups(docs, id_col, text_col), "groups")
+    if similarity is None:
+        groups, named = simhash_groups(docs, id_col, text_col), _fingerprints(text_of(text_col))
+    else:
+        groups, named = similar_groups(docs, id_col, text_col, similarity, shingle), node_of(shingle)(text_of(text_col))
+    groups = stored(groups, "groups")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("component_id")).where("doc_id is not null")
     gone = stored(repeated.where("n > 1 or component_id != doc_id").select("doc_id", F.xxhash64("doc_id").alias("h"), (F.col("component_id") != F.col("doc_id")).alias("loser")), "gone")
     maybe = column_filter(gone, "h", gone.count(), members=True)
@@ -178,6 +186,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     losers = gone.where("loser").select(F.col("doc_id").alias("__ws_gone"))
     met = flagged.where("__ws_maybe").drop("__ws_maybe").join(losers, key == F.col("__ws_gone"), "left_anti").dropDuplicates([id_col])
     alone = groups.where("component_id is null").select(F.col("fingerprint").alias("__ws_alone")).distinct()
-    nameless = docs.where(key.isNull()).withColumn("__ws_fp", F.lower(F.lpad(F.hex(_fingerprints(text_of(text_col))), 16, "0")))
+    nameless = docs.where(key.isNull()).withColumn("__ws_fp", F.lower(F.lpad(F.hex(named), 16, "0")))
     nameless = nameless.join(alone, F.col("__ws_fp") == F.col("__ws_alone"), "left_semi").dropDuplicates(["__ws_fp"]).drop("__ws_fp")
     return plain.unionByName(met).unionByName(nameless)
