@@ -1,8 +1,9 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the text of their blocks; the best ones vote, per host, for their generalised
-tag-class path (tags and class names from the root down, without numbers and positions). Spark sums the votes, and each
-page is extracted again from the containers on its host's winning paths. A page with none of them uses its own best.
+Each page's containers are scored by the text of their blocks; they vote, per host, for their generalised tag-class path
+(tags and class names from the root down, without numbers and positions). Spark sums the votes, and each page is extracted
+again from all containers on its host's winning paths: those that hold a fair share of the text of the pages that have
+them. A page of whose text the winners hold only a small part uses its own best ones as well.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-#: Paths that a page votes for, winning paths kept for a host, hosts up to which the winners are broadcast.
-VOTES, WINNERS, BROADCAST_HOSTS = 3, 3, 20_000
+#: Least share of a page's score that a main path has, that it is voted for with; share that the winners must hold.
+SHARE, VOTE, COVER = 0.05, 0.01, 0.5
+#: Winning paths kept for a host (pages of others use their own), hosts and paths up to which the winners are broadcast.
+WINNERS, BROADCAST_HOSTS, BROADCAST_PATHS = 100, 20_000, 60_000
 
 #: Elements that stand as blocks of their own; fixed values of HTML.
 BLOCKS = frozenset(
@@ -70,6 +73,16 @@ def _read(name: str, rest: str) -> tuple[str, bool, bool]:
     return ".".join([name, *sorted({x for x in classes if x})]), out or bool(_HIDDEN.search(rest)) and name not in ("html", "body"), main
 
 
+def worth(text: str, links: int) -> int:
+    """A block's score: its text without links."""
+    return max(0, len(text) - 2 * links) + 10 * text.count(",") + 1
+
+
+def whole(path: str) -> bool:
+    """Whether a path is that of the page itself or its body."""
+    return re.split(r"[.>]", path.rpartition(">")[2])[0] in ("", "html", "body")
+
+
 class Page:
     """A page's elements (parent, step, aside) and its blocks (element, text, characters in links) in page order."""
 
@@ -209,49 +222,79 @@ class Page:
         for x, text, links in self.kept():
             while x > 0 and (self.name[x] in LEAVES or self.name[x] not in BLOCKS):
                 x = self.parent[x]
-            worth = max(0, len(text) - 2 * links) + 10 * text.count(",") + 1
-            score[x] += worth
+            score[x] += worth(text, links)
             if x > 0:
-                score[self.parent[x]] += worth / 2
-        whole: dict[int, float] = defaultdict(float)
-        for x, worth in score.items():  # an article or main part stands for the containers in it
+                score[self.parent[x]] += worth(text, links) / 2
+        tops: dict[int, float] = defaultdict(float)
+        for x, value in score.items():  # an article or main part stands for the containers in it
             top, y = x, x
             while y > 0:
                 if self.name[y] == "article" or self.main[y] and self.name[top] != "article":
                     top = y
                     break
                 y = self.parent[y]
-            whole[top] += worth * (1.5 if top != x or self.name[x] == "article" else 1.0)
-        return whole
+            tops[top] += value * (1.5 if top != x or self.name[x] == "article" else 1.0)
+        return tops
 
-    def best(self) -> list[tuple[str, float]]:
-        """The VOTES best paths with their share of the score."""
+    def own(self) -> dict[str, float]:
+        """Paths by their share of the page's score, without what containers get for those in them."""
         by: dict[str, float] = defaultdict(float)
-        for x, worth in self.scores().items():
-            by[self.path(x)] += worth
+        for x, text, links in self.kept():
+            while x > 0 and (self.name[x] in LEAVES or self.name[x] not in BLOCKS):
+                x = self.parent[x]
+            top, y = x, x
+            while y > 0:
+                if self.name[y] == "article" or self.main[y] and self.name[top] != "article":
+                    top = y
+                    break
+                y = self.parent[y]
+            by[self.path(top)] += worth(text, links)
         total = sum(by.values())
-        return [(p, w / total) for p, w in sorted(by.items(), key=lambda x: (-x[1], x[0]))[:VOTES]] if total else []
+        return {p: w / total for p, w in by.items()}
+
+    def chosen(self, own: dict[str, float]) -> dict[str, float]:
+        """The page's main paths: those of a fair share, what holds two or more of them, and the best one if they are small."""
+        out = {p: w for p, w in own.items() if w >= SHARE}
+        if own and sum(out.values()) < COVER:
+            by: dict[str, float] = defaultdict(float)
+            for x, score in self.scores().items():
+                by[self.path(x)] += score
+            best = min(by, key=lambda p: (-by[p], p))
+            out[best] = sum(w for p, w in own.items() if p == best or not best or p.startswith(best + ">"))
+        above: dict[str, list[str]] = defaultdict(list)
+        for p in out:
+            above[p.rpartition(">")[0]].append(p)
+        for p, parts in above.items():
+            if len(parts) > 1 and not whole(p):
+                out[p] = max(out.get(p, 0.0), sum(out[x] for x in parts))
+        return out
+
+    def votes(self) -> dict[str, float]:
+        own = self.own()
+        return {p: w for p, w in own.items() if w >= VOTE} | self.chosen(own)
 
     def text(self, paths: list[str]) -> str:
-        """The blocks under the first of ``paths`` that the page has text under, else under its own best path."""
+        """The blocks under any of ``paths`` in page order; if these hold little of the page, with those of its own main paths."""
         kept = self.kept()
+        own = self.own()
         full = [""]  # paths of the elements, parents first
         for x in range(1, len(self.name)):
             above, step = full[self.parent[x]], self.step[x]
             full.append(f"{above}>{step}" if above and step else above or step)
 
-        def under(x: int, path: str) -> bool:
-            while x > 0:
-                if full[x] == path:
-                    return True
-                x = self.parent[x]
-            return path == ""
+        def under(winners: set[str]) -> list[bool]:
+            out = ["" in winners]
+            for x in range(1, len(full)):
+                out.append(out[self.parent[x]] or full[x] in winners)
+            return out
 
-        for path in [*paths, *(p for p, _ in self.best()[:1])]:
-            found = [text for x, text, _ in kept if under(x, path)]
-            if found:
-                return "\n\n".join(found)
-        return ""
+        # what holds a whole page wins on the pages whose text stands right in it
+        winners = {p for p in paths if not whole(p) or own.get(p, 0.0) >= SHARE}
+        inside = under(winners)
+        total = sum(worth(text, links) for _, text, links in kept)
+        if sum(worth(text, links) for x, text, links in kept if inside[x]) < COVER * total:
+            inside = under(winners | self.chosen(own).keys())
+        return "\n\n".join(text for x, text, _ in kept if inside[x])
 
 
 def host_of(url: str):
@@ -260,29 +303,36 @@ def host_of(url: str):
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host: its WINNERS winning paths, best first. Votes are summed in each task before they shuffle."""
+    """One row per host: its winning paths, at most WINNERS, best first.
+
+    A path wins if it holds SHARE of the text of the pages that vote for it, on average, so that a rare template's paths
+    are not measured by a common one's. Votes are summed in each task before they shuffle, in whole millionths, so that
+    the sum does not depend on the order of its parts.
+    """
 
     def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        votes: dict[tuple[str, str], float] = defaultdict(float)
+        votes: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
 
         def counted() -> pd.DataFrame:
-            out = pd.DataFrame([(*k, v) for k, v in votes.items()], columns=["host", "path", "votes"])
+            out = pd.DataFrame([(*k, *v) for k, v in votes.items()], columns=["host", "path", "votes", "pages"])
             votes.clear()
             return out
 
         for frame in frames:
             for host, source in zip(frame["host"], frame["html"]):
-                for path, share in Page(source).best():
-                    votes[host, path] += share
+                for path, share in Page(source).votes().items():
+                    count = votes[host, path]
+                    count[0] += round(share * 1_000_000)
+                    count[1] += 1
             if len(votes) > 100_000:
                 yield counted()
         yield counted()
 
-    given = pages.select(host_of(url_col).alias("host"), text_of(html_col).alias("html")).mapInPandas(vote, "host string, path string, votes double")
-    # whole millionths, so that the sum does not depend on the order of its parts
-    summed = given.groupBy("host", "path").agg(F.sum(F.round(F.col("votes") * 1_000_000).cast("long")).alias("votes"))
+    given = pages.select(host_of(url_col).alias("host"), text_of(html_col).alias("html")).mapInPandas(vote, "host string, path string, votes long, pages long")
+    summed = given.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
+    fair = summed.where(F.col("votes") >= F.col("pages") * int(SHARE * 1_000_000))
     place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    top = summed.withColumn("place", place).where(F.col("place") <= WINNERS)
+    top = fair.withColumn("place", place).where(F.col("place") <= WINNERS)
     return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
 
 
@@ -295,7 +345,8 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     paths are broadcast up to ``broadcast_hosts`` hosts, and joined by a shuffle that Spark may split beyond.
     """
     winners = stored(host_paths(pages, url_col, html_col).withColumnRenamed("host", "__ws_host").withColumnRenamed("paths", "__ws_paths"), "paths")
-    few = winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts
+    hosts, paths = winners.agg(F.count("*"), F.coalesce(F.sum(F.size("__ws_paths")), F.lit(0))).first()
+    few = hosts <= broadcast_hosts and paths <= BROADCAST_PATHS
 
     @F.pandas_udf("string")
     def main_text(sources: pd.Series, paths: pd.Series) -> pd.Series:
