@@ -46,20 +46,40 @@ class Encoder:
     The vocabulary's pattern always ends a token before a space that follows a character which is no white space, so
     such chunks can be encoded alone, and those seen before are remembered. Texts with a space after white space are
     encoded whole. The vocabulary's end mark is one id wherever it stands in a text, as its tokenizer file has it.
+
+    Long runs of white space, on which tiktoken's pattern overflows its stack, are encoded without it: the pattern makes
+    one piece of such a run, up to its last character if more text follows.
     """
 
     _GAP = re.compile(r"\s ")
+    LONG_RUN = 10_000
+    #: White space as the vocabulary's pattern has it, which is not all that Python's does.
+    _RUN = re.compile("(?<![{0}])[{0}]{{{1},}}+".format(r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", LONG_RUN))
     MARK, MARK_ID = "<|endoftext|>", 50256
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.encoding, self.known, self.remembered = encoding(path), {}, remembered
 
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+
     def _encode(self, chunk: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.encoding.encode_ordinary(chunk))
+        return self._bytes(self.encoding.encode_ordinary(chunk))
 
     def __call__(self, text: str) -> bytes:
         if self.MARK in text:
             return self.MARK_ID.to_bytes(4, "little").join(self(part) if part else b"" for part in text.split(self.MARK))
+        if len(text) < self.LONG_RUN:
+            return self._plain(text)
+        out, at = [], 0
+        for run in self._RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self._plain(text[at : run.start()]), self._bytes(self.encoding._encode_single_piece(text[run.start() : end]))
+            at = end
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         if self._GAP.search(text):
             return self._encode(text)
         first, *rest = text.split(" ")
