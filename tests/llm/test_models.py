@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from wardstone.llm import queries
 from wardstone.llm.html_extract import Page, extract_pages
 from wardstone.llm.lattice import MARKER, forward, vocabulary
-from wardstone.llm.lattice_batch import expected_counts, log_marginals
+from wardstone.llm.lattice_batch import log_marginals
 from wardstone.llm.lm_scoring import lm_scores
 from wardstone.llm.packing import Encoder, best_fit_packing, plan
 from wardstone.llm.piece_sampling import Sampler, decode_pieces, sample_pieces
@@ -37,13 +37,11 @@ def frame(spark, rows=ROWS):
 
 
 def segmentations(word):
-    ends = vocabulary().edges(word)
-
     def back(j):
         if j == 0:
             yield ()
             return
-        for i, ids in ends[j]:
+        for i, ids in vocabulary().ending(word, j):
             for rest in back(i):
                 yield rest + ids
 
@@ -54,14 +52,14 @@ def segmentations(word):
 def test_lattice_sums(word):
     vocab, weight = vocabulary(), np.array(vocabulary().weight)
     each = [math.exp(sum(vocab.weight[x] for x in s)) for s in segmentations(MARKER + word)]
-    assert math.isclose(forward(vocab.edges(MARKER + word), vocab.weight)[-1], math.log(sum(each)))
+    assert math.isclose(forward(vocab, MARKER + word, vocab.weight)[-1], math.log(sum(each)))
     assert math.isclose(log_marginals([word, "other"], weight)[0], math.log(sum(each)))
-    want = Counter()
-    for s, w in zip(segmentations(MARKER + word), each):
-        for x in s:
-            want[x] += 3 * w / sum(each)
-    got = expected_counts([word], np.array([3.0]), weight)
-    assert all(math.isclose(got[x], n, abs_tol=1e-9) for x, n in want.items()) and math.isclose(got.sum(), sum(want.values()))
+
+
+def test_long_words_equal_short_ones():
+    word, weight = "abcé漢the▁x" * 25, np.array(vocabulary().weight)
+    assert math.isclose(log_marginals([word], weight)[0], forward(vocabulary(), MARKER + word, weight.tolist())[-1])
+    assert math.isfinite(log_marginals(["the" * 100_000], weight)[0])
 
 
 @settings(max_examples=50, deadline=None)
@@ -158,8 +156,22 @@ def test_lm_scores(spark, sf):
         assert math.isclose(row["base_score"], sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*(train[w] for w in ws), ends]), rel_tol=1e-9)
     full = lm_scores(docs, head=10**6).toPandas().set_index("doc_id")
     assert np.allclose(full["score"].sort_index(), got["score"].sort_index())  # the head changes nothing
-    known = sum(max(c - 0.5, 0) for c in train.values()) / n
-    assert got["score"].lt(0).all() and 0 < known < 1
+    weight, end = vocabulary().weight, (ends + 0.5) / (n + 1)
+    few = sorted((d for d in words if 0 < len(words[d])), key=lambda d: sum(map(len, words[d])))[:20]
+    for d in few:
+        marginals = [forward(vocabulary(), MARKER + w, weight)[-1] for w in words[d]]
+        assert math.isclose(got.loc[d]["score"], (sum(marginals) + len(marginals) * math.log1p(-end) + math.log(end)) / math.log(10), rel_tol=1e-9)
+
+
+def test_lm_score_equals_enumeration(spark):
+    """The score is the end's share times, for each word, its share and the sum over every segmentation of the vocabulary's weights."""
+    rows, weight = [(1, "the cat"), (2, "A▁b été"), (3, "hello\thello 漢x"), (5, "")], vocabulary().weight
+    train = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 10]
+    n, got = sum(len((t or "").split()) + 1 for d, t in rows if d in train), {r["doc_id"]: r for r in lm_scores(frame(spark, rows)).collect()}
+    end = (len(train) + 0.5) / (n + 1)
+    for d, text in rows:
+        each = [sum(math.exp(sum(weight[x] for x in s)) for s in segmentations(MARKER + w)) for w in text.lower().split()]
+        assert math.isclose(got[d]["score"], math.log10(end) + sum(math.log10((1 - end) * p) for p in each), rel_tol=1e-9)
 
 
 def test_lm_scores_edges(spark):

@@ -8,6 +8,7 @@ literal marker) is spelled by the vocabulary's byte pieces, so every text has a
 from __future__ import annotations
 
 import math
+from array import array
 from functools import lru_cache
 
 import public_tokenizers
@@ -45,35 +46,20 @@ class Vocabulary:
         total = math.log(sum(map(math.exp, self.weight)))
         self.weight = [w - total for w in self.weight]
         self.whole = frozenset(self.ids.values())  # pieces that are no bytes
-        self.steps: dict = {}  # character: (further steps, id of the piece that ends here or None)
-        for piece, i in self.ids.items():
-            at = self.steps
-            for c in piece[:-1]:
-                at = at.setdefault(c, [{}, None])[0]
-            at.setdefault(piece[-1], [{}, None])[1] = i
+        self.longest = max(map(len, self.ids))
         self.value = {i: b for b, i in self.bytes.items()}
         self.octets = {i: piece.replace(MARKER, " ").encode() for piece, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...]]]]:
-        """For each end in ``word`` (the marker, then characters): (start, ids) of the pieces that end there."""
-        n, steps = len(word), self.steps
-        ends: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            first = word[i]
-            at = steps.get(first)
-            if at is None or at[1] is None or i and first == MARKER:
-                ends[i + 1].append((i, tuple(self.bytes[b] for b in first.encode("utf-8", "surrogatepass"))))
-                if i and first == MARKER:
-                    continue
-            j = i + 1
-            while at is not None:
-                if at[1] is not None:
-                    ends[j].append((i, (at[1],)))
-                if j == n:
-                    break
-                at = at[0].get(word[j])
-                j += 1
-        return ends
+    def ending(self, word: str, j: int) -> list[tuple[int, tuple[int, ...]]]:
+        """(start, ids) of the pieces that end at ``j`` in ``word`` (the marker, then characters), by their starts."""
+        out, ids = [], self.ids
+        for i in range(max(0, j - self.longest), j):
+            piece = ids.get(word[i:j])
+            if piece is not None and not (i and word[i] == MARKER):
+                out.append((i, (piece,)))
+        if not out or out[-1][0] != j - 1:
+            out.append((j - 1, tuple(self.bytes[b] for b in word[j - 1].encode("utf-8", "surrogatepass"))))
+        return out
 
     def decode(self, ids) -> str:
         """The text of a segmentation; the leading space of the first word was not in the text."""
@@ -85,15 +71,14 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return Vocabulary(path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def forward(ends: list, weight) -> list[float]:
-    """Log of the summed weight of all segmentations of each prefix, in log space."""
-    total, exp, log = [0.0], math.exp, math.log
-    for edges in ends[1:]:
-        parts = [total[i] + (weight[ids[0]] if len(ids) == 1 else sum([weight[x] for x in ids])) for i, ids in edges]
+def forward(vocab: Vocabulary, word: str, weight) -> array:
+    """Log of the summed weight of all segmentations of each prefix of a marked word, in log space; memory is 8 bytes a character."""
+    total, exp, log = array("d", [0.0]), math.exp, math.log
+    for j in range(1, len(word) + 1):
+        parts = [total[i] + (weight[ids[0]] if len(ids) == 1 else sum([weight[x] for x in ids])) for i, ids in vocab.ending(word, j)]
         if len(parts) == 1:
             total.append(parts[0])
         else:
             most = max(parts)
             total.append(most + log(sum([exp(x - most) for x in parts])))
     return total
-

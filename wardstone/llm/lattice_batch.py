@@ -1,4 +1,4 @@
-"""Forward and backward sums over the lattices of many words at once, in log space, by numpy."""
+"""Forward sums over the lattices of many words at once, in log space, by numpy."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ class PieceTable:
 
     def __init__(self, path: str | None):
         vocab = vocabulary(path)
-        self.vocab, self.longest = vocab, max(map(len, vocab.ids))
+        self.vocab, self.longest = vocab, vocab.longest
         self.bits = 20
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
         for piece, i in vocab.ids.items():
@@ -102,25 +102,6 @@ class Batch:
             most = parts.max(axis=0)
             self.total[:, j] = most + np.log(np.exp(parts - most).sum(axis=0))
 
-    def expected(self, times: np.ndarray, counts: np.ndarray) -> None:
-        """Add ``times`` the expected uses of each piece to ``counts``."""
-        share = np.zeros_like(self.total)
-        share[:, self.n] = times
-        uses = [np.zeros(x.shape) for x in self.logs]
-        for j in range(self.n, 0, -1):
-            for k in range(1, min(len(self.logs), j) + 1):
-                use = share[:, j] * np.exp(self.total[:, j - k] + self.logs[k - 1][:, j - k] - self.total[:, j])
-                uses[k - 1][:, j - k] = use
-                share[:, j - k] += use
-        for ids, use in zip(self.ids, uses):
-            found = ids >= 0
-            counts += np.bincount(ids[found], use[found], len(counts))
-        for c, spelled in enumerate(self.spelled):
-            amount = uses[0][self.none][self.at == c].sum()
-            for x in spelled:
-                counts[x] += amount
-
-
     def shares(self, j: int) -> np.ndarray:
         """For each word, the cumulative shares of the edges of 1, 2, ... characters that end at ``j``."""
         return np.exp(np.stack([self.total[:, j - k] + self.logs[k - 1][:, j - k] for k in range(1, min(len(self.logs), j) + 1)], axis=1) - self.total[:, j : j + 1]).cumsum(axis=1)
@@ -130,14 +111,7 @@ def log_marginals(words: list[str], weight: np.ndarray, path: str | None = None)
     out, table = np.zeros(len(words)), piece_table(path)
     for part, codes in by_length(words, LONG):
         out[part] = Batch(codes, table, weight).total[:, -1]
+    listed = weight.tolist()
     for i in (i for i, w in enumerate(words) if len(w) > LONG):
-        out[i] = forward(table.vocab.edges(MARKER + words[i]), weight)[-1]
+        out[i] = forward(table.vocab, MARKER + words[i], listed)[-1]
     return out
-
-
-def expected_counts(words: list[str], times: np.ndarray, weight: np.ndarray, path: str | None = None) -> np.ndarray:
-    table = piece_table(path)
-    counts = np.zeros(table.vocab.size)
-    for part, codes in by_length(words):
-        Batch(codes, table, weight).expected(times[part].astype(float), counts)
-    return counts

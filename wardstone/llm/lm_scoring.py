@@ -1,9 +1,9 @@
 """LM scoring by subword lattice likelihood: a text's marginal probability over all its segmentations.
 
-The scores of an existing vocabulary weight the segmentations at first; expected counts over the different words of the
-training corpus then re-estimate them. A word of the training corpus is one more piece of its lattice, weighted by its
-discounted count; the mass that the discount frees goes to the segmentations into subwords. Spark counts each different
-word once, so a word's lattice is summed once, by the forward recursion in log space, however often the word occurs.
+The scores of an existing vocabulary weight the pieces, and the forward recursion sums all segmentations of a word in log
+space. No piece has the space's marker but at its start, so a text's segmentations are those of its words, one after the
+other, and the words' marginals sum to one over all words. The corpus gives the share of words and ends, and the counts
+of the base. Spark counts each different word once, so a word's lattice is summed once, however often the word occurs.
 The words that occur most (HEAD of them at most) are broadcast with their scores; only the other words of a document
 shuffle, to meet theirs.
 """
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 from .lattice import vocabulary
-from .lattice_batch import expected_counts, log_marginals
+from .lattice_batch import log_marginals
 
-#: Smoothing of the base, rounds of expected counts, smoothing of a piece's count.
-ALPHA, ROUNDS, PIECE_ALPHA = 0.1, 2, 0.1
+#: Smoothing of the base.
+ALPHA = 0.1
 #: Most words that are broadcast, and the most bytes of such a word.
 HEAD, HEAD_BYTES = 100_000, 64
 
@@ -65,62 +65,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("train").alias("train"))
 
 
-def piece_weights(words: DataFrame, path: str | None, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights of the pieces, from their expected counts over the different training words, in ``rounds`` rounds.
-
-    What comes to the driver is one number per piece of the vocabulary.
-    """
-    weight = np.array(vocabulary(path).weight)
-    usable = np.isfinite(weight)
-    for _ in range(rounds):
-
-        def uses(frames: Iterator[pd.DataFrame], now=weight) -> Iterator[pd.DataFrame]:
-            counts = np.zeros(len(now))
-            for frame in frames:
-                counts += expected_counts([w.decode("utf-8", "surrogatepass") for w in frame["word"]], np.ones(len(frame)), now, path)
-            piece = np.flatnonzero(counts)
-            yield pd.DataFrame({"piece": piece.astype(np.int32), "n": counts[piece]})
-
-        seen = words.where("train > 0").select("word").mapInPandas(uses, "piece int, n double")
-        got = seen.groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.where(usable, PIECE_ALPHA, 0.0)
-        counts[got["piece"].to_numpy(np.int64)] += got["n"].to_numpy(float)
-        weight = np.full(len(counts), -np.inf)
-        weight[usable] = np.log(counts[usable] / counts.sum())
-    return weight
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text, A-Z lower-cased, and one end. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1)))
-    over tokens; score is the log10 probability of the words, over all their segmentations, and of the end. Null and
-    empty texts are an end alone. Repeated rows are scored each. If no row is to be learned from, c, N and V are 0 and
-    the vocabulary's own order weights the pieces. Columns other than the two are not read.
+    over tokens; score is the log10 of the product of the words' shares of tokens times their marginals over all
+    segmentations, and of the end's share. Null and empty texts are an end alone. Repeated rows are scored each. If no
+    row is to be learned from, c, N and V are 0 and words and ends have a share of half. A word of any length is summed
+    in memory linear in it. Columns other than the two are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"), held_out(id_col).alias("held"))
     words = stored(word_counts(base), "words")
     ends = base.where("not held").count()
-    count = lambda when: F.count(F.when(when, 1))
-    n_words, v_words, n1, n2 = words.agg(
-        F.coalesce(F.sum("train"), F.lit(0)), count(F.col("train") > 0), count(F.col("train") == 1), count(F.col("train") == 2)
-    ).first()
+    n_words, v_words = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1))).first()
     n, v = n_words + ends, v_words + (ends > 0)
     floor = n + ALPHA * (v + 1)
-    less = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5  # the discount of a count
-    share, end = (less * v / n, (ends - less) / n) if ends else (0.5, 0.5)
-    weight = piece_weights(words, path, rounds)
+    end = (ends + 0.5) / (n + 1)  # never 0 or 1
+    weight = np.array(vocabulary(path).weight)
 
     @F.pandas_udf("double")
-    def lattice_log10(column: pd.Series, train: pd.Series) -> pd.Series:
-        subwords = math.log(share) + log_marginals([w.decode("utf-8", "surrogatepass") for w in column], weight, path)
-        c = train.to_numpy()
-        whole = np.where(c > 0, np.log(np.maximum(c - less, 1e-300) / max(n, 1)), -np.inf)
-        return pd.Series(np.logaddexp(whole, subwords) / math.log(10))
+    def lattice_log10(column: pd.Series) -> pd.Series:
+        return pd.Series((math.log1p(-end) + log_marginals([w.decode("utf-8", "surrogatepass") for w in column], weight, path)) / math.log(10))
 
     scored = words.select(
         "word", "uses", (F.col("train") > 0).cast("long").alias("known"), F.log10((F.col("train") + ALPHA) / F.lit(floor)).alias("base"),
-        lattice_log10("word", "train").alias("lattice"),
+        lattice_log10("word").alias("lattice"),
     )
     scored = stored(scored, "scored")
     # the head: a bounded number of bounded words

@@ -9,6 +9,7 @@ filters each different word of some texts once, and draws for all its occurrence
 from __future__ import annotations
 
 import math
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -66,14 +67,14 @@ class Sampler:
         return pieces, count
 
     def _long(self, part: str, draws: np.ndarray) -> np.ndarray:
-        """The pieces of one word from the end on, without a matrix."""
-        ends, weight, size = self.vocabulary.edges(MARKER + part), self.weight.tolist(), self.vocabulary.size
-        total, back, j = forward(ends, weight), [], len(ends) - 1
-        for draw in draws.tolist():
-            edges = ends[j]
+        """The pieces of one word from the end on, without a matrix; memory is linear in the word."""
+        vocab, weight, word = self.vocabulary, self.weight.tolist(), MARKER + part
+        total, back, j, size = forward(vocab, word, weight), array("q"), len(word), vocab.size
+        for draw in draws:
+            edges = vocab.ending(word, j)
             shares = list(accumulate(math.exp(total[i] + sum([weight[x] for x in ids]) - total[j]) for i, ids in edges))
             start, ids = edges[min(bisect_right(shares, draw * shares[-1]), len(edges) - 1)]
-            back.append(ids[0] if ids[0] in self.vocabulary.whole else size + ord(part[start - 1]))
+            back.append(ids[0] if ids[0] in vocab.whole else size + ord(word[start]))
             j = start
             if not j:
                 break
