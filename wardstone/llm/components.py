@@ -43,6 +43,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select(F.col("a").alias("n"), F.col("b").alias("m")).union(links.select(F.col("b").alias("n"), F.col("a").alias("m")))
     near = both if large else both.where("m < n")
     least = near.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+    least = stored(least, "least")  # a written table, so that the join's own exchange can split the links of a hot node
     moved = near.where("m > n") if large else near
     joined = moved.join(least, "n")
     out = joined.select(F.col("low").alias("a"), F.col("m").alias("b"))
@@ -51,7 +52,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (long columns a, b): root is the least node reachable.
 
     Each round writes its links to the shared folder; it ends when a round changes none, after about log2 of the
@@ -59,11 +60,10 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """
     now = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").mapInPandas(_local, "a long, b long"), "links")
     mark = None
-    for _ in range(rounds):
+    while True:
         after = stored(_star(_star(now, True), False), "links")
         new = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         now = after
         if new == mark:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         mark = new
-    raise RuntimeError(f"not joined after {rounds} rounds")
