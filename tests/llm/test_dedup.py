@@ -3,18 +3,22 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wardstone.llm.bloom import column_filter
+from wardstone.llm import bloom, suffix_dedup
+from wardstone.llm.bloom import SENT_SCHEMA, column_filter, layout, repeat_filters, sent
 from wardstone.llm.exact_dedup import exact_dedup, exact_groups
 from wardstone.llm.line_dedup import line_dedup
 from wardstone.llm.simhash import fingerprint, near_dedup, simhash_groups
-from wardstone.llm.suffix_dedup import anchors, suffix_array_dedup
+from wardstone.llm.suffix_dedup import _sorter, anchors, suffix_array_dedup
 from wardstone.llm.suffix_sort import suffix_order
 
 LONG = " ".join(f"word{i % 977} of a very long text" for i in range(5_000))
@@ -171,15 +175,20 @@ def brute_spans(rows, length=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("crowd", [1000, 2])
-def test_suffix_array_dedup(spark, crowd):
+@pytest.mark.parametrize("crowd, filter_bytes", [(1000, 32 << 20), (2, 32 << 20), (1000, 700), (1000, 1)])  # one pass, some, none with a filter
+def test_suffix_array_dedup(spark, monkeypatch, crowd, filter_bytes):
+    passes = []
+    monkeypatch.setattr(suffix_dedup, "_runs_of", lambda docs, suspects, *rest, own=suffix_dedup._runs_of: passes.append(suspects) or own(docs, suspects, *rest))
+    monkeypatch.setattr(bloom, "LEAST_BITS", 1 << 10)
     rng = random.Random(2)
     passage = "".join(rng.choices("abcdefgh é", k=300))
     rows = [r for r in ROWS if r[1] != LONG]
     rows += [(100 + i, "".join(rng.choices("xyz ", k=40)) + passage[rng.randint(0, 100) : rng.randint(150, 300)] + "".join(rng.choices("xyz ", k=40))) for i in range(40)]
     rows += [(200 + i, "ab" * rng.randint(0, 150)) for i in range(8)] + [(300, "a" * 70_000), (301, "a" * 120)]
-    got = suffix_array_dedup(clash(frame(spark, rows)), crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = suffix_array_dedup(clash(frame(spark, rows)), crowd=crowd, filter_bytes=filter_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute_spans(rows)
+    assert passes == [None] if filter_bytes == 1 else len(passes) == 1 or filter_bytes == 700
+    assert filter_bytes != 700 or 1 < len(passes) < 9
 
 
 def test_suffix_array_dedup_edges(spark):
@@ -201,6 +210,32 @@ def test_suffix_order(parts):
     assert keys == sorted(keys)
 
 
+def test_suffix_order_is_linear():
+    began, n = time.process_time(), 1 << 17
+    order = suffix_order(b"\0" + b"a" * n + b"b\0", [0, n + 2])
+    assert order == [*range(1, n + 1), n + 1] and time.process_time() - began < 5
+
+
+def test_colliding_contexts_are_seen():
+    row = lambda part, doc: {"h": 1, "c": 2, "n": 1, "p": 0, "part": part, "low": doc, "high": doc}
+    with pytest.raises(ValueError):
+        list(_sorter(50, 28)([pd.DataFrame([row(b"x" * 50, 1), row(b"y" * 50, 2)])]))
+
+
+def test_filters_in_passes(spark):
+    """Each repeat is suspected in one pass, and few others are, however small the filters."""
+    df = spark.range(60_000).select(F.xxhash64(F.col("id") % 50_000).alias("h"))
+    hashes, where = np.array([r["h"] for r in df.collect()]), layout(60_000)
+    payload = df.mapInPandas(lambda frames: sent((f["h"].to_numpy() for f in frames), where), SENT_SCHEMA)
+    for size, passes in ((32 << 20, 1), (6_000, 3)):
+        filters = list(repeat_filters(payload, where, size, 8))
+        held = [x.suspects(hashes) for x in filters]
+        assert len(filters) == passes and sum(x.held.value.nbytes for x in filters) < 15_000
+        total = np.sum(held, axis=0)
+        assert total.max() == 1 and total[:10_000].all() and total[50_000:].all() and total.sum() < 22_000
+    assert list(repeat_filters(payload, where, 1, 8)) == [None]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.binary(min_size=50, max_size=400))
 def test_equal_windows_have_equal_anchors(raw):

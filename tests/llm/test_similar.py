@@ -3,13 +3,10 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 from test_dedup import ROWS, brute_fingerprint, clash, frame
 
-from wardstone.llm.common import stored
-from wardstone.llm.components import connected_components
 from wardstone.llm.simhash import near_dedup
-from wardstone.llm.similar import SETS, _sets, similar_groups, similar_links
+from wardstone.llm.similar import similar_groups
 
 
 def brute_set(text, shingle=5):
@@ -75,13 +72,8 @@ def test_late_shingles_and_parts_of_buckets_change_nothing(spark):
     notice = [f"notice{i}" for i in range(40)]
     own = [" ".join([*(f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([3, 10, 60]))), *notice]) for _ in range(60)]
     rows = [*near_rows(4), *enumerate(own)]
-    sets = stored(frame(spark, rows).select("doc_id", F.col("text").alias("t")).mapInPandas(_sets(5), SETS), "sets")
-    parts = connected_components(stored(similar_links(sets, 0.8, crowd=3, share=1, part=5), "links"))
-    named = sets.join(parts, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).collect()
-    by: dict = {}
-    for r in named:
-        by.setdefault(r["root"], []).append(r["doc_id"])
-    assert sorted(((d, min(group)) for group in by.values() for d in group), key=str) == brute_groups(rows)
+    got = similar_groups(clash(frame(spark, rows)), crowd=3, share=1, part=5).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_groups(rows)
 
 
 def test_a_crowd_of_similar_texts(spark):

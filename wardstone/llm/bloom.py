@@ -2,14 +2,16 @@
 
 A hash belongs to one segment (by its top bits) and sets PROBES bits there. Tasks send each distinct hash once per
 flush to its segment, as 32 bits; a hash that a flush holds twice is marked so. Each segment streams what it gets
-through two filters: a hash that the once filter already holds enters the twice filter. Only the twice filter goes to
-the executors. Its size follows the number of hashes up to MAX_BYTES; past that it fills up and more hashes are
-suspected, which costs shuffle but loses no repeat.
+through its once filter, which grows with the data and stays in the segment's task: a hash that it already holds is a
+repeat. Only the repeats enter the twice filter, which goes to the executors. Its size follows the number of repeats up
+to a bound. Past that a caller takes the segments in several passes, each with a filter within the bound, or one
+filter that fills up: then more hashes are suspected, which costs shuffle but loses no repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,19 +19,32 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of one segment; bits for each expected hash; bits set by a hash; the broadcast's bound in bytes.
-SEGMENT_BITS, BITS_PER_HASH, PROBES, MAX_BYTES = 1 << 18, 12, 4, 32 << 20
+from .common import stored
+
+#: Bits for each expected hash in the once filters and for each repeat in the twice filter; bits set by a hash; the
+#: broadcast's bound in bytes.
+BITS_PER_HASH, BITS_PER_REPEAT, PROBES, MAX_BYTES = 12, 10, 4, 32 << 20
+#: Least and most bits of a segment; segments that are cut before segments grow.
+LEAST_BITS, MOST_BITS, SEGMENTS = 1 << 18, 1 << 25, 1 << 12
 #: Hashes that a task gathers before it sends them.
 FLUSH = 1 << 20
 
-_SENT = "segment int, once binary, twice binary"
+SENT_SCHEMA = "segment int, once binary, twice binary"
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How many segments there are, and the bits of the once filter of each."""
 
+    segments: int
+    bits: int
 
-def segment_count(expected: int, max_bytes: int = MAX_BYTES) -> int:
-    """A power of two, so that ``expected`` hashes get BITS_PER_HASH bits each, within ``max_bytes``."""
-    most = max(1, max_bytes * 8 // SEGMENT_BITS)
-    need = max(1, -(-expected * BITS_PER_HASH // SEGMENT_BITS))
-    return min(1 << (need - 1).bit_length(), 1 << (most.bit_length() - 1))
+
+def layout(expected: int) -> Layout:
+    """Powers of two, so that ``expected`` hashes get BITS_PER_HASH bits each in the once filters."""
+    need = 1 << (max(LEAST_BITS, expected * BITS_PER_HASH) - 1).bit_length()
+    bits = min(MOST_BITS, max(LEAST_BITS, need // SEGMENTS))
+    return Layout(need // bits, bits)
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
@@ -45,21 +60,21 @@ def _placed(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) & np.uint64(segments - 1)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    """PROBES bit numbers of each key, one row a probe."""
+def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """PROBES bit numbers under ``size`` of each key, one row a probe."""
     a = keys.astype(np.uint64)
     b = (a * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(29)
-    return np.stack([((a + np.uint64(i) * b) ^ (b >> np.uint64(7))) % np.uint64(SEGMENT_BITS) for i in range(PROBES)]).astype(np.int64)
+    return np.stack([((a + np.uint64(i) * b) ^ (b >> np.uint64(7))) % np.uint64(size) for i in range(PROBES)]).astype(np.int64)
 
 
-def sent(batches: Iterable[np.ndarray], segments: int, all_twice: bool = False) -> Iterator[pd.DataFrame]:
+def sent(batches: Iterable[np.ndarray], where: Layout, all_twice: bool = False) -> Iterator[pd.DataFrame]:
     """What one task sends to the segments for its hashes; ``all_twice``: each counts as a repeat."""
     held: list[np.ndarray] = []
 
     def flush() -> pd.DataFrame:
         hashes, counts = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        segment, keys = _placed(hashes, segments)
+        segment, keys = _placed(hashes, where.segments)
         order = np.argsort(segment, kind="stable")
         segment, keys, again = segment[order], keys[order], (counts[order] > 1) | all_twice
         starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
@@ -82,21 +97,29 @@ def sent(batches: Iterable[np.ndarray], segments: int, all_twice: bool = False)
         yield flush()
 
 
-def _merger(twice_bits: int):
+def _repeats(size: int):
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Stream rows sorted by segment through the two filters of each segment; gives the twice filters."""
-        at, once, twice = None, None, None
-        packed = lambda: pd.DataFrame({"segment": np.array([at], np.int32), "filter": [np.packbits(twice).tobytes()]})
+        """Stream rows sorted by segment through the once filter of each; gives the distinct keys that repeat."""
+        at, once, found, held = None, None, [], 0
+
+        def packed() -> pd.DataFrame:
+            keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
+            return pd.DataFrame({"segment": np.array([at], np.int32), "n": [len(keys)], "keys": [keys.tobytes()]})
+
         for frame in frames:
             for segment, new, again in zip(frame["segment"], frame["once"], frame["twice"]):
                 if segment != at:
                     if at is not None:
                         yield packed()
-                    at, once, twice = segment, np.zeros(SEGMENT_BITS, np.uint8), np.zeros(twice_bits, np.uint8)
-                bits = _bits(np.frombuffer(new, np.uint32))
-                twice[bits[:, once[bits].all(axis=0)] % twice_bits] = 1
+                    at, once, found, held = segment, np.zeros(size, np.uint8), [], 0
+                keys = np.frombuffer(new, np.uint32)
+                bits = _bits(keys, size)
+                found += keys[once[bits].all(axis=0)], np.frombuffer(again, np.uint32)
                 once[bits] = 1
-                twice[_bits(np.frombuffer(again, np.uint32)) % twice_bits] = 1
+                held += len(found[-1]) + len(found[-2])
+                if held > 1 << 20:
+                    found = [np.unique(np.concatenate(found))]
+                    held = 0
         if at is not None:
             yield packed()
 
@@ -104,16 +127,18 @@ def _merger(twice_bits: int):
 
 
 class RepeatFilter:
-    """The broadcast twice filter; ``suspects`` tells which hashes may occur twice or more."""
+    """A broadcast twice filter of the segments from ``low`` on; ``suspects`` tells which hashes may occur twice or more."""
 
-    def __init__(self, held: Broadcast, segments: int, twice_bits: int):
-        self.held, self.segments, self.twice_bits = held, segments, twice_bits
+    def __init__(self, held: Broadcast, segments: int, size: int, low: int, high: int):
+        self.held, self.segments, self.size, self.low, self.high = held, segments, size, low, high
 
     def suspects(self, hashes: np.ndarray) -> np.ndarray:
         segment, keys = _placed(hashes, self.segments)
-        bits = self.held.value
-        at = segment * self.twice_bits + _bits(keys) % self.twice_bits
-        return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+        bits, whole = self.held.value, self.high - self.low == self.segments
+        own = segment if whole else np.clip(segment - self.low, 0, self.high - self.low - 1)
+        at = own * self.size + _bits(keys, self.size)
+        out = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+        return out if whole else out & (segment >= self.low) & (segment < self.high)
 
     def holds(self, column: Column) -> Column:
         """Whether the hash in a long column is suspected; a null is not."""
@@ -125,27 +150,51 @@ class RepeatFilter:
         return suspected(F.coalesce(column, F.lit(0).cast("long"))) & column.isNotNull()
 
 
-def repeat_filter(payload: DataFrame, segments: int, twice_bits: int = SEGMENT_BITS) -> RepeatFilter:
-    """Merge the rows of ``sent`` by segment and broadcast the twice filters, ``segments`` times ``twice_bits`` bits.
+def repeat_filters(payload: DataFrame, where: Layout, max_bytes: int = MAX_BYTES, most: int = 1) -> Iterator[RepeatFilter | None]:
+    """Merge the rows of ``sent`` by segment and broadcast the twice filters, each of ``max_bytes`` at most.
 
-    Fewer ``twice_bits`` than SEGMENT_BITS suit hashes of which few repeat.
+    There are as many as the repeats need, each for a range of segments. If that is more than ``most`` there is one,
+    which is full if ``most`` is 1, and else None: any hash may repeat.
     """
-    merged = payload.repartition("segment").sortWithinPartitions("segment").mapInPandas(_merger(twice_bits), "segment int, filter binary")
-    size = twice_bits // 8
-    bits = np.zeros(segments * size, np.uint8)
-    for row in merged.collect():  # the filters themselves, of bounded size
-        bits[row.segment * size : (row.segment + 1) * size] = np.frombuffer(bytes(row["filter"]), np.uint8)
-    return RepeatFilter(payload.sparkSession.sparkContext.broadcast(bits), segments, twice_bits)
+    merged = payload.repartition("segment").sortWithinPartitions("segment").mapInPandas(_repeats(where.bits), "segment int, n long, keys binary")
+    repeats = stored(merged, "repeats")
+    largest = repeats.agg(F.max("n")).first()[0] or 0
+    size, bound = max(64, -(-largest * BITS_PER_REPEAT // 64) * 64), max_bytes * 8
+    passes = -(-where.segments * size // bound)
+    if passes > most:
+        if most > 1:
+            yield None
+            return
+        passes, size = 1, max(64, bound // where.segments // 64 * 64)
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for segment, keys in zip(frame["segment"], frame["keys"]):
+                bits = np.zeros(size, np.uint8)
+                bits[_bits(np.frombuffer(keys, np.uint32), size)] = 1
+                yield pd.DataFrame({"segment": np.array([segment], np.int32), "filter": [np.packbits(bits).tobytes()]})
+
+    passes = min(passes, where.segments)
+    for i in range(passes):
+        low, high = where.segments * i // passes, where.segments * (i + 1) // passes
+        bits = np.zeros((high - low) * size // 8, np.uint8)
+        some = repeats.where((F.col("segment") >= low) & (F.col("segment") < high)).select("segment", "keys")
+        for row in some.mapInPandas(drawn, "segment int, filter binary").toLocalIterator():  # the filters themselves, of bounded size
+            at = (row["segment"] - low) * size // 8
+            bits[at : at + size // 8] = np.frombuffer(bytes(row["filter"]), np.uint8)
+        yield RepeatFilter(payload.sparkSession.sparkContext.broadcast(bits), where.segments, size, low, high)
+
+
+def repeat_filter(payload: DataFrame, where: Layout, max_bytes: int = MAX_BYTES) -> RepeatFilter:
+    """The one filter of all segments; if the repeats need more than ``max_bytes`` it suspects more than they."""
+    return next(repeat_filters(payload, where, max_bytes))
 
 
 def column_filter(rows: DataFrame, hash_col: str, expected: int, max_bytes: int = MAX_BYTES, members: bool = False) -> RepeatFilter:
     """The filter of the hashes that occur twice or more in a long column, or, with ``members``, of all of them."""
-    segments = segment_count(expected, max_bytes)
+    where = layout(expected)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from sent((frame["h"].to_numpy() for frame in frames), segments, members)
-
-    return repeat_filter(rows.select(F.col(hash_col).alias("h")).where("h is not null").mapInPandas(send, SENT_SCHEMA), segments)
-
+        yield from sent((frame["h"].to_numpy() for frame in frames), where, members)
 
-SENT_SCHEMA = _SENT
+    return repeat_filter(rows.select(F.col(hash_col).alias("h")).where("h is not null").mapInPandas(send, SENT_SCHEMA), where, max_bytes)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import MAX_BYTES, SENT_SCHEMA, repeat_filter, segment_count, sent
+from .bloom import MAX_BYTES, SENT_SCHEMA, layout, repeat_filter, sent
 from .common import ASCII_SPACE, stored, text_of
 
 _SPACE = ASCII_SPACE.encode()
@@ -50,12 +50,12 @@ def line_dedup(
     text = text_of(text_col)
     some = docs.where(F.col(id_col).isNotNull())
     expected = some.agg(F.sum(F.regexp_count(text, F.lit("\n")) + 1)).first()[0] or 1
-    segments = segment_count(expected, max_bytes)
+    where = layout(expected)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from sent((_hashes([k for t in frame["t"] for k in _keys(t, min_chars)]) for frame in frames), segments)
+        yield from sent((_hashes([k for t in frame["t"] for k in _keys(t, min_chars)]) for frame in frames), where)
 
-    held = repeat_filter(some.select(text.alias("t")).mapInPandas(send, SENT_SCHEMA), segments)
+    held = repeat_filter(some.select(text.alias("t")).mapInPandas(send, SENT_SCHEMA), where, max_bytes)
 
     def found(texts: pd.Series) -> list[list[bytes]]:
         keys = [_keys(t, min_chars) for t in texts]

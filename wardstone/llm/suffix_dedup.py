@@ -2,7 +2,8 @@
 
 Spark deals the work out by content. Each window of ``length`` bytes is filed under its anchor, the leftmost of its
 ANCHOR-byte strings with the least hash, so equal windows meet under one anchor. Anchors that only one document holds
-leave by a once-seen/twice-seen filter. Of equal whole texts only the row with the least id goes this way, as the others
+leave by a once-seen/twice-seen filter, whose size follows the data; if it would be too large to broadcast, the anchors
+are taken in several passes, by ranges of their hashes, and past MOST_PASSES all anchors travel. Of equal whole texts only the row with the least id goes this way, as the others
 lose all their bytes to it. Neighbouring windows with the same anchor travel as one context; equal contexts
 are merged before and after the shuffle, with the least document that holds them. A task then sorts the suffixes of the
 contexts of many anchors by Lyndon-prefix groups (suffix_sort), equal windows stand side by side in that order, and
@@ -20,15 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import SEGMENT_BITS, SENT_SCHEMA, RepeatFilter, column_filter, repeat_filter, segment_count, sent
+from .bloom import MAX_BYTES, SENT_SCHEMA, RepeatFilter, column_filter, layout, repeat_filters, sent
 from .common import stored, text_of
 from .suffix_sort import suffix_order
 
 #: Bytes of a repeated string, and of an anchor in it.
 LENGTH, ANCHOR = 50, 28
-#: Bound of a broadcast filter; past it more anchors are suspected, which costs shuffle but loses nothing. Bits of the
-#: filter of repeated anchors in each segment: few anchors repeat.
-FILTER_BYTES, REPEAT_BITS = 32 << 20, 1 << 15
+#: Bound of a broadcast filter of repeated anchors, and most passes with such a filter each, every one of which hashes all
+#: texts again; past that one pass without a filter shuffles every context, 6 to 9 times the input.
+FILTER_BYTES, MOST_PASSES = MAX_BYTES, 8
 #: Different contexts of an anchor from which its windows are dealt out one by one, and most such anchors (8 bytes each).
 CROWD, MOST_CROWDED = 1000, 1 << 20
 #: Crowds are found on one document of so many, by a hash of its id; this steers where windows go, never what is found.
@@ -72,12 +73,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MUL)
+_BYTE_TOO = _mixed(_BYTE ^ _MUL)
 
 
-def _content_hashes(octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes from each start to each end, wherever they stand."""
+def _content_hashes(octets: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to each end, wherever they stand; ``of``: a number for each byte."""
     power, inverse = _powers(1 << max(len(octets) - 1, 1).bit_length())
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[octets] * power[: len(octets)], dtype=np.uint64)]
+    sums = np.r_[np.uint64(0), np.cumsum(of[octets] * power[: len(octets)], dtype=np.uint64)]
     return _mixed((sums[end] - sums[start]) * inverse[start])
 
 
@@ -144,13 +146,14 @@ def _raw(text: str) -> bytes:
 class Cutter:
     """The contexts of suspected anchors of texts, as arrays: text, h, hash of the context, first window, windows, anchor's offset."""
 
-    def __init__(self, suspects: RepeatFilter, crowded: np.ndarray, length: int, k: int):
+    def __init__(self, suspects: RepeatFilter | None, crowded: np.ndarray, length: int, k: int):
         self.suspects, self.crowded, self.length, self.k = suspects, crowded, length, k
 
     def __call__(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         for text, first, many, place, hashes, content in anchors_of(raws, self.length, self.k):
-            keep = self.suspects.suspects(hashes.view(np.int64))
-            text, first, many, place, hashes, content = (x[keep] for x in (text, first, many, place, hashes, content))
+            if self.suspects:
+                keep = self.suspects.suspects(hashes.view(np.int64))
+                text, first, many, place, hashes, content = (x[keep] for x in (text, first, many, place, hashes, content))
             h, c, offset = hashes.view(np.int64), content.view(np.int64), place - first
             full = np.isin(h, self.crowded) if len(self.crowded) else np.zeros(len(h), bool)
             if full.any():  # window by window: each is a context of its own, filed under its own bytes
@@ -160,8 +163,9 @@ class Cutter:
                     n = many[mine]
                     window = np.repeat(first[mine] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())
                     low, high = int(window.min()), int(window.max()) + self.length
-                    own = _content_hashes(np.frombuffer(raws[i], np.uint8, high - low, low), window - low, window - low + self.length)
-                    more = (np.full(len(window), i), _mixed(own * _MUL).view(np.int64), own.view(np.int64), window, np.ones(len(window), np.int64), np.repeat(place[mine], n) - window)
+                    octets, start = np.frombuffer(raws[i], np.uint8, high - low, low), window - low
+                    own, too = (_content_hashes(octets, start, start + self.length, of) for of in (_BYTE, _BYTE_TOO))
+                    more = (np.full(len(window), i), too.view(np.int64), own.view(np.int64), window, np.ones(len(window), np.int64), np.repeat(place[mine], n) - window)
                     parts = [np.r_[x, y] for x, y in zip(parts, more)]
                 text, h, c, first, many, offset = parts
             if len(h):
@@ -212,6 +216,12 @@ def _window_owners(contexts: list[tuple], length: int, k: int) -> pd.DataFrame:
     })
 
 
+def _same(a: bytes, b: bytes) -> None:
+    """Equal hashes stand for equal bytes from here on; all contexts of one hash meet here, so that none goes unseen."""
+    if a != b:
+        raise ValueError("two contexts of one anchor have the same 64-bit hash: run with another length of anchors")
+
+
 def _sorter(length: int, k: int, block: int = BLOCK):
     """Rows sorted by h, a bucket's rows all in one partition: the owners of the windows of each different context."""
 
@@ -252,6 +262,7 @@ def _sorter(length: int, k: int, block: int = BLOCK):
                 if old is None:
                     bucket[row[1]] = row
                 else:
+                    _same(old[4], row[4])
                     bucket[row[1]] = (*old[:5], min(old[5], row[5]), max(old[6], row[6]))
         close()
         yield from out()
@@ -262,7 +273,7 @@ def _sorter(length: int, k: int, block: int = BLOCK):
 def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter_bytes: int = FILTER_BYTES, crowd: int = CROWD) -> DataFrame:
     """Rows (id, mark, starts, ends) of the byte runs to remove, for ``docs`` (id long, mark long, t string)."""
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    segments = segment_count(2 * total // (length - k + 2) + 1, filter_bytes * SEGMENT_BITS // REPEAT_BITS)
+    where = layout(2 * total // (length - k + 2) + 1)
 
     def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for frame in frames:
@@ -271,34 +282,37 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter
                 h, text = h[order], text[order]
                 yield h[np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]].view(np.int64)
 
-    suspects = repeat_filter(docs.select("t").mapInPandas(lambda frames: sent(hashes(frames), segments), SENT_SCHEMA), segments, REPEAT_BITS)
+    payload = docs.select("t").mapInPandas(lambda frames: sent(hashes(frames), where), SENT_SCHEMA)
+    runs = None
+    for suspects in repeat_filters(payload, where, filter_bytes, MOST_PASSES):
+        some = _runs_of(docs, suspects, length, k, crowd)
+        if runs is not None or suspects and suspects.high < suspects.segments:  # of several: so that its filter can go
+            some = stored(some, "pass")
+            suspects.held.unpersist()
+        runs = some if runs is None else runs.union(some)
+    return runs.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
 
-    def crowds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Anchors with two different contexts or more in this task."""
-        cut, seen, size = Cutter(suspects, np.zeros(0, np.int64), length, k), [], 0
 
-        def counted() -> pd.DataFrame:
-            pairs = pd.DataFrame(np.concatenate(seen or [np.zeros((0, 2), np.int64)]), columns=["h", "c"]).drop_duplicates()
-            n = pairs.groupby("h").size()
-            seen.clear()
-            return n[n > 1].rename("n").reset_index()
+def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int, crowd: int) -> DataFrame:
+    """Rows (id, mark, s, e): the byte runs to remove for the windows of the anchors that ``suspects`` has; None: of all."""
 
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Anchors and hashes of their contexts, each pair once in a while."""
+        cut, seen, size = Cutter(suspects, np.zeros(0, np.int64), length, k), [], 0
         for frame in frames:
             for _, h, c, *_ in cut([_raw(t) for t in frame["t"]]):
-                seen.append(np.stack((h, c), axis=1))
+                seen.append(pd.DataFrame({"h": h, "c": c}))
                 size += len(h)
                 if size >= 4 * MERGED:
-                    size = 0
-                    yield counted()
-        yield counted()
+                    yield pd.concat(seen).drop_duplicates()
+                    seen, size = [], 0
+        if seen:
+            yield pd.concat(seen).drop_duplicates()
 
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(CROWD_SHARE)) == 0).select("t")
-    counts = some.mapInPandas(crowds, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > crowd // CROWD_SHARE)
-    full = stored(counts, "crowded")
-    if (many := full.count()) > MOST_CROWDED:  # then only the largest are dealt out window by window
-        least = full.approxQuantile("n", [1 - MOST_CROWDED / many], 0.0)[0]
-        full = full.where(F.col("n") > least)
-    crowded = np.sort(np.array([r["h"] for r in full.select("h").collect()], np.int64))
+    counts = some.mapInPandas(pairs, "h long, c long").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd // CROWD_SHARE)
+    full = counts.orderBy(F.desc("n"), "h").limit(MOST_CROWDED).select("h").toArrow()  # if there are more, the largest
+    crowded = np.sort(full.column(0).to_numpy())
     held = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,6 +325,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter
             edge = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
             one = order[edge]
             parts.clear()
+            first = np.repeat(one, np.diff(np.r_[edge, len(order)]))
+            for i in np.flatnonzero(first != order).tolist():
+                x, y = first[i], order[i]
+                _same(raws[row[x]][q[x] : q[x] + n[x] + length - 1], raws[row[y]][q[y] : q[y] + n[y] + length - 1])
             return pd.DataFrame({
                 "h": h[edge], "c": c[edge], "n": n[one].astype(np.int32), "p": p[one].astype(np.int32),
                 "part": [raws[r][a:b] for r, a, b in zip(row[one].tolist(), q[one].tolist(), (q[one] + n[one] + length - 1).tolist())],
@@ -353,8 +371,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter
             yield gathered()
 
     spots = docs.mapInPandas(places, "h long, c long, id long, mark long, q int")
-    runs = spots.join(owners, ["h", "c"]).where("m < id").select("id", "mark", (F.col("q") + F.col("a")).alias("s"), (F.col("q") + F.col("b") + length).alias("e"))
-    return runs.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    return spots.join(owners, ["h", "c"]).where("m < id").select("id", "mark", (F.col("q") + F.col("a")).alias("s"), (F.col("q") + F.col("b") + length).alias("e"))
 
 
 def _merge(runs: list) -> list[tuple[int, int]]:
