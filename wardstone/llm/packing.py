@@ -192,7 +192,8 @@ def best_fit_packing(
         [(n, [x[1:] for x in rows if x[0] == n]) for n in by_length],
         "length long, slots array<struct<first_rank: long, ranks: long, each: long, first_sequence: long, at: long>>",
     )
-    ranked = cut.join(bases.select("length", "part", "base"), ["length", "part"]).withColumn("place", F.col("base") + F.col("rank"))
+    # a row for each length and task, which grows with the tasks: no broadcast; both sides are written tables, so Spark can split a hot length
+    ranked = cut.join(bases.select("length", "part", "base").hint("merge"), ["length", "part"]).withColumn("place", F.col("base") + F.col("rank"))
     # at most ``capacity`` rows, and at most PLAN_ROWS slots in them, or else a join that Spark plans by size
     placed = ranked.join(F.broadcast(slots) if len(rows) <= PLAN_ROWS else slots, "length")
     mine = lambda s: (s["first_rank"] <= F.col("place")) & (F.col("place") < s["first_rank"] + s["ranks"])
