@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardstone.functions import scalars as x
 from wardstone.functions.temporal import instant
 from wardstone.operators import audit, integrity, lifecycle, reads
+from wardstone.plans import rules
 
 
 def chain(spark):
@@ -123,11 +124,17 @@ def test_integrity_finds_injected_rows(spark):
     blank = integrity.check_violations(Tables.organizations, *integrity.CHECKS[0][:1], "organizations", "organization_id", integrity.CHECKS[0][3])
     assert [r["row_key"] for r in blank.collect()] == ["2"]
     assert integrity.unique_violations(Tables.organizations, "C8", "organizations", ("lower(slug)",)).first()["row_key"] == "a"
-    gone = integrity.foreign_violations(Tables.programs, Tables.organizations, "C11", "programs", "program_id", ("organization_id",), ("organization_id",))
+    gone = integrity.foreign_violations(Tables.programs, "programs", "program_id", [("C11", ("organization_id",), Tables.organizations, ("organization_id",))])
     assert [r["row_key"] for r in gone.collect()] == ["2"]
     assert integrity.legacy_guard({"programs": Tables.programs, "none": Tables.programs.limit(0)}) == {"programs": True, "none": False}
 
 
+@pytest.mark.parametrize("rule", sorted({x[0] for x in (*integrity.CHECKS, *integrity.UNIQUE, *integrity.FOREIGN)}))
+def test_each_constraint_finds_what_was_planted(spark, rule):
+    got = {r["table_name"] for r in integrity.violations(rules.Spoiled(spark, "/root/testdata/sf0.01"), rule).select("table_name").distinct().collect()}
+    assert got == {x[1] for x in (*integrity.CHECKS, *integrity.UNIQUE, *integrity.FOREIGN) if x[0] == rule}
+
+
 @pytest.mark.parametrize("status,want", [("ok", 200), ("workspace_not_found", 404), ("principal_inactive", 403)])
 def test_private_status(spark, status, want):
     from wardstone.operators.access import private_status

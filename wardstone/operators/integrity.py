@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.model import union_all
 
-#: (rule, table, key, condition that a violating row meets). A null operand passes, as in a CHECK.
+#: (rule, table, key, condition that a violating row meets). A null operand passes, as in a CHECK. Conditions, values and
+#: bounds are fixed values of the model.
 CHECKS = (
     ("C1_blank", "organizations", "organization_id", "length(trim(display_name)) = 0 or length(trim(slug)) = 0"),
     ("C1_blank", "principals", "principal_id", "length(trim(display_name)) = 0"),
@@ -15,22 +16,28 @@ CHECKS = (
     ("C1_blank", "workspaces", "workspace_id", "length(trim(name)) = 0 or length(trim(workspace_code)) = 0"),
     ("C1_blank", "capability_grants", "capability_grant_id", "length(trim(capability_code)) = 0"),
     ("C1_blank", "oidc_identities", "principal_id", "length(trim(issuer)) = 0 or length(trim(subject)) = 0"),
-    ("C2_enum", "principals", "principal_id", "status not in ('active', 'suspended')"),
+    ("C1_blank", "audit_events", "event_id", "length(trim(action_code)) = 0 or length(trim(entity_type)) = 0 or length(trim(entity_id)) = 0 or length(trim(actor_type)) = 0"),
+    ("C1_blank", "idempotency_records", "record_id", "length(trim(route_code)) = 0"),
+    ("C2_enum", "principals", "principal_id", "status not in ('active', 'suspended', 'deactivated')"),
     ("C2_enum", "memberships", "membership_id", "role_code not in ('admin', 'operator', 'reviewer', 'reader') or status not in ('active', 'suspended', 'revoked', 'expired')"),
-    ("C2_enum", "session_rotations", "session_id", "reason not in ('periodic', 'manual_refresh')"),
+    ("C2_enum", "session_rotations", "session_id", "reason not in ('periodic', 'privilege_change', 'manual_refresh', 'concurrent_limit', 'reuse_detected', 'inactivity_refresh')"),
     ("C3_version", "programs", "program_id", "row_version <= 0"),
     ("C3_version", "workspaces", "workspace_id", "row_version <= 0"),
     ("C3_version", "memberships", "membership_id", "row_version <= 0"),
     ("C4_interval", "memberships", "membership_id", "valid_until <= valid_from"),
     ("C4_interval", "capability_grants", "capability_grant_id", "expires_at <= granted_at or revoked_at < granted_at"),
-    ("C4_interval", "oidc_transactions", "oidc_transaction_id", "expires_at <= created_at or consumed_at < created_at or consumed_at > expires_at"),
-    ("C4_interval", "sessions", "session_id", "idle_expires_at <= last_seen_at or absolute_expires_at <= created_at or revoked_at > idle_expires_at"),
+    ("C4_interval", "oidc_transactions", "oidc_transaction_id", "expires_at <= created_at or consumed_at < created_at"),
+    ("C4_interval", "sessions", "session_id", "idle_expires_at <= last_seen_at or absolute_expires_at <= created_at"),
+    ("C4_interval", "idempotency_records", "record_id", "expires_at <= created_at"),
     ("C5_scope", "capability_grants", "capability_grant_id", "(workspace_id is null) = (program_id is null)"),
-    ("C6_hash", "sessions", "session_id", "length(handle_hash) <> 64"),
-    ("C6_hash", "session_rotations", "session_id", "length(old_handle_hash) <> 64 or length(new_handle_hash) <> 64"),
+    ("C6_hash", "audit_events", "event_id", "length(event_hash) <> 64 or length(previous_event_hash) <> 64 or length(source_state_hash) <> 64"),
+    ("C6_hash", "chain_heads", "workspace_id", "length(last_event_hash) <> 64"),
+    ("C6_hash", "idempotency_records", "record_id", "length(key_hash) <> 64 or length(request_hash) <> 64"),
     ("C7_range", "sessions", "session_id", "rotation_counter < 0"),
     ("C7_range", "session_rotations", "session_id", "rotation_number <= 0"),
-    ("C7_range", "audit_source", "event_id", "sequence <= 0"),
+    ("C7_range", "audit_events", "event_id", "sequence <= 0"),
+    ("C7_range", "chain_heads", "workspace_id", "last_sequence < 0"),
+    ("C7_range", "idempotency_records", "record_id", "response_status not between 100 and 599"),
 )
 #: (rule, table, key columns, condition on the rows that count or None). Keys with a null part are all distinct.
 UNIQUE = (
@@ -41,7 +48,8 @@ UNIQUE = (
     ("C8_unique", "sessions", ("handle_hash",), None),
     ("C8_unique", "session_rotations", ("session_id", "rotation_number"), None),
     ("C8_unique", "oidc_transactions", ("state_hash",), None),
-    ("C8_unique", "audit_source", ("workspace_id", "sequence"), None),
+    ("C8_unique", "audit_events", ("workspace_id", "sequence"), None),
+    ("C8_unique", "audit_events", ("workspace_id", "event_hash"), None),
     ("C9_partial_unique", "memberships", ("workspace_id", "principal_id"), "status = 'active'"),
     ("C9_partial_unique", "capability_grants", ("workspace_id", "principal_id", "capability_code"), "revoked_at is null"),
     ("C9_partial_unique", "capability_grants", ("program_id", "principal_id", "capability_code"), "revoked_at is null"),
@@ -49,13 +57,22 @@ UNIQUE = (
 #: (rule, child table, child key, child columns, parent table, parent columns). A null part passes.
 FOREIGN = (
     ("C11_foreign", "programs", "program_id", ("organization_id",), "organizations", ("organization_id",)),
+    ("C11_foreign", "workspaces", "workspace_id", ("organization_id",), "organizations", ("organization_id",)),
     ("C11_foreign", "workspaces", "workspace_id", ("program_id", "organization_id"), "programs", ("program_id", "organization_id")),
     ("C11_foreign", "memberships", "membership_id", ("workspace_id",), "workspaces", ("workspace_id",)),
     ("C11_foreign", "memberships", "membership_id", ("principal_id",), "principals", ("principal_id",)),
     ("C11_foreign", "capability_grants", "capability_grant_id", ("workspace_id",), "workspaces", ("workspace_id",)),
     ("C11_foreign", "capability_grants", "capability_grant_id", ("program_id",), "programs", ("program_id",)),
     ("C11_foreign", "capability_grants", "capability_grant_id", ("principal_id",), "principals", ("principal_id",)),
+    ("C11_foreign", "capability_grants", "capability_grant_id", ("granted_by_principal_id",), "principals", ("principal_id",)),
+    ("C11_foreign", "capability_grants", "capability_grant_id", ("revoked_by_principal_id",), "principals", ("principal_id",)),
+    ("C11_foreign", "oidc_identities", "principal_id", ("principal_id",), "principals", ("principal_id",)),
     ("C11_foreign", "sessions", "session_id", ("principal_id",), "principals", ("principal_id",)),
+    ("C11_foreign", "session_rotations", "session_id", ("session_id",), "sessions", ("session_id",)),
+    ("C11_foreign", "chain_heads", "workspace_id", ("workspace_id",), "workspaces", ("workspace_id",)),
+    ("C11_foreign", "audit_events", "event_id", ("workspace_id",), "workspaces", ("workspace_id",)),
+    ("C11_foreign", "idempotency_records", "record_id", ("workspace_id",), "workspaces", ("workspace_id",)),
+    ("C11_foreign", "idempotency_records", "record_id", ("principal_id",), "principals", ("principal_id",)),
 )
 
 
@@ -69,45 +86,50 @@ def check_violations(df: DataFrame, rule: str, table: str, key: str, broken: str
 
 def unique_violations(df: DataFrame, rule: str, table: str, keys: tuple[str, ...], where: str | None = None, nulls_distinct: bool = True) -> DataFrame:
     """One row per key that occurs more than once; its row_key joins the key's parts by '|'."""
-    parts = [F.expr(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    rows = (df.where(F.expr(where)) if where else df).select(*parts)
-    names = [f"k{i}" for i in range(len(keys))]
-    if nulls_distinct:
-        rows = rows.dropna(subset=names)
-    again = rows.groupBy(*names).count().where("count > 1")
-    return _rows(again, rule, table, F.concat_ws("|", *(F.coalesce(F.col(n).cast("string"), F.lit("null")) for n in names)))
-
-
-def foreign_violations(child: DataFrame, parent: DataFrame, rule: str, table: str, key: str, own: tuple[str, ...], theirs: tuple[str, ...]) -> DataFrame:
-    known = parent.select(*(F.col(c).alias(f"__p{i}") for i, c in enumerate(theirs))).distinct()
-    held = child.dropna(subset=list(own))
-    on = [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(own)]
-    return _rows(held.join(known, on, "left_anti"), rule, table, F.col(key))
+    return all_unique_violations(df, table, [(rule, keys, where)], nulls_distinct)
+
+
+def all_unique_violations(df: DataFrame, table: str, rules: list[tuple[str, tuple[str, ...], str | None]], nulls_distinct: bool = True) -> DataFrame:
+    """As ``unique_violations`` for several (rule, keys, where) in one scan and one exchange."""
+    held = []
+    for i, (rule, keys, where) in enumerate(rules):
+        parts = [F.expr(k).cast("string") for k in keys]
+        counts = F.expr(where) if where else F.lit(True)
+        if nulls_distinct:
+            for part in parts:
+                counts = counts & part.isNotNull()
+        held.append(F.when(counts, F.struct(F.lit(i).alias("i"), F.lit(rule).alias("rule"), F.array(*parts).alias("parts"))))
+    rows = df.select(F.explode(F.array_compact(F.array(*held))).alias("key")).select("key.*")
+    again = rows.groupBy("i", "rule", "parts").count().where("count > 1")
+    text = F.array_join(F.transform("parts", lambda x: F.coalesce(x, F.lit("null"))), "|")
+    return again.select("rule", F.lit(table).alias("table_name"), text.alias("row_key"))
+
+
+def foreign_violations(child: DataFrame, table: str, key: str, rules: list[tuple[str, tuple[str, ...], DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """Rows of ``child`` whose own columns have no parent, for several (rule, own, parent, theirs) in one scan."""
+    found, broken = child, []
+    for i, (rule, own, parent, theirs) in enumerate(rules):
+        known = parent.select(*(F.col(c).alias(f"__p{i}_{j}") for j, c in enumerate(theirs))).distinct()
+        found = found.join(known, [F.col(c) == F.col(f"__p{i}_{j}") for j, c in enumerate(own)], "left")
+        lost = F.col(f"__p{i}_0").isNull()
+        for c in own:
+            lost = lost & F.col(c).isNotNull()
+        broken.append(F.when(lost, F.lit(rule)))
+    rows = found.select(F.col(key), F.explode(F.array_compact(F.array(*broken))).alias("__rule"))
+    return rows.select(F.col("__rule").alias("rule"), F.lit(table).alias("table_name"), F.col(key).cast("string").alias("row_key"))
 
 
 def violations(tables, rule: str) -> DataFrame:
-    """All violations of one rule over the tables (attributes of ``tables``)."""
+    """All violations of one rule over the tables (attributes of ``tables``); each table is read once."""
     found = [check_violations(getattr(tables, t), r, t, k, b) for r, t, k, b in CHECKS if r == rule]
-    found += [unique_violations(getattr(tables, t), r, t, ks, w) for r, t, ks, w in UNIQUE if r == rule]
-    found += [foreign_violations(getattr(tables, c), getattr(tables, p), r, c, k, own, theirs) for r, c, k, own, p, theirs in FOREIGN if r == rule]
+    for table in dict.fromkeys(t for r, t, *_ in UNIQUE if r == rule):
+        found.append(all_unique_violations(getattr(tables, table), table, [(r, ks, w) for r, t, ks, w in UNIQUE if (r, t) == (rule, table)]))
+    for table, key in dict.fromkeys((c, k) for r, c, k, *_ in FOREIGN if r == rule):
+        rules = [(r, own, getattr(tables, p), theirs) for r, c, _, own, p, theirs in FOREIGN if (r, c) == (rule, table)]
+        found.append(foreign_violations(getattr(tables, table), table, key, rules))
     return union_all(found)
 
 
-def violations_sql(rule: str) -> str:
-    """The same rules as ANSI SQL."""
-    row = lambda r, t, key, rest: f"select '{r}' as rule, '{t}' as table_name, {key} as row_key {rest}"
-    out = [row(r, t, f"cast({k} as varchar)", f"from {t} where {b}") for r, t, k, b in CHECKS if r == rule]
-    for r, t, keys, where in UNIQUE:
-        if r == rule:
-            held = " and ".join([*(f"{k} is not null" for k in keys), *([where] if where else [])])
-            out.append(row(r, t, " || '|' || ".join(f"cast({k} as varchar)" for k in keys), f"from {t} where {held} group by {', '.join(keys)} having count(*) > 1"))
-    for r, c, k, own, p, theirs in FOREIGN:
-        if r == rule:
-            same, held = " and ".join(f"p.{b} = c.{a}" for a, b in zip(own, theirs)), " and ".join(f"c.{a} is not null" for a in own)
-            out.append(row(r, c, f"cast(c.{k} as varchar)", f"from {c} c where {held} and not exists (select 1 from {p} p where {same})"))
-    return "\nunion all ".join(out)
-
-
 # --- changes between two snapshots ------------------------------------------------------------------------------------
 
 
@@ -128,18 +150,36 @@ def head_violations(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.select(F.col("workspace_id").cast("string").alias("row_key"), change.alias("change")).where("change is not null")
 
 
+def _actions(rows: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
+    return union_all([
+        df.select(F.lit(t).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.lit(action).alias("action")) for df, t, key, action in rows
+    ])
+
+
 def delete_closure(tables, program_id) -> DataFrame:
     """What deleting a program takes with it (cascade), or what forbids it (restrict): (table_name, row_key, action)."""
-    row = lambda df, t, key, action: df.select(F.lit(t).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.lit(action).alias("action"))
-    programs = tables.programs.where(F.col("program_id") == F.lit(program_id))
-    workspaces = tables.workspaces.where(F.col("program_id") == F.lit(program_id))
+    programs, workspaces, grants = (getattr(tables, t).where(F.col("program_id") == F.lit(program_id)) for t in ("programs", "workspaces", "capability_grants"))
     ids = workspaces.select("workspace_id")
-    return union_all([
-        row(programs, "programs", "program_id", "cascade"), row(workspaces, "workspaces", "workspace_id", "cascade"),
-        row(tables.memberships.join(ids, "workspace_id", "left_semi"), "memberships", "membership_id", "cascade"),
-        row(tables.capability_grants.join(ids, "workspace_id", "left_semi"), "capability_grants", "capability_grant_id", "cascade"),
-        row(tables.capability_grants.where(F.col("program_id") == F.lit(program_id)), "capability_grants", "capability_grant_id", "cascade"),
-        row(tables.audit_source.join(ids, "workspace_id", "left_semi"), "audit_events", "event_id", "restrict"),
+    held = lambda t: getattr(tables, t).join(ids, "workspace_id", "left_semi")
+    return _actions([
+        (programs, "programs", "program_id", "cascade"), (workspaces, "workspaces", "workspace_id", "cascade"), (held("memberships"), "memberships", "membership_id", "cascade"),
+        (held("capability_grants"), "capability_grants", "capability_grant_id", "cascade"), (grants, "capability_grants", "capability_grant_id", "cascade"),
+        (held("idempotency_records"), "idempotency_records", "record_id", "cascade"), (held("audit_events"), "audit_events", "event_id", "restrict"),
+        (held("chain_heads"), "chain_heads", "workspace_id", "restrict"),
+    ])
+
+
+def principal_delete_closure(tables, principal_id) -> DataFrame:
+    """What deleting a principal takes with it, and which rows only lose their mention of it (set_null)."""
+    own = lambda t, column="principal_id": getattr(tables, t).where(F.col(column) == F.lit(principal_id))
+    others = F.coalesce(F.col("principal_id") != F.lit(principal_id), F.lit(True))  # the rest goes with the cascade
+    rotations = tables.session_rotations.join(own("sessions").select("session_id"), "session_id", "left_semi")
+    grants = tables.capability_grants.where(others & ((F.col("granted_by_principal_id") == F.lit(principal_id)) | (F.col("revoked_by_principal_id") == F.lit(principal_id))))
+    return _actions([
+        (own("principals"), "principals", "principal_id", "cascade"), (own("memberships"), "memberships", "membership_id", "cascade"),
+        (own("capability_grants"), "capability_grants", "capability_grant_id", "cascade"), (own("oidc_identities"), "oidc_identities", "principal_id", "cascade"),
+        (own("sessions"), "sessions", "session_id", "cascade"), (rotations, "session_rotations", "session_id", "cascade"),
+        (own("idempotency_records"), "idempotency_records", "record_id", "cascade"), (grants, "capability_grants", "capability_grant_id", "set_null"),
     ])
 
 
@@ -171,3 +211,8 @@ def grant_error(t: Column, expires="expires_at") -> Column:
 def legacy_guard(frames: dict[str, DataFrame]) -> dict[str, bool]:
     """Which tables hold rows, so that a migration must not run; one row of each is read."""
     return {name: not df.isEmpty() for name, df in frames.items()}
+
+
+def guarded(frames: dict[str, DataFrame]) -> DataFrame:
+    """``legacy_guard`` as a table: (table_name, holds_rows), from one row of each at most."""
+    return union_all([df.limit(1).agg((F.count("*") > 0).alias("holds_rows")).select(F.lit(name).alias("table_name"), "holds_rows") for name, df in frames.items()])

@@ -198,11 +198,6 @@ query("P5_session_view", f"""select session_id as id, principal_id, case when re
 
 # --- integrity --------------------------------------------------------------------------------------------------------
 
-for _rule in ("C1_blank", "C2_enum", "C3_version", "C4_interval", "C5_scope", "C6_hash", "C7_range", "C8_unique", "C9_partial_unique", "C11_foreign"):
-    query(_rule, integrity.violations_sql(_rule))(lambda m, rule=_rule: integrity.violations(m, rule))
-query("C10_unique_nulls_equal", "select 'C10' as rule, 'request_log' as table_name, coalesce(cast(workspace_id as varchar), 'null') || '|' || principal_id || '|' || route_code || '|' || raw_key as row_key from request_log group by workspace_id, principal_id, route_code, raw_key having count(*) > 1")(
-    lambda m: integrity.unique_violations(m.request_log, "C10", "request_log", ("workspace_id", "principal_id", "route_code", "raw_key"), nulls_distinct=False)
-)
 query("C12_append_only", "select cast(event_id as varchar) as row_key, case when event_id % 50 = 0 then 'deleted' else 'updated' end as change from audit_source where event_id % 50 = 0 or event_id % 97 = 0")(
     lambda m: integrity.append_only_violations(
         m.audit_source, m.audit_source.where("event_id % 50 != 0").withColumn("metadata", F.when(F.col("event_id") % 97 == 0, "{}").otherwise(F.col("metadata"))), "event_id")
@@ -211,11 +206,6 @@ query("C12_heads", "select cast(workspace_id as varchar) as row_key, case when w
     lambda m: (lambda h: integrity.head_violations(h, h.where("workspace_id % 8 != 0").withColumn("last_sequence", F.when(F.col("workspace_id") % 9 == 0, F.col("last_sequence") - 1).otherwise(F.col("last_sequence")))))(
         m.audit_source.groupBy("workspace_id").agg(F.max("sequence").cast("long").alias("last_sequence")))
 )
-query("C13_delete_closure", """select 'programs' as table_name, cast(program_id as varchar) as row_key, 'cascade' as action from programs where program_id = 3 union all
-  select 'workspaces', cast(workspace_id as varchar), 'cascade' from workspaces where program_id = 3 union all
-  select 'memberships', cast(membership_id as varchar), 'cascade' from memberships where workspace_id in (select workspace_id from workspaces where program_id = 3) union all
-  select 'capability_grants', cast(capability_grant_id as varchar), 'cascade' from capability_grants where program_id = 3 or workspace_id in (select workspace_id from workspaces where program_id = 3) union all
-  select 'audit_events', cast(event_id as varchar), 'restrict' from audit_source where workspace_id in (select workspace_id from workspaces where program_id = 3)""")(lambda m: integrity.delete_closure(m, 3))
 _NAMES = ("names", """select workspace_id, case workspace_id % 5 when 0 then workspace_code when 1 then name when 2 then '  ' when 3 then ' ' || workspace_code || ' ' else 'a_b-' || cast(workspace_id as varchar(20)) end as raw from workspaces""")
 
 

@@ -84,8 +84,18 @@ def _hashed(sql: str, form: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the model."""
-    sql = _hashed(VIEWS[name], "sha2(cast({} as binary), 256)").replace("varchar(20)", "string").replace("timestamp '", "timestamp_ntz '")
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_TABLE.findall(sql))})
+    return portable(spark, VIEWS[name], lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+
+def portable(spark: SparkSession, sql: str, table) -> DataFrame:
+    """A SELECT in the views' dialect as Spark's; ``table`` gives the DataFrame of each {name}."""
+    sql = _hashed(sql, "sha2(cast({} as binary), 256)").replace("varchar(20)", "string").replace("timestamp '", "timestamp_ntz '")
+    return spark.sql(sql, **{t: table(t) for t in set(_TABLE.findall(sql))})
+
+
+def ansi_text(sql: str) -> str:
+    """The same SELECT for an ANSI engine, in which every {name} is a table or a view."""
+    return _TABLE.sub(lambda m: m[1], sql)
 
 
 class Model:
@@ -104,7 +114,7 @@ def ansi(sql: str, *more: tuple[str, str]) -> str:
     """An oracle statement: the views that ``sql`` names as common tables, then ``more`` (name, SELECT), before it."""
     texts = [sql, *(text for _, text in more)]
     used = [name for name in VIEWS if any(re.search(rf"\b{name}\b", t) for t in texts)]
-    tables = [(name, _TABLE.sub(lambda m: m[1], VIEWS[name])) for name in used]
+    tables = [(name, ansi_text(VIEWS[name])) for name in used]
     body = ",\n".join(f"{name} as ({text})" for name, text in [*tables, *more])
     return _hashed(f"with {body}\n{sql}" if body else sql, "sha256(cast({} as varchar))")
 
