@@ -94,6 +94,21 @@ def test_scalars(spark):
     assert one(x.pkce_challenge(F.lit("dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk"))) == "E9Melhoa2OwvFrEMTJguCHaoeK1t8URWbuGJSstw-cM"
     assert one(x.pkce_challenge(F.lit("short"))) is None and one(x.canonical_origin(F.lit("null"))) is None
     assert one(x.canonical_origin(F.lit("HTTPS://A.example:443/x"))) == "https://a.example"
+    origins = {"http://[::1]:8080/x": "http://[::1]:8080", "https://[2001:DB8::1]": "https://[2001:db8::1]", "http://h:70000": None, "http://h:0080/": "http://h", "http://h:": "http://h", "http://[::1": None}
+    assert {o: one(x.canonical_origin(F.lit(o))) for o in origins} == origins
+    urls = {"redis://:secret@host/0": "redis://:***@host/0", "POSTGRES://u:secret@h/d": "postgres://u:***@h/d", "postgres://u@h:5432/d": "postgres://u@h:5432/d", "postgres://u:p@ss@h/d": "postgres://u:***@h/d", "none": "none"}
+    assert {u: one(x.masked_url(F.lit(u))) for u in urls} == urls
+    decide = lambda origin, allowed: one(x.csrf_decision(F.lit("POST"), F.lit(True), F.lit(origin), F.lit("t"), allowed, F.lit("t")))
+    assert [decide("https://a.example", ("HTTPS://A.example:443/",)), decide("https://a.example", ()), decide("http://[::1]", ("http://[::1]:80",))] == ["ok", "origin_mismatch", "ok"]
+
+
+def test_keys_are_not_mixed_up(spark):
+    """A null workspace, an empty one and parts with the separator are different keys."""
+    rows = [(1, None, 1, "a|b", "h"), (2, "", 1, "a|b", "h"), (3, "x", 1, "a", "b|h"), (4, "x", 1, "a|b", "h"), (5, None, 1, "a|b", "h")]
+    log = spark.createDataFrame(rows, "request_id long, workspace_id string, principal_id long, route_code string, key_hash string")
+    log = log.withColumns({"requested_at": instant("2024-01-01 00:00:00"), "request_hash": F.lit("r")})
+    got = {r["request_id"]: r["outcome"] for r in lifecycle.replayed_log_ttl(log, 60).collect()}
+    assert got == {1: "Acquired", 2: "Acquired", 3: "Acquired", 4: "Acquired", 5: "InProgress"}
 
 
 @settings(max_examples=20, deadline=None)

@@ -89,8 +89,8 @@ def capability(x) -> Column:
 
 
 def one_of(x, allowed: tuple[str, ...]) -> Column:
-    """The lower-case member of a closed set, null for anything else."""
-    value = F.lower(unicode_trim(x))
+    """The lower-case member of a closed set, null for anything else, white space around it included."""
+    value = F.lower(_c(x))
     return F.when(value.isin(*allowed), value)
 
 
@@ -130,8 +130,14 @@ def redacted_map(headers) -> Column:
 
 
 def masked_url(x) -> Column:
-    """A connection URL with its password hidden."""
-    return F.regexp_replace(_c(x), r"^([a-z][a-z0-9+.-]*://[^:/@]+):[^@]*@", "$1:***@")
+    """A connection URL with its password hidden, its scheme in lower case.
+
+    The password goes from the first colon of the user part to the last @ before the path. If a password holds a
+    character that should have been escaped, all goes up to the first @ of the URL.
+    """
+    shown = F.regexp_replace(_c(x), r"^([A-Za-z][A-Za-z0-9+.-]*://[^:/?#@]*):(?:[^/?#]*@|[^@]*@)", "$1:***@")
+    scheme = F.regexp_extract(shown, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    return F.concat(F.lower(scheme), F.substring(shown, F.length(scheme) + 1, F.length(shown)))
 
 
 # --- requests and tokens ----------------------------------------------------------------------------------------------
@@ -144,18 +150,25 @@ def canonical_origin(x) -> Column:
     """scheme://host[:port] in lower case without a default port; null for what is no origin."""
     text = unicode_trim(x)
     scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    port = F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:@]+:([0-9]+)", 1)
+    whole = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)(?::([0-9]*))?(?=[/?#]|$)"  # a host may be an IPv6 address
+    host = F.lower(F.regexp_extract(text, whole, 1))
+    number = F.regexp_extract(text, whole, 2).try_cast("int")
+    port = F.coalesce(number.cast("string"), F.lit(""))
     plain = (port == "") | F.concat(scheme, F.lit(":"), port).isin(*DEFAULT_PORTS)
-    return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, F.when(plain, "").otherwise(F.concat(F.lit(":"), port))))
+    fits = F.coalesce(number <= 65535, F.regexp_extract(text, whole, 2) == "")
+    return F.when((scheme != "") & (host != "") & fits, F.concat(scheme, F.lit("://"), host, F.when(plain, "").otherwise(F.concat(F.lit(":"), port))))
 
 
 def csrf_decision(method, by_cookie, origin, header, allowed: tuple[str, ...], expected) -> Column:
-    """The first matching outcome for a request: exempt, a missing or wrong origin, a missing or wrong token, ok."""
+    """The first matching outcome for a request: exempt, a missing or wrong origin, a missing or wrong token, ok.
+
+    Origins are compared in canonical form, those that are allowed as well.
+    """
+    known = F.array_compact(F.array(*(canonical_origin(F.lit(a)) for a in allowed)).cast("array<string>"))
     found, header = canonical_origin(origin), unicode_trim(header)
     return (
         F.when(F.upper(_c(method)).isin("GET", "HEAD", "OPTIONS", "TRACE"), "safe_method").when(~_c(by_cookie), "no_cookie")
-        .when(_c(origin).isNull(), "origin_missing").when(found.isNull() | ~found.isin(*allowed), "origin_mismatch")
+        .when(_c(origin).isNull(), "origin_missing").when(found.isNull() | ~F.array_contains(known, found), "origin_mismatch")
         .when(F.coalesce(header, F.lit("")) == "", "header_missing").when(_c(expected).isNotNull() & (header != F.trim(_c(expected))), "token_mismatch")
         .otherwise("ok")
     )
@@ -226,12 +239,37 @@ def environment(x) -> Column:
     return mapped(F.lower(unicode_trim(x)), ENVIRONMENTS)
 
 
+#: Names that a web client knows, with the labels that it shows; fixed values.
+WEB_LABELS = {
+    "local": "LOCAL [NON-PROD]", "dev": "DEV [NON-PROD]", "demo": "DEMO [NON-PROD]", "staging": "STAGING [NON-PROD]", "public-demo": "PUBLIC DEMO [NON-PROD]", "production": "PRODUCTION",
+}
+
+
+def web_environment(x) -> list[Column]:
+    """A web client's environment: name ('local' for what it does not know), label, is_production."""
+    given = unicode_trim(F.lower(F.coalesce(F.nullif(_c(x), F.lit("")), F.lit("local"))))
+    name = F.when(given.isin(*WEB_LABELS), given).otherwise("local")
+    return [name.alias("name"), mapped(name, WEB_LABELS).alias("label"), (name == "production").alias("is_production")]
+
+
 def severity(status) -> Column:
     return F.when(_c(status).isin(401, 403, 409), "warning").when(_c(status) == 404, "info").otherwise("error")
 
 
 def problem_code(status) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for number, (_, _, code) in PROBLEMS.items():
-        out = out.when(_c(status) == number, code)
-    return out.when((_c(status) >= 400) & (_c(status) < 500), "BAD_REQUEST").otherwise("INTERNAL_SERVER_ERROR")
+    return problem(status, F.lit(""))["code"]
+
+
+def problem(status, text) -> Column:
+    """The problem (kind, title, code) that stands for a failed response without one; ``text`` is its status text."""
+    status = _c(status)
+    row = lambda kind, title, code: F.struct(F.lit(kind).alias("kind"), (F.lit(title) if isinstance(title, str) else title).alias("title"), F.lit(code).alias("code"))
+    out = F.when((status >= 400) & (status < 500) & ~status.isin(*PROBLEMS), row("bad-request", F.coalesce(F.nullif(_c(text), F.lit("")), F.lit("Bad Request")), "BAD_REQUEST"))
+    for number, of in PROBLEMS.items():
+        out = out.when(status == number, row(*of))
+    return out.otherwise(row("internal-error", "Internal Server Error", "INTERNAL_SERVER_ERROR"))
+
+
+def name_error(x) -> Column:
+    """A required name that is missing, or null."""
+    return F.when(unicode_trim(F.coalesce(_c(x), F.lit(""))) == "", "required")

@@ -274,6 +274,11 @@ class TenantContext:
             raise PermissionError("the tenant context is not the authorised workspace")
 
 
+def context_error(context: str, authorised: str) -> Column:
+    """Why a request's context is refused, as ``TenantContext.verify`` does for one: unset, or another workspace; null if it fits."""
+    return F.when(F.col(context).isNull(), "unset").when(~F.col(context).eqNullSafe(F.col(authorised)), "mismatch")
+
+
 def policy(table: str, ctx: TenantContext) -> Column:
     """The predicate for a table's rows. Without a context it is null for strict tables, so they give no rows."""
     if table not in STRICT + SHARED:

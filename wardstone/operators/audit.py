@@ -198,20 +198,59 @@ def actor_type(actor: str) -> Column:
     return F.when(F.col(actor).isNotNull(), "principal").otherwise("system")
 
 
+def payload(**fields: Column) -> Column:
+    """Canonical JSON of the fields (columns of JSON texts), keys sorted, nulls kept."""
+    pairs = (F.concat(F.lit(f'"{k}":'), F.coalesce(fields[k], F.lit("null"))) for k in sorted(fields))
+    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+
+
+def _text(c: str | Column) -> Column:
+    return _json_string((F.col(c) if isinstance(c, str) else c).cast("string"))
+
+
+def _instant(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), _json_string(rfc3339(c)))
+
+
 def grant_payload(granted_by: Column) -> Column:
-    """The payload of a granted capability, keys sorted, nulls kept."""
-    text = lambda c: _json_string(F.col(c).cast("string"))
-    pairs = [
-        ("capability", text("capability_code")), ("expires_at", F.when(F.col("expires_at").isNull(), "null").otherwise(_json_string(rfc3339(F.col("expires_at"))))),
-        ("grant_id", text("capability_grant_id")), ("granted_by", _json_string(granted_by.cast("string"))), ("principal_id", text("principal_id")), ("workspace_id", text("workspace_id")),
-    ]
-    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in pairs)), F.lit("}"))
+    return payload(
+        capability=_text("capability_code"), expires_at=_instant("expires_at"), grant_id=_text("capability_grant_id"), granted_by=_text(granted_by), principal_id=_text("principal_id"),
+        workspace_id=_text("workspace_id"),
+    )
+
+
+def revoke_payload(revoked_at: Column) -> Column:
+    return payload(
+        capability=_text("capability_code"), grant_id=_text("capability_grant_id"), principal_id=_text("principal_id"), revoked_at=_instant(revoked_at), workspace_id=_text("workspace_id")
+    )
 
 
-def audited(rows: DataFrame, action: str, entity: str, entity_id: str, version: Column, payload: Column, in_metadata: bool = False) -> DataFrame:
-    """Event columns for a change; a service puts the payload in after_ref, a route in metadata."""
-    empty = F.lit("{}")
+def workspace_payload() -> Column:
+    return payload(**{c: _text(c) for c in ("workspace_id", "program_id", "organization_id", "workspace_code", "name")})
+
+
+def membership_payload() -> Column:
+    return payload(membership_id=_text("membership_id"), workspace_id=_text("workspace_id"), principal_id=_text("principal_id"), role=_text("role_code"))
+
+
+def role_payload(old: str, new: str) -> Column:
+    return payload(membership_id=_text("membership_id"), workspace_id=_text("workspace_id"), principal_id=_text("principal_id"), old_role=_text(old), new_role=_text(new))
+
+
+def role_before(old: str) -> Column:
+    return payload(role=_text(old))
+
+
+def audited(
+    rows: DataFrame, action: str, entity: str, entity_id: str, version: Column, payload: Column, in_metadata: bool = False, before: Column | None = None, actor: str | None = None
+) -> DataFrame:
+    """Event columns for a change; a service puts the payload in after_ref, a route in metadata.
+
+    ``actor``: the column of who made the change; without one, and for nulls in it, it is the system.
+    """
+    empty, none = F.lit("{}"), F.lit(None).cast("string")
     return rows.select(
-        "workspace_id", F.lit(action).alias("action_code"), F.lit(entity).alias("entity_type"), F.col(entity_id).cast("string").alias("entity_id"),
+        "workspace_id", (actor_type(actor) if actor else F.lit("system")).alias("actor_type"), (before if before is not None else none).alias("before_ref"), F.lit(action).alias("action_code"), F.lit(entity).alias("entity_type"), F.col(entity_id).cast("string").alias("entity_id"),
         version.cast("int").alias("entity_version"), (F.lit(None).cast("string") if in_metadata else payload).alias("after_ref"), (payload if in_metadata else empty).alias("metadata"),
     )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import slug_error, unicode_trim
 from ..functions.temporal import session_active
 
 # --- idempotency ------------------------------------------------------------------------------------------------------
@@ -16,6 +17,11 @@ from ..functions.temporal import session_active
 KEY = ("workspace_id", "principal_id", "route_code", "key_hash")
 
 
+def key_of() -> Column:
+    """A key's columns as one text, in which a null is none of the values and no two keys are the same."""
+    return F.to_json(F.struct(*KEY))
+
+
 def _same(own: tuple[str, ...], prefix: str = "r_") -> Column:
     held = F.lit(True)
     for c in own:
@@ -72,7 +78,7 @@ def replayed_log_ttl(log: DataFrame, ttl_seconds: int) -> DataFrame:
     Tasks stream their keys' requests in order and hold one record at a time. Gives request_id and outcome.
     """
     slim = log.select(
-        F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEY)).alias("key"), F.unix_micros(F.col("requested_at").cast("timestamp")).alias("at"),
+        key_of().alias("key"), F.unix_micros(F.col("requested_at").cast("timestamp")).alias("at"),
         "request_id", "request_hash",
     )
 
@@ -227,10 +233,44 @@ def updated(df: DataFrame, changes: DataFrame, key: str, columns: list[str], bum
 
 
 def revoked_grants(grants: DataFrame, ids: DataFrame, t: Column) -> DataFrame:
-    """The next snapshot with the grants of ``ids`` (capability_grant_id) revoked, once."""
-    going = ids.select(F.col("capability_grant_id").alias("__gone")).distinct()
+    """The next snapshot with the grants of ``ids`` (capability_grant_id and, if wanted, revoked_by, reason) revoked, once.
+
+    A grant that is revoked keeps its time, its reason and who revoked it. A null reason leaves the old one. Of repeated
+    ids the first by reason and revoker counts.
+    """
+    extra = [c for c in ("revoked_by", "reason") if c in ids.columns]
+    going = ids.groupBy(F.col("capability_grant_id").alias("__gone")).agg(F.min(F.struct(*([*extra[::-1]] or [F.lit(0).alias("none")]))).alias("__new"))
     rows = grants.join(going, F.col("capability_grant_id") == F.col("__gone"), "left")
-    return rows.withColumn("revoked_at", F.when(F.col("__gone").isNotNull(), F.coalesce("revoked_at", t)).otherwise(F.col("revoked_at"))).drop("__gone")
+    hit, after = F.col("__gone").isNotNull() & F.col("revoked_at").isNull(), {"revoked_at": t}
+    if "revoked_by" in extra:
+        after["revoked_by_principal_id"] = F.col("__new.revoked_by")
+    if "reason" in extra:
+        after["grant_reason"] = F.coalesce("__new.reason", "grant_reason")
+    return rows.withColumns({c: F.when(hit, value).otherwise(F.col(c)) for c, value in after.items()}).select(*grants.columns)
+
+
+def revoked_by_principal(sessions: DataFrame, principals: DataFrame, t: Column) -> tuple[DataFrame, DataFrame]:
+    """(the next snapshot with all unrevoked sessions of ``principals`` revoked, how many of each: principal_id, affected)."""
+    own = principals.select(F.col("principal_id").alias("__p")).distinct()
+    rows = sessions.join(own, F.col("principal_id") == F.col("__p"), "left")
+    hit = F.col("__p").isNotNull() & F.col("revoked_at").isNull()
+    affected = own.join(sessions.where("revoked_at is null"), F.col("principal_id") == F.col("__p"), "left").groupBy(F.col("__p").alias("principal_id")).agg(F.count("session_id").alias("affected"))
+    return rows.withColumn("revoked_at", F.when(hit, t).otherwise(F.col("revoked_at"))).drop("__p"), affected
+
+
+def renamed(df: DataFrame, changes: DataFrame, key: str, code: str) -> DataFrame:
+    """The next snapshot with name and ``code`` set, trimmed, and row_version counted up, and an error for each change refused.
+
+    ``changes``: the key, name and the code. A blank name or a code that is no slug refuses the change. Adds a column error.
+    """
+    bad = F.when(unicode_trim("name") == "", "empty_name").otherwise(slug_error(code))
+    new = changes.select(F.col(key).alias("__k"), unicode_trim("name").alias("__name"), unicode_trim(code).alias("__code"), bad.alias("error"))
+    rows = df.join(new, F.col(key) == F.col("__k"), "left")
+    hit = F.col("__k").isNotNull() & F.col("error").isNull()
+    rows = rows.withColumns({
+        "name": F.when(hit, F.col("__name")).otherwise(F.col("name")), code: F.when(hit, F.col("__code")).otherwise(F.col(code)), "row_version": F.col("row_version") + hit.cast("int")
+    })
+    return rows.select(*df.columns, "error")
 
 
 def consumed_transactions(transactions: DataFrame, attempts: DataFrame) -> DataFrame:

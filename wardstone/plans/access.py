@@ -241,12 +241,19 @@ query("R3_no_context", "select 'capability_grants' as table_name, count(*) as n
     lambda m: union_all([
         access.scoped(getattr(m, x), x, access.TenantContext()).agg(F.count("*").alias("n")).select(F.lit(x).alias("table_name"), "n") for x in ("capability_grants", "memberships")])
 )
-query("R4_refused_writes", "select membership_id from memberships where workspace_id <> 3 and membership_id % 100 = 0")(
-    lambda m: access.check_rows(m.memberships.where("membership_id % 100 = 0"), "memberships", _ctx).select("membership_id")
+query("R4_refused_writes", "select membership_id from memberships where workspace_id <> 3")(
+    lambda m: access.check_rows(m.memberships, "memberships", _ctx).select("membership_id")
 )
 query("R5_blind_updates", "select count(*) as affected from memberships where workspace_id = 3 and role_code = 'reader'")(
     lambda m: access.scoped(m.memberships, "memberships", _ctx).where("role_code = 'reader'").agg(F.count("*").alias("affected"))
 )
+_CONTEXTS = "case membership_id % 3 when 0 then null when 1 then workspace_id else 3 end"
+query("R6_contexts", f"select membership_id, c is not null as is_set from (select membership_id, {_CONTEXTS} as c from memberships) x")(
+    lambda m: m.memberships.withColumn("context", F.expr(_CONTEXTS)).select("membership_id", F.coalesce(access.context_error("context", "context") != "unset", F.lit(True)).alias("is_set"))
+)
+query("R7_verified_contexts", f"select membership_id, case when c is null then 'unset' when c <> workspace_id then 'mismatch' end as error from (select *, {_CONTEXTS} as c from memberships) x")(
+    lambda m: m.memberships.withColumn("context", F.expr(_CONTEXTS)).select("membership_id", access.context_error("context", "workspace_id").alias("error"))
+)
 query("R8_unscoped_rows", "select principal_id from principals")(lambda m: access.scoped(m.principals, "principals", _ctx).select("principal_id"))
 _PLAIN = "'organizations', 'programs', 'principals', 'workspaces', 'memberships', 'capability_grants', 'oidc_identities', 'sessions', 'session_rotations', 'oidc_transactions'"
 query("R9_privileges", f"""select role, t as table_name, p as privilege from (select unnest(['app', 'worker']) as role) r, (select unnest([{_PLAIN}]) as t) a, (select unnest(['SELECT', 'INSERT', 'UPDATE', 'DELETE']) as p) b

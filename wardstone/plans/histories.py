@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as x
 from ..functions.temporal import instant, session_status
-from ..operators import access, audit, catalog, integrity, lifecycle
+from ..operators import access, audit, catalog, integrity, lifecycle, reads
 from ..sources.model import AS_OF, SESSION_AT
-from .reads import query
+from .reads import SQL, query
 
 SECRET = b"registered-queries"  # a constant of the queries, not a credential
 _AT, _SAT = f"timestamp '{AS_OF}'", f"timestamp '{SESSION_AT}'"
@@ -49,8 +49,6 @@ _CHAIN = [
 
 def _recursive(key: str, sql: str, *more):
     """As ``query``, for statements that name the chain."""
-    from .reads import SQL
-
     def add(build):
         query(key, sql, *_CHAIN, *more)(build)
         SQL[key] = "with recursive" + SQL[key][len("with") :]
@@ -77,6 +75,9 @@ _recursive("H7_initialised_heads", """select w.workspace_id, coalesce(h.s, 0) as
   left join (select workspace_id, max(sequence) as s, arg_max(hash, sequence) as hash from chain group by 1) h on w.workspace_id = h.workspace_id""")(
     lambda m: audit.initialised_heads(audit.chain_heads(chain(m)), m.workspaces)
 )
+_recursive("S16_chain_head", "select workspace_id, max(sequence) as last_sequence, arg_max(hash, sequence) as last_event_hash from chain where workspace_id = 5 group by workspace_id")(
+    lambda m: audit.chain_heads(audit.chained(chain_events(m).where("workspace_id = 5"), order=("occurred_at", "audit_event_id")))
+)
 _recursive("H8_head_mismatches", "select distinct workspace_id from audit_source where workspace_id % 9 = 0")(
     lambda m: (lambda c: audit.head_mismatches(audit.chain_heads(c.where("workspace_id % 9 != 0 or sequence > 1")).withColumn("last_sequence", F.when(F.col("workspace_id") % 9 == 0, 0).otherwise(F.col("last_sequence"))), c))(chain(m))
 )
@@ -102,6 +103,13 @@ _recursive("H5_chain_verify_gap", _VERIFIED, ("changed", "select * from chain wh
 _recursive("H5_chain_verify_disorder", _VERIFIED, ("changed", "select * from chain union all select * from chain where sequence % 61 = 0"))(
     lambda m: (lambda c: _verified(c.unionByName(c.where("sequence % 61 = 0"))))(chain(m))
 )
+_LIST = """select workspace_id, sequence, i as index, case when workspace_id <> 5 then 'WorkspaceMismatch' when sequence < i + 1 then 'SequenceDisorder' when sequence > i + 1 then 'SequenceGap'
+  when prev is distinct from prior then 'PreviousHashMismatch' when own <> hash then 'HashTamperDetected' end as kind from (select *, sha256(coalesce(unhex(prior), ''::blob) || '\\x00'::blob || encode(body)) as own from
+  (select *, row_number() over w - 1 as i, lag(hash) over w as prior from chain where workspace_id in (5, 6) window w as (order by sequence, event_id)) a) b"""
+_recursive("H5_list_of_two_workspaces", _LIST)(
+    lambda m: audit.event_errors(audit.chained(chain_events(m).where("workspace_id in (5, 6)"), order=("occurred_at", "audit_event_id")), partitioned=False, expected_workspace=5)
+    .select("workspace_id", "sequence", "index", "kind")
+)
 _stamp = lambda c: _TIME.replace("occurred_at", c)
 query("H9_grant_audit_payloads", f"""select workspace_id, 'CAPABILITY_GRANT' as action_code, cast(capability_grant_id as varchar) as entity_id, 1 as entity_version, '{{"capability":"' || capability_code || '","expires_at":'
   || case when expires_at is null then 'null' else '"' || {_stamp('expires_at')} || '"' end || ',"grant_id":"' || capability_grant_id || '","granted_by":null,"principal_id":"' || principal_id || '","workspace_id":"' || workspace_id
@@ -110,6 +118,32 @@ query("H9_grant_audit_payloads", f"""select workspace_id, 'CAPABILITY_GRANT' as
     .select("workspace_id", "action_code", "entity_id", "entity_version", "after_ref")
 )
 
+_event = lambda action, entity, key, version, pairs, before="null": (  # noqa: E731  pairs: (key, SQL of its JSON), sorted
+    f"select workspace_id, '{action}' as action_code, '{entity}' as entity_type, cast({key} as varchar) as entity_id, {version} as entity_version, {before} as before_ref, '{{' || "
+    + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in pairs) + " || '}' as after_ref"
+)
+_str = lambda c: f"""'"' || {c} || '"'"""
+_COLUMNS = ("workspace_id", "action_code", "entity_type", "entity_id", "entity_version", "before_ref", "after_ref")
+query("H9_workspace_audit_payloads", _event("WORKSPACE_CREATE", "workspace", "workspace_id", "row_version", [(c, _str(c)) for c in ("name", "organization_id", "program_id", "workspace_code", "workspace_id")]) + " from workspaces")(
+    lambda m: audit.audited(m.workspaces, "WORKSPACE_CREATE", "workspace", "workspace_id", F.col("row_version"), audit.workspace_payload()).select(*_COLUMNS)
+)
+query("H9_membership_audit_payloads", _event("MEMBERSHIP_CREATE", "membership", "membership_id", "row_version", [("membership_id", _str("membership_id")), ("principal_id", _str("principal_id")), ("role", _str("role_code")), ("workspace_id", _str("workspace_id"))]) + " from memberships where role_code = 'admin'")(
+    lambda m: audit.audited(m.memberships.where("role_code = 'admin'"), "MEMBERSHIP_CREATE", "membership", "membership_id", F.col("row_version"), audit.membership_payload()).select(*_COLUMNS)
+)
+query("H9_role_audit_payloads", _event("MEMBERSHIP_UPDATE_ROLE", "membership", "membership_id", "row_version + 1", [
+    ("membership_id", _str("membership_id")), ("new_role", "'\"reviewer\"'"), ("old_role", _str("role_code")), ("principal_id", _str("principal_id")), ("workspace_id", _str("workspace_id"))],
+    "'{\"role\":\"' || role_code || '\"}'") + ", case when principal_id % 2 = 0 then 'principal' else 'system' end as actor_type from memberships")(
+    lambda m: audit.audited(
+        m.memberships.withColumns({"new_role": F.lit("reviewer"), "actor": F.when(F.col("principal_id") % 2 == 0, F.col("principal_id"))}), "MEMBERSHIP_UPDATE_ROLE", "membership", "membership_id",
+        F.col("row_version") + 1, audit.role_payload("role_code", "new_role"), before=audit.role_before("role_code"), actor="actor").select(*_COLUMNS, "actor_type")
+)
+query("H9_revoke_audit_payloads", _event("CAPABILITY_REVOKE", "capability_grant", "capability_grant_id", "2", [
+    ("capability", _str("capability_code")), ("grant_id", _str("capability_grant_id")), ("principal_id", _str("principal_id")), ("revoked_at", _str(_stamp("revoked_at"))), ("workspace_id", _str("workspace_id"))])
+    + " from capability_grants where workspace_id is not null and revoked_at is not null")(
+    lambda m: audit.audited(m.capability_grants.where("workspace_id is not null and revoked_at is not null"), "CAPABILITY_REVOKE", "capability_grant", "capability_grant_id", F.lit(2), audit.revoke_payload(F.col("revoked_at")))
+    .select(*_COLUMNS)
+)
+
 # --- idempotency ------------------------------------------------------------------------------------------------------
 
 
@@ -148,7 +182,16 @@ query("I4_completed_once", "select record_id, case when response_status is null
 query("I5_failed_removed", "select record_id from records where not (record_id % 2 = 0 and response_status is null)", *_LOG, _RECORDS)(
     lambda m: lifecycle.failed(records(m), records(m).where("record_id % 2 = 0").select("record_id")).select("record_id")
 )
-query("I6_replayed_log_ttl", None)(lambda m: lifecycle.replayed_log_ttl(log(m), 86_400))
+query("S17_record_by_id", "select * from records where record_id = 11", *_LOG, _RECORDS)(lambda m: reads.lookup(records(m), record_id=11))
+_STEPS = [
+    *_LOG, ("placed", "select request_id, request_hash, requested_at, dense_rank() over (order by workspace_id, principal_id, route_code, key_hash) as k from log"),
+    ("steps", "select *, row_number() over (partition by k order by requested_at, request_id) as n from placed"),
+    ("arbitrated", """select k, n, request_id, request_hash as held, requested_at + interval 1 days as until, 'Acquired' as outcome from steps where n = 1 union all
+      select s.k, s.n, s.request_id, a.held, case when a.held = s.request_hash and a.until < s.requested_at then s.requested_at + interval 1 days else a.until end,
+      case when a.held <> s.request_hash then 'Mismatch' when a.until < s.requested_at then 'Acquired' else 'InProgress' end from arbitrated a join steps s on s.k = a.k and s.n = a.n + 1"""),
+]
+query("I6_replayed_log_ttl", "select request_id, outcome from arbitrated", *_STEPS)(lambda m: lifecycle.replayed_log_ttl(log(m), 86_400))
+SQL["I6_replayed_log_ttl"] = "with recursive" + SQL["I6_replayed_log_ttl"][len("with") :]
 
 # --- sessions ---------------------------------------------------------------------------------------------------------
 
@@ -238,18 +281,33 @@ query("U3_changed_roles", "select membership_id, case when membership_id % 10 =
     lambda m: lifecycle.updated(m.memberships, m.memberships.where("membership_id % 10 = 0").select("membership_id", F.lit("reviewer").alias("role_code")), "membership_id", ["role_code"], bump="row_version")
     .select("membership_id", "role_code", "row_version")
 )
-query("U4_revoked_grants", f"select capability_grant_id, case when capability_grant_id % 3 = 0 then coalesce(revoked_at, {_AT}) else revoked_at end as revoked_at from capability_grants")(
-    lambda m: lifecycle.revoked_grants(m.capability_grants, m.capability_grants.where("capability_grant_id % 3 = 0"), instant(AS_OF)).select("capability_grant_id", "revoked_at")
-)
+query("U4_revoked_grants", f"""select capability_grant_id, case when hit then {_AT} else revoked_at end as revoked_at, case when hit then principal_id end as revoked_by_principal_id,
+  case when hit and capability_grant_id % 2 = 0 then 'left' else old end as grant_reason from (select *, capability_grant_id % 3 = 0 and revoked_at is null as hit, case when capability_grant_id % 5 = 0 then 'seed' end as old
+  from capability_grants) g""")(
+    lambda m: (lambda g: lifecycle.revoked_grants(
+        g, g.where("capability_grant_id % 3 = 0").select("capability_grant_id", F.col("principal_id").alias("revoked_by"), F.when(F.col("capability_grant_id") % 2 == 0, "left").alias("reason")), instant(AS_OF)))(
+        m.capability_grants.withColumns({"revoked_by_principal_id": F.lit(None).cast("long"), "grant_reason": F.when(F.col("capability_grant_id") % 5 == 0, "seed")}))
+    .select("capability_grant_id", "revoked_at", "revoked_by_principal_id", "grant_reason")
+)
 query("U5_extended_grants", f"select capability_grant_id, case when capability_grant_id % 5 = 0 then {_AT} else expires_at end as expires_at from capability_grants")(
     lambda m: lifecycle.updated(m.capability_grants, m.capability_grants.where("capability_grant_id % 5 = 0").select("capability_grant_id", instant(AS_OF).alias("expires_at")), "capability_grant_id", ["expires_at"])
     .select("capability_grant_id", "expires_at")
 )
-query("U6_updated_sessions", f"select session_id, case when rotation_counter = 0 then {_SAT} else last_seen_at end as last_seen_at from sessions")(
-    lambda m: lifecycle.updated(m.sessions, m.sessions.where("rotation_counter = 0").select("session_id", instant(SESSION_AT).alias("last_seen_at")), "session_id", ["last_seen_at"]).select("session_id", "last_seen_at")
+_U6 = ("handle_hash", "csrf_secret_hash", "last_seen_at", "idle_expires_at", "absolute_expires_at", "revoked_at", "rotation_counter")
+query("U6_updated_sessions", f"""select session_id, case when hit then H('n' || session_id) else handle_hash end as handle_hash, case when hit then H('d' || session_id) else H('c' || session_id) end as csrf_secret_hash,
+  case when hit then {_SAT} else last_seen_at end as last_seen_at, case when hit then {_SAT} + interval 12 hours else idle_expires_at end as idle_expires_at, case when hit then {_SAT} + interval 7 days else absolute_expires_at end
+  as absolute_expires_at, case when hit then null else revoked_at end as revoked_at, case when hit then 9 else rotation_counter end as rotation_counter from (select *, rotation_counter = 0 as hit from sessions) s""")(
+    lambda m: (lambda s: lifecycle.updated(s, s.where("rotation_counter = 0").select(
+        "session_id", x.sha256_hex(F.concat(F.lit("n"), "session_id")).alias("handle_hash"), x.sha256_hex(F.concat(F.lit("d"), "session_id")).alias("csrf_secret_hash"), instant(SESSION_AT).alias("last_seen_at"),
+        (instant(SESSION_AT) + F.expr("interval 12 hours")).alias("idle_expires_at"), (instant(SESSION_AT) + F.expr("interval 7 days")).alias("absolute_expires_at"),
+        F.lit(None).cast("timestamp_ntz").alias("revoked_at"), F.lit(9).alias("rotation_counter")), "session_id", list(_U6)))(m.sessions.withColumn("csrf_secret_hash", x.sha256_hex(F.concat(F.lit("c"), "session_id"))))
+    .select("session_id", *_U6)
+)
+query("U7_revoked_by_principal", f"select session_id, case when principal_id in (4, 5) then coalesce(revoked_at, {_SAT}) else revoked_at end as revoked_at from sessions")(
+    lambda m: lifecycle.revoked_by_principal(m.sessions, m.principals.where("principal_id in (4, 5)"), instant(SESSION_AT))[0].select("session_id", "revoked_at")
 )
-query("U7_revoked_by_principal", f"select session_id, case when principal_id = 4 then coalesce(revoked_at, {_SAT}) else revoked_at end as revoked_at from sessions")(
-    lambda m: m.sessions.select("session_id", F.when(F.col("principal_id") == 4, F.coalesce("revoked_at", instant(SESSION_AT))).otherwise(F.col("revoked_at")).alias("revoked_at"))
+query("U7_revoked_counts", "select p.principal_id, count(s.session_id) as affected from principals p left join sessions s on s.principal_id = p.principal_id and s.revoked_at is null group by p.principal_id")(
+    lambda m: lifecycle.revoked_by_principal(m.sessions, m.principals, instant(SESSION_AT))[1]
 )
 query("U8_last_logins", f"select principal_id, case when principal_id % 2 = 0 then {_SAT} end as last_login_at from oidc_identities")(
     lambda m: lifecycle.updated(m.oidc_identities.withColumn("last_login_at", F.lit(None).cast("timestamp_ntz")), m.oidc_identities.where("principal_id % 2 = 0").select("principal_id", instant(SESSION_AT).alias("last_login_at")), "principal_id", ["last_login_at"])
@@ -270,6 +328,22 @@ query("U11_revoked_memberships", "select membership_id, case when principal_id =
     .select("membership_id", "status", "row_version")
 )
 
+_MOVES = "case principal_id % 4 when 0 then 'active' when 1 then 'suspended' else 'deactivated' end"
+query("U11_principal_states", f"select principal_id, case when principal_id % 4 < 3 then {_MOVES} else status end as status from principals")(
+    lambda m: lifecycle.updated(m.principals, m.principals.where("principal_id % 4 < 3").select("principal_id", F.expr(_MOVES).alias("status")), "principal_id", ["status"]).select("principal_id", "status")
+)
+query("U11_suspended_memberships", "select membership_id, case when principal_id = 6 then 'suspended' else status end as status, case when principal_id = 6 then 2 else 1 end as row_version from memberships")(
+    lambda m: lifecycle.updated(m.memberships, m.memberships.where("principal_id = 6").select("membership_id", F.lit("suspended").alias("status")), "membership_id", ["status"], bump="row_version")
+    .select("membership_id", "status", "row_version")
+)
+for _t, _key, _code in (("programs", "program_id", "program_code"), ("workspaces", "workspace_id", "workspace_code")):
+    query(f"U11_renamed_{_t}", f"""select {_key}, case when {_key} % 4 = 0 then 'New ' || name else name end as name, case when {_key} % 4 = 0 then 'new-' || cast({_key} as varchar) else {_code} end as {_code},
+      case when {_key} % 4 = 0 then 2 else 1 end as row_version, case {_key} % 4 when 1 then 'empty_name' when 2 then 'bad_character' end as error from {_t}""")(
+        lambda m, t=_t, key=_key, code=_code: (lambda df: lifecycle.renamed(df, df.where(f"{key} % 4 < 3").select(
+            key, F.expr(f"case {key} % 4 when 1 then ' ' else concat(' New ', name) end").alias("name"), F.expr(f"concat(case {key} % 4 when 2 then 'New ' else 'new-' end, {key})").alias(code)), key, code))(getattr(m, t))
+        .select(key, "name", code, "row_version", "error")
+    )
+
 # --- scalars ----------------------------------------------------------------------------------------------------------
 
 query("X1_handle_hashes", f"select event_id, {_hmac_sql('trim(action_code)')} as hash from audit_source")(
@@ -279,9 +353,9 @@ _csrf = "'csrf-v1:' || cast(event_id as varchar) || ':https://a.example'"
 query("X2_csrf_tokens", f"select event_id, {_hmac_sql(_csrf)} as token from audit_source")(
     lambda m: m.audit_source.select("event_id", x.csrf_token(SECRET, F.col("event_id").cast("string"), F.lit("https://a.example")).alias("token"))
 )
-_URLS = ("urls", "select page_id, case page_id % 6 when 0 then upper(url) when 1 then 'null' when 2 then '' when 3 then 'https://Host.example:443/x' when 4 then 'http://h.example:8080' else url end as raw from pages")
-_SCHEME, _HOST, _PORT = ("regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)", "regexp_extract(raw, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)",
-                         "regexp_extract(raw, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:@]+:([0-9]+)', 1)")
+_URLS = ("urls", "select page_id, case page_id % 6 when 0 then upper(url) when 1 then 'null' when 2 then '' when 3 then 'https://Host.example:443/x' when 4 then 'http://[::1]:8080/x' else url end as raw from pages")
+_SCHEME, _HOST, _PORT = ("regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)", "regexp_extract(raw, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^]]*\\]|[^/?#:@]+)', 1)",
+                         "regexp_extract(raw, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:\\[[^]]*\\]|[^/?#:@]+):([0-9]+)', 1)")
 
 
 def urls(m) -> DataFrame:
@@ -295,7 +369,7 @@ query("X4_csrf_decisions", """select event_id, case when event_id % 5 = 0 then '
   when event_id % 11 = 0 then 'header_missing' when event_id % 13 = 0 then 'token_mismatch' else 'ok' end as outcome from audit_source""")(
     lambda m: m.audit_source.select("event_id", x.csrf_decision(
         F.when(F.col("event_id") % 5 == 0, "get").otherwise("post"), F.col("event_id") % 3 != 0, F.when(F.col("event_id") % 7 != 0, F.when(F.col("event_id") % 4 == 0, "https://b.example").otherwise("https://A.example:443/")),
-        F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.when(F.col("event_id") % 13 == 0, "t2").otherwise("t1")), ("https://a.example",), F.lit("t1")).alias("outcome"))
+        F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.when(F.col("event_id") % 13 == 0, "t2").otherwise("t1")), ("HTTPS://a.example:443/", "null"), F.lit("t1")).alias("outcome"))
 )
 query("X5_pkce", "select event_id, replace(replace(rtrim(to_base64(unhex(sha256(v))), '='), '+', '-'), '/', '_') as challenge from (select event_id, sha256(cast(event_id as varchar)) as v from audit_source) q")(
     lambda m: m.audit_source.select("event_id", x.pkce_challenge(x.sha256_hex(F.col("event_id").cast("string"))).alias("challenge"))
@@ -316,9 +390,12 @@ query("X9_correlation_ids", "select event_id, case when event_id % 3 = 0 then 'c
     lambda m: m.audit_source.select("event_id", x.pick_correlation_id(
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" c-"), F.col("event_id"))).otherwise("bad id"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("r."), F.col("event_id"))).otherwise(F.repeat(F.lit("x"), F.lit(200))), F.lit("gen")).alias("id"))
 )
-query("X10_masked_urls", "select event_id, 'postgres://user' || cast(event_id as varchar) || ':***@host/db' as url from audit_source")(
-    lambda m: m.audit_source.select("event_id", x.masked_url(F.concat(F.lit("postgres://user"), F.col("event_id"), F.lit(":pa/ss:w@host/db"))).alias("url"))
-)
+_DSN = ("dsn", """select event_id, case event_id % 6 when 0 then 'postgres://user' || event_id || ':secret@host/db' when 1 then 'redis://:secret@host/' || event_id when 2 then 'POSTGRES://u:secret@h/' || event_id
+  when 3 then 'postgres://user@host/' || event_id when 4 then 'postgres://u:p@ss@host:5432/d?x=a@b' else 'no url ' || event_id end as raw from audit_source""")
+query("X10_masked_urls", """select event_id, case event_id % 6 when 0 then 'postgres://user' || event_id || ':***@host/db' when 1 then 'redis://:***@host/' || event_id when 2 then 'postgres://u:***@h/' || event_id
+  when 3 then raw when 4 then 'postgres://u:***@host:5432/d?x=a@b' else raw end as url from dsn""", _DSN)(
+    lambda m: m.audit_source.select("event_id", x.masked_url(F.expr(_DSN[1].split("select event_id, ")[1].split(" as raw")[0])).alias("url"))
+)
 query("X12_cookies", "select event_id, case when event_id % 2 = 0 then 'v' || cast(event_id as varchar) end as value from audit_source")(
     lambda m: m.audit_source.select("event_id", x.cookie_value(F.concat(F.lit("a=1; sid= ; "), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("sid=v"), F.col("event_id"))).otherwise("sidx=9")), "sid").alias("value"))
 )
@@ -328,14 +405,19 @@ query("X13_token_nonces", "select event_id, 'n' || cast(event_id as varchar) as
 query("X14_algorithms", "select event_id, case event_id % 4 when 0 then 'ok' when 1 then 'symmetric_rejected' when 2 then 'not_allowed' else 'ok' end as outcome from audit_source")(
     lambda m: m.audit_source.select("event_id", x.algorithm_decision(F.expr("case event_id % 4 when 0 then 'RS256' when 1 then 'HS384' when 2 then 'PS256' else 'EdDSA' end")).alias("outcome"))
 )
-query("X16_enum_parsers", "select event_id, case event_id % 3 when 0 then 'admin' when 1 then 'reader' end as role from audit_source")(
-    lambda m: m.audit_source.select("event_id", x.one_of(F.expr("case event_id % 3 when 0 then ' Admin' when 1 then 'READER' else 'owner' end"), ("admin", "operator", "reviewer", "reader")).alias("role"))
-)
+query("X16_enum_parsers", """select event_id, case event_id % 3 when 0 then 'admin' when 1 then 'reader' end as role, case event_id % 4 when 0 then 'active' when 1 then 'revoked' when 2 then 'expired' end as status,
+  case event_id % 5 when 0 then 'user' when 1 then 'service' when 2 then 'system' end as kind from audit_source""")(
+    lambda m: m.audit_source.select(
+        "event_id", x.one_of(F.expr("case event_id % 3 when 0 then 'Admin' when 1 then 'READER' else ' admin' end"), ("admin", "operator", "reviewer", "reader")).alias("role"),
+        x.one_of(F.expr("case event_id % 4 when 0 then 'ACTIVE' when 1 then 'Revoked' when 2 then 'expired' else 'suspended' end"), ("active", "revoked", "expired")).alias("status"),
+        x.one_of(F.expr("case event_id % 5 when 0 then 'User' when 1 then 'SERVICE' when 2 then 'system' when 3 then 'robot' end"), ("user", "service", "system")).alias("kind"))
+)
 query("X17_hex", "select event_id, lower(hex(encode(action_code))) as hexed from audit_source")(lambda m: m.audit_source.select("event_id", F.lower(F.hex(F.col("action_code").cast("binary"))).alias("hexed")))
 query("X19_slugs", """select workspace_id, regexp_replace(regexp_replace(trim(lower(raw)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, regexp_replace(lower(raw), '[^a-z0-9-]', '', 'g') as typed from names""", _NAMES)(
     lambda m: names(m).select("workspace_id", x.slugify("raw").alias("slug"), x.typed_slug("raw").alias("typed"))
 )
 query("X20_strict_slugs", "select workspace_id, regexp_full_match(raw, '[a-z0-9]+(-[a-z0-9]+)*') as ok from names", _NAMES)(lambda m: names(m).select("workspace_id", x.strict_slug("raw").alias("ok")))
+query("X20_required_names", "select workspace_id, case when trim(raw) = '' then 'required' end as error from names", _NAMES)(lambda m: names(m).select("workspace_id", x.name_error("raw").alias("error")))
 query("X21_keys", "select event_id, case event_id % 5 when 0 then 'ok' when 1 then 'member_missing' when 2 then 'ok' when 3 then 'symmetric_rejected' else 'not_allowed' end as outcome from audit_source")(
     lambda m: m.audit_source.select("event_id", x.jwk_decision(F.expr("case event_id % 5 when 0 then 'RSA' when 1 then 'EC' when 2 then 'OKP' when 3 then 'oct' else 'PQ' end"), F.lit("n"), F.lit("e"), F.lit("x"), F.lit(None).cast("string")).alias("outcome"))
 )
@@ -348,10 +430,18 @@ query("X23_key_cache", """select event_id, case when event_id % 4 < 2 and event_
 query("X24_environments", "select event_id, case event_id % 4 when 0 then 'development' when 1 then 'production' when 2 then 'test' end as environment from audit_source")(
     lambda m: m.audit_source.select("event_id", x.environment(F.expr("case event_id % 4 when 0 then ' Local' when 1 then 'prod' when 2 then 'testing' else 'moon' end")).alias("environment"))
 )
+_WEB = "case event_id % 5 when 0 then ' Staging ' when 1 then 'PRODUCTION' when 2 then '' when 3 then 'public-demo' else 'moon' end"
+query("X24_web_environments", """select event_id, case event_id % 5 when 0 then 'staging' when 1 then 'production' when 3 then 'public-demo' else 'local' end as name, case event_id % 5 when 0 then 'STAGING [NON-PROD]' when 1 then 'PRODUCTION'
+  when 3 then 'PUBLIC DEMO [NON-PROD]' else 'LOCAL [NON-PROD]' end as label, event_id % 5 = 1 as is_production from audit_source""")(lambda m: m.audit_source.select("event_id", *x.web_environment(F.expr(_WEB))))
 _STATUS = "case event_id % 7 when 0 then 401 when 1 then 403 when 2 then 404 when 3 then 409 when 4 then 422 when 5 then 500 else 503 end"
 query("X25_severities", f"select event_id, case when s in (401, 403, 409) then 'warning' when s = 404 then 'info' else 'error' end as severity, case s when 401 then 'UNAUTHORIZED' when 403 then 'FORBIDDEN' when 404 then 'NOT_FOUND' when 409 then 'CONFLICT' when 422 then 'BAD_REQUEST' else 'INTERNAL_SERVER_ERROR' end as code from (select event_id, {_STATUS} as s from audit_source) q")(
     lambda m: m.audit_source.withColumn("s", F.expr(_STATUS)).select("event_id", x.severity("s").alias("severity"), x.problem_code("s").alias("code"))
 )
+query("X25_problems", f"""select event_id, case s when 401 then 'unauthorized' when 403 then 'forbidden' when 404 then 'not-found' when 409 then 'conflict' when 422 then 'bad-request' else 'internal-error' end as kind,
+  case s when 401 then 'Unauthorized' when 403 then 'Forbidden' when 404 then 'Not Found' when 409 then 'Conflict' when 422 then case when event_id % 2 = 0 then 'Odd' else 'Bad Request' end else 'Internal Server Error' end as title
+  from (select event_id, {_STATUS} as s from audit_source) q""")(
+    lambda m: m.audit_source.withColumn("p", x.problem(F.expr(_STATUS), F.when(F.col("event_id") % 2 == 0, "Odd").otherwise(""))).select("event_id", "p.kind", "p.title")
+)
 
 _KINDS = "case event_id % 6 when 0 then 'session_expired' when 1 then 'csrf_token_mismatch' when 2 then 'not_found' when 3 then 'conflict' when 4 then 'nonce_mismatch' else 'jwks_fetch' end"
 query("A18_error_status", "select event_id, case event_id % 6 when 0 then 401 when 1 then 403 when 2 then 404 when 3 then 409 when 4 then 400 else 500 end as status from audit_source")(
@@ -388,12 +478,22 @@ query("G1_current_version", f"select max(version) as version from ({_APPLIED}) a
 query("G2_up_to_date", f"select bool_and(success) and not exists (select 1 from ({_BUNDLE}) b where version not in (select version from ({_APPLIED}) a)) as up_to_date from ({_APPLIED}) a")(
     lambda m: catalog.migration_status(_bundle(m), _applied(m)).select("up_to_date")
 )
-query("M1_migration_status", "select 4 as applied, 1 as pending, 3 as current_version, false as up_to_date")(lambda m: catalog.migration_status(_bundle(m), _applied(m)))
+query("M1_migration_status", f"""select (select count(*) from ({_APPLIED}) a) as applied, (select count(*) from ({_BUNDLE}) b where version not in (select version from ({_APPLIED}) a)) as pending,
+  (select max(version) from ({_APPLIED}) a) as current_version, (select bool_and(success) from ({_APPLIED}) a) and not exists (select version from ({_BUNDLE}) b except select version from ({_APPLIED}) a) as up_to_date""")(lambda m: catalog.migration_status(_bundle(m), _applied(m)))
 query("M2_newly_applied", f"select version from ({_BUNDLE}) b where version not in (select version from ({_APPLIED}) a)")(lambda m: catalog.newly_applied(_applied(m), _bundle(m)).select("version"))
 query("M3_checksum_drift", f"select b.version, b.checksum, a.checksum as applied_checksum from ({_BUNDLE}) b join ({_APPLIED}) a on a.version = b.version where a.checksum <> b.checksum")(
     lambda m: catalog.checksum_drift(_bundle(m), _applied(m))
 )
 query("S19_applied_migrations", f"select version from ({_APPLIED}) a order by version")(lambda m: _applied(m).orderBy("version").select("version"))
-query("M5_columns", "select table_name, column_name from information_schema.columns where table_name in ('region', 'nation')")(
-    lambda m: catalog.columns_of({t: m.spark.read.parquet(f"{m.sf_dir}/{t}.parquet") for t in ("region", "nation")}, m.spark).select("table_name", "column_name")
+query("M4_missing_services", "select r_name as service from region where r_regionkey not in (select r_regionkey from region where r_regionkey % 2 = 0)")(
+    lambda m: (lambda r: catalog.missing_services(r.select("service"), r.where("r_regionkey % 2 = 0").select("service")))(m.spark.read.parquet(f"{m.sf_dir}/region.parquet").withColumnRenamed("r_name", "service"))
 )
+_ALL = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+query("M5_columns", f"select table_name, column_name, ordinal_position as ordinal from information_schema.columns where table_name in ({', '.join(map(repr, _ALL))})")(
+    lambda m: catalog.columns_of({t: m.spark.read.parquet(f"{m.sf_dir}/{t}.parquet") for t in _ALL}, m.spark).select("table_name", "column_name", "ordinal")
+)
+query("L8_default_lifetimes", "select session_id, created_at + interval 7 days as absolute_expires_at, last_seen_at + interval 12 hours as idle_expires_at, created_at + interval 4 hours as rotates_at, last_seen_at + interval 5 minutes as touches_at, 5 as most from sessions")(
+    lambda m: (lambda r: m.sessions.select(
+        "session_id", (F.col("created_at") + F.expr(f"interval {r.absolute}")).alias("absolute_expires_at"), (F.col("last_seen_at") + F.expr(f"interval {r.idle}")).alias("idle_expires_at"),
+        (F.col("created_at") + F.expr(f"interval {r.rotate_after}")).alias("rotates_at"), (F.col("last_seen_at") + F.expr(f"interval {r.touch_after}")).alias("touches_at"), F.lit(r.most).alias("most")))(lifecycle.SessionRules())
+)

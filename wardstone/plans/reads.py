@@ -36,23 +36,22 @@ _lookup("S7_workspace_by_code", "workspaces", "program_id = 10 and workspace_cod
 _lookup("S8_membership_by_id", "memberships", "membership_id = 42", membership_id=42)
 _lookup("S10_grant_by_id", "capability_grants", "capability_grant_id = 7001", capability_grant_id=7001)
 _lookup("S13_session_by_id", "sessions", "session_id = 's-17'", session_id="s-17")
-_lookup("S16_chain_source_of_workspace", "audit_source", "workspace_id = 5 and sequence = 1", workspace_id=5, sequence=1)
 _lookup("S12_identity_by_subject", "oidc_identities", "issuer = 'https://idp-15' and subject = 'Supplier#000000000'", issuer="https://idp-15", subject="Supplier#000000000")
 query("S2_organization_by_slug", "select * from organizations where lower(slug) = lower('ASIA')")(lambda m: reads.lookup_ci(m.organizations, "slug", "ASIA"))
 query("S9_membership_of_pair", """select membership_id, workspace_id, principal_id, status from (select *, row_number() over (partition by workspace_id, principal_id
   order by case when status = 'active' then 0 else 1 end, valid_from desc, membership_id) as rn from memberships) x where rn = 1""")(
     lambda m: reads.membership_of_pair(m.memberships).select("membership_id", "workspace_id", "principal_id", "status")
 )
-query("S11_unrevoked_grant", "select * from capability_grants where workspace_id is not null and principal_id = 3 and capability_code = 'RIGHTS_REVIEW' and revoked_at is null")(
-    lambda m: reads.lookup(m.capability_grants, principal_id=3, capability_code="RIGHTS_REVIEW", revoked_at=None).where("workspace_id is not null")
-)
+for _name, (_workspace, _principal) in (("S11_unrevoked_grant", (0, 13)), ("S11_unrevoked_grant_elsewhere", (7, 13))):  # one that is there at sf0.01, one that is not
+    query(_name, f"select * from capability_grants where workspace_id = {_workspace} and principal_id = {_principal} and capability_code = 'RIGHTS_REVIEW' and revoked_at is null")(
+        lambda m, w=_workspace, p=_principal: reads.lookup(m.capability_grants, workspace_id=w, principal_id=p, capability_code="RIGHTS_REVIEW", revoked_at=None)
+    )
 query("S14_session_by_hash", "select * from sessions where handle_hash = H('h' || '23')")(
     lambda m: m.sessions.where(F.col("handle_hash") == F.sha2(F.lit("h23").cast("binary"), 256))
 )
 query("S15_transaction_by_state", "select * from oidc_transactions where state_hash = H('st' || '5')")(
     lambda m: m.oidc_transactions.where(F.col("state_hash") == F.sha2(F.lit("st5").cast("binary"), 256))
 )
-query("S17_request_by_id", "select * from request_log where request_id = 11")(lambda m: reads.lookup(m.request_log, request_id=11))
 query("S18_any_organization", "select * from organizations order by organization_id limit 1")(lambda m: m.organizations.orderBy("organization_id").limit(1))
 query("S20_scope_variable", "select nullif(case when workspace_id is null then '' else cast(workspace_id as varchar) end, '') as scope, request_id from request_log")(
     lambda m: m.request_log.select(F.nullif(F.coalesce(F.col("workspace_id").cast("string"), F.lit("")), F.lit("")).alias("scope"), "request_id")
@@ -73,8 +72,10 @@ def _page(key: str, table: str, column: str, where: str, n: int, cursor=None, ex
 _page("K1_programs_page", "programs", "program_id", "organization_id = 2", 3, 2, columns=("name",))
 _page("K2_programs_unscoped_page", "programs", "program_id", "1 = 1", 10, columns=("name",))
 _page("K3_workspaces_page", "workspaces", "workspace_id", "program_id = 10", 5, 3, columns=("name",))
-_page("K4_memberships_page", "memberships", "membership_id", "status = 'active'", 50, 100)
-_page("K5_grants_page", "capability_grants", "capability_grant_id", "workspace_id is not null", 20, 5000, columns=("principal_id",))
+_page("K4_memberships_page", "memberships", "membership_id", "workspace_id = 5", 3)
+_page("K4_memberships_next_page", "memberships", "membership_id", "workspace_id = 8", 50, 40)
+_page("K5_grants_page", "capability_grants", "capability_grant_id", "workspace_id = 5", 4, columns=("workspace_id", "principal_id"))
+_page("K5_grants_next_page", "capability_grants", "capability_grant_id", "workspace_id = 8", 50, 20_000, columns=("workspace_id", "principal_id"))
 query("K6_all_membership_pages", """select workspace_id, membership_id, page, has_more, case when has_more then last_id end as next_cursor from (select *, max(membership_id) over
   (partition by workspace_id, page) as last_id, page < max(page) over (partition by workspace_id) as has_more from (select workspace_id, membership_id,
   cast(ceil(row_number() over (partition by workspace_id order by membership_id) / 4.0) as bigint) as page from memberships) a) b""")(

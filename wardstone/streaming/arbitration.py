@@ -10,18 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.lifecycle import KEY
+from ..operators.lifecycle import key_of
 
 
-def arbitrated_stream(requests: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
+def arbitrated_stream(requests: DataFrame, ttl_seconds: int = 86_400, keep_seconds: int | None = None, late: str = "1 hour") -> DataFrame:
     """(request_id, outcome) of a stream of requests (the key's columns, request_hash, request_id, requested_at).
 
     A key's first request is acquired, another hash is a mismatch, the same one in progress until its time is over. A
     key's requests are taken in the order of their time within a batch, as the batch operator does over a whole log. The
-    state is one hash and one instant a key.
+    state is one hash and one instant a key. Records are kept for ever, as the batch operator keeps them, or, with
+    ``keep_seconds``, dropped so long after their time is over, by a watermark of ``late``; a key that comes again after
+    that is acquired whatever its hash.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, until = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values(["at", "request_id"], kind="stable")  # one key's requests of one batch
         out = []
@@ -32,11 +37,17 @@ def arbitrated_stream(requests: DataFrame, ttl_seconds: int = 86_400) -> DataFra
             else:
                 out.append((request, "InProgress" if held == asked else "Mismatch"))
         state.update((held, until))
+        if keep_seconds is not None:
+            state.setTimeoutTimestamp(max(until // 1000 + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["request_id", "outcome"])
 
-    key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEY))
-    slim = requests.select(key.alias("key"), F.unix_micros(F.col("requested_at").cast("timestamp")).alias("at"), "request_id", "request_hash")
-    return slim.groupBy("key").applyInPandasWithState(step, "request_id long, outcome string", "held string, until long", "append", GroupStateTimeout.NoTimeout)
+    at = F.col("requested_at").cast("timestamp")
+    if keep_seconds is None:
+        slim, kind = requests.select(key_of().alias("key"), F.unix_micros(at).alias("at"), "request_id", "request_hash"), GroupStateTimeout.NoTimeout
+    else:
+        seen = requests.withColumn("__ws_at", at).withWatermark("__ws_at", late)
+        slim, kind = seen.select(key_of().alias("key"), F.unix_micros("__ws_at").alias("at"), "request_id", "request_hash", "__ws_at"), GroupStateTimeout.EventTimeTimeout
+    return slim.groupBy("key").applyInPandasWithState(step, "request_id long, outcome string", "held string, until long", "append", kind)
 
 
 def chained_stream(events: DataFrame) -> DataFrame:
