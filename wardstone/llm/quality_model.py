@@ -44,14 +44,17 @@ def statistics(text: str) -> list[float]:
     lengths = np.fromiter(map(len, words), np.float64, n)
     octets = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / size
     of = lambda marks: float(octets[list(marks)].sum())
-    windows = list(zip(words, words[1:], words[2:]))
+    number = {w: i for i, w in enumerate(counts)}
+    codes = np.fromiter(map(number.__getitem__, words), np.int64, n)
+    pairs = np.unique(codes[:-1] * len(number) + codes[1:], return_inverse=True)[1]
+    windows = len(np.unique(pairs[:-1] * len(number) + codes[2:])) if n > 2 else 0
     return [
         np.log1p(n), np.log1p(len(lines)), lengths.mean(), lengths.std(), lengths.max(), n / len(lines), len(counts) / n, len(set(lines)) / len(lines),
         max(counts.values()) / n, sum(c for w, c in counts.items() if w.lower() in _STOP) / n, float(octets[97:123].sum() + octets[65:91].sum()),
         float(octets[65:91].sum()), float(octets[48:58].sum()), of(b" \t\r\n"), of(b".?"), of(b",;:"), of(b"!"), of(b"#*$%&@^~"), of(b"|"), of(b"{}[]()<>="),
         of(b"\"'/\\_+-`"), float(octets[128:].sum()), sum(c for w, c in counts.items() if len(w) > 1 and w.isupper()) / n,
         sum(c for w, c in counts.items() if any(48 <= b < 58 for b in w)) / n, sum(c for w, c in counts.items() if _MARKED.search(w)) / n,
-        1 - len(set(windows)) / max(1, len(windows)),
+        1 - windows / max(1, n - 2),
     ]
 
 
@@ -129,11 +132,14 @@ def _rows(texts: pd.Series) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Forest:
-    """Fit on ``sample_rows`` labelled rows at most, chosen by a hash of their ids; held-out ids are left out."""
+    """Fit on ``sample_rows`` labelled rows at most, chosen by a hash of their ids; held-out ids are left out.
+
+    Of rows of ``docs`` that share an id one is learned from, the one with the least statistics, once for each of its labels.
+    """
     usable = labels.select(F.col("doc_id").alias("__ws_id"), F.col("quality").cast("double").alias("__ws_y")).dropna()
     usable = usable.where(~held_out("__ws_id"))
     share = min(1.0, sample_rows * 0.97 / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("__ws_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_rows)
+    chosen = usable.distinct().where(F.pmod(F.xxhash64("__ws_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_rows)
 
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series) -> pd.Series:
@@ -142,8 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("__ws_doc"), text_of(text_col).alias("__ws_text")).join(
         F.broadcast(chosen), F.col("__ws_doc") == F.col("__ws_id")
     )
-    got = rows.select(F.col("__ws_id").alias("id"), measured("__ws_text").alias("x"), F.col("__ws_y").alias("y")).toPandas()
-    got = got.sort_values("id", kind="stable")
+    rows = rows.select(F.col("__ws_id").alias("id"), measured("__ws_text").alias("x"), F.col("__ws_y").alias("y"))
+    got = rows.groupBy("id", "y").agg(F.min("x").alias("x")).toPandas()  # one row for each of ``chosen`` at most
+    got = got.sort_values(["id", "y"], kind="stable")
     return fit(np.array(got["x"].tolist(), np.float64).reshape(-1, len(STATISTICS)), got["y"].to_numpy())
 
 
@@ -153,8 +160,9 @@ def score_quality(
     """``docs`` with held_out, score (0 to 1, never null) and predicted (1 if score >= ``threshold``, else 0).
 
     Only the text is an input of a score. Null and empty texts score as texts without words. Labels that are null are
-    not learned from; repeated rows and labels count as often as they stand. Columns of these three names are
-    replaced; all others pass through.
+    not learned from; repeated rows and labels count once. A score of exactly ``threshold`` is predicted 1; of equal
+    splits a tree takes the first statistic and the lowest edge. Columns of these three names are replaced; all others
+    pass through.
     """
     model = train(docs, labels, id_col, text_col, sample_rows)
 
