@@ -98,13 +98,18 @@ def named_predicates(held) -> dict[str, Column]:
 def grants_in_scope(pairs: DataFrame, grants: DataFrame) -> DataFrame:
     """Grants of each (workspace_id, program_id, principal_id): those of the workspace and those of its program.
 
-    The OR of the two scopes is two equi-joins; a grant that both find counts once.
+    The OR of the two scopes is one equi-join on (kind of scope, its id, principal), for which each side is read once; a
+    grant that both scopes find counts once.
     """
-    g = grants.withColumnRenamed("workspace_id", "g_workspace_id").withColumnRenamed("program_id", "g_program_id").withColumnRenamed("principal_id", "g_principal_id")
-    mine = F.col("principal_id") == F.col("g_principal_id")
-    by_workspace = pairs.join(g, (F.col("workspace_id") == F.col("g_workspace_id")) & mine)
-    by_program = pairs.join(g, (F.col("program_id") == F.col("g_program_id")) & mine & ~F.col("g_workspace_id").eqNullSafe(F.col("workspace_id")))
-    return by_workspace.unionByName(by_program).drop("g_workspace_id", "g_program_id", "g_principal_id")
+
+    def by_scope(df: DataFrame) -> DataFrame:
+        kinds = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("id"))) for c in ("workspace_id", "program_id")]
+        return df.withColumn("scope", F.explode(F.array_compact(F.array(*kinds))))
+
+    g = by_scope(grants).withColumnsRenamed({c: f"g_{c}" for c in ("workspace_id", "program_id", "principal_id", "scope")})
+    found = by_scope(pairs).join(g, (F.col("scope") == F.col("g_scope")) & (F.col("principal_id") == F.col("g_principal_id")))
+    twice = (F.col("scope.kind") == "program_id") & F.col("g_workspace_id").eqNullSafe(F.col("workspace_id"))
+    return found.where(~twice).drop("scope", "g_scope", "g_workspace_id", "g_program_id", "g_principal_id")
 
 
 def effective_capabilities(memberships: DataFrame, workspaces: DataFrame, grants: DataFrame, t: Column) -> DataFrame:

@@ -13,9 +13,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # --- canonical JSON ---------------------------------------------------------------------------------------------------
 
@@ -121,25 +122,23 @@ def chained(events: DataFrame, heads: DataFrame | None = None, order: tuple[str,
         rows = rows.join(known, F.col("workspace_id") == F.col("__w"), "left").withColumn("sequence", F.col("sequence") + F.coalesce("__s", F.lit(0))).drop("__w", "__s")
     else:
         rows = rows.withColumn("__h", F.lit(None).cast("string"))
-    rows = rows.withColumn("body", envelope(rows))
-    slim = rows.select("workspace_id", "sequence", "body", F.col("__h").alias("head"))
-    kind = dict(slim.dtypes)["workspace_id"]
+    rows = rows.withColumn("body", envelope(rows)).repartition("workspace_id").sortWithinPartitions("workspace_id", "sequence")
+    names = ("previous_event_hash", "event_hash")
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = object(), None
-        for frame in frames:
-            out = []
-            for workspace, sequence, body, head in frame.itertuples(index=False):
+        for batch in batches:
+            before, hashes = [], []
+            for workspace, body, head in zip(*(batch.column(c).to_pylist() for c in ("workspace_id", "body", "__h"))):
                 if workspace != at:
                     at, last = workspace, head
-                new = hashlib.sha256((bytes.fromhex(last) if last else b"") + b"\0" + body.encode()).hexdigest()
-                out.append((workspace, sequence, last, new))
-                last = new
-            yield pd.DataFrame(out, columns=["workspace_id", "sequence", "previous_event_hash", "event_hash"])
-
-    in_order = slim.repartition("workspace_id").sortWithinPartitions("workspace_id", "sequence")
-    hashes = in_order.mapInPandas(fold, f"workspace_id {kind}, sequence long, previous_event_hash string, event_hash string")
-    return rows.drop("__h").join(hashes, ["workspace_id", "sequence"])
+                before.append(last)
+                last = hashlib.sha256((bytes.fromhex(last) if last else b"") + b"\0" + body.encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[*batch.schema.names, *names])
+
+    schema = StructType([*rows.schema.fields, *(StructField(n, StringType()) for n in names)])
+    return rows.mapInArrow(fold, schema).drop("__h")
 
 
 def chain_heads(chain: DataFrame) -> DataFrame:

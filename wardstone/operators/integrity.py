@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import unicode_trim
 from ..sources.model import union_all
 
 #: (rule, table, key, condition that a violating row meets). A null operand passes, as in a CHECK. Conditions, values and
@@ -203,6 +204,29 @@ def blank_to_null(x) -> Column:
     return F.when(F.trim(x) != "", x)
 
 
+def session_error(t: Column) -> Column:
+    """Why a new session cannot be made: an empty hash, or a lifetime that does not end after ``t``; null if it can."""
+    empty = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) == 0
+    late = lambda c: F.coalesce(F.col(c) > t, F.lit(False))
+    return (
+        F.when(empty("handle_hash"), "empty_handle_hash").when(empty("csrf_secret_hash"), "empty_csrf_secret_hash").when(~late("idle_expires_at"), "idle_expires_at_not_in_future")
+        .when(~late("absolute_expires_at"), "absolute_expires_at_not_in_future")
+    )
+
+
+def transaction_error(t: Column) -> Column:
+    """Why a new sign-in transaction cannot be made, or null."""
+    empty = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) == 0
+    return F.when(empty("state_hash"), "empty_state_hash").when(empty("nonce_hash"), "empty_nonce_hash").when(~F.coalesce(F.col("expires_at") > t, F.lit(False)), "expires_at_not_in_future")
+
+
+def identity_fields() -> list[Column]:
+    """error of a new identity (a blank issuer or subject), and its trimmed issuer, subject and email, a blank one null."""
+    blank = lambda c: F.coalesce(unicode_trim(c), F.lit("")) == ""
+    error = F.when(blank("issuer"), "empty_issuer").when(blank("subject"), "empty_subject")
+    return [error.alias("error"), unicode_trim("issuer").alias("issuer"), unicode_trim("subject").alias("subject"), F.nullif(unicode_trim("email"), F.lit("")).alias("email")]
+
+
 def grant_error(t: Column, expires="expires_at") -> Column:
     """A new grant's expiry must lie ahead."""
     return F.when(F.col(expires).isNotNull() & (F.col(expires) <= t), "expiry_not_in_future")

@@ -128,7 +128,7 @@ query("A2_special_grants", "select capability_grant_id, capability_code in ('OVE
 query("A3_role_capabilities", f"select membership_id, {_ROLE_SETS} as capabilities from memberships")(
     lambda m: m.memberships.select("membership_id", F.array_join(access.role_capabilities("role_code"), ",").alias("capabilities"))
 )
-query("A4_special_in_roles", "select role_code, 0 as special from memberships group by role_code")(
+query("A4_special_in_roles", f"select role_code, len(list_filter(string_split(c, ','), lambda x: list_contains(['OVERRIDE_BLOCK', 'RIGHTS_REVIEW', 'RULE_ACTIVATION', 'GRANT_AUTHORITY'], x))) as special from (select distinct role_code, {_ROLE_SETS} as c from memberships) r")(
     lambda m: m.memberships.select("role_code").distinct().select("role_code", F.size(access.special_part(access.role_capabilities("role_code"))).alias("special"))
 )
 _TWO = "('WORKSPACE_WRITE', 'GRANT_AUTHORITY')"
@@ -192,6 +192,15 @@ query("A17_endpoint_gates", f"""select workspace_id, principal_id, role_code, {_
   {_FIRST} and {_has('WORKSPACE_ADMIN')} as may_create_membership, {_has('WORKSPACE_READ')} as may_read from eff""", *_EFFECTIVE)(
     lambda m: effective(m).select(*KEYS, *(c.alias(n) for n, c in access.endpoint_gates(F.col("capabilities")).items()))
 )
+_WRAPPED = (("can", "WORKSPACE_WRITE"), ("has_special_authority", "OVERRIDE_BLOCK"))
+query("A21_context_checks", f"""select workspace_id, principal_id, role_code, {_has('WORKSPACE_WRITE')} as can, {_has('WORKSPACE_READ')} and {_has('AUDIT_READ')} as can_all, {_has('AUDIT_READ')} or {_has('OVERRIDE_BLOCK')} as can_any,
+  {_has('OVERRIDE_BLOCK')} as has_special_authority, case when not {_has('WORKSPACE_WRITE')} then 'MissingCapability' end as required, case when not {_has('OVERRIDE_BLOCK')} then 'MissingSpecialAuthority' end as required_special, """
+  + ", ".join(f"{_has(c)} as can_{c.lower()}" for c in ("WORKSPACE_READ", "WORKSPACE_WRITE", "WORKSPACE_ADMIN", "AUDIT_READ", "OVERRIDE_BLOCK", "RIGHTS_REVIEW", "RULE_ACTIVATION", "GRANT_AUTHORITY")) + " from eff", *_EFFECTIVE)(
+    lambda m: (lambda h: effective(m).select(
+        *KEYS, *(F.array_contains(h, c).alias(n) for n, c in _WRAPPED), access.has_all(h, access.array_of(("WORKSPACE_READ", "AUDIT_READ"))).alias("can_all"),
+        access.has_any(h, access.array_of(("AUDIT_READ", "OVERRIDE_BLOCK"))).alias("can_any"), access.evaluate("require", h, ["WORKSPACE_WRITE"])["reason"].alias("required"),
+        access.evaluate("special", h, ["OVERRIDE_BLOCK"])["reason"].alias("required_special"), *(c.alias(n) for n, c in access.named_predicates(h).items())))(F.col("capabilities"))
+)
 query("A19_grant_expiry_errors", "select capability_grant_id, case when expires_at is not null and expires_at <= granted_at + interval 365 days then 'expiry_not_in_future' end as error from capability_grants")(
     lambda m: m.capability_grants.select("capability_grant_id", grant_error(F.col("granted_at") + F.expr("interval 365 days")).alias("error"))
 )

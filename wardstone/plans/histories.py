@@ -268,6 +268,24 @@ query("C17_blank_defaults", "select workspace_id, case when trim(raw) = '' then
     lambda m: names(m).select("workspace_id", integrity.return_path("raw").alias("return_path"), integrity.blank_to_null("raw").alias("email"))
 )
 
+_NEW = "timestamp '2024-01-20 00:00:00'"
+query("C17_new_sessions", f"""select session_id, case when k = 1 then 'empty_handle_hash' when k = 2 then 'empty_csrf_secret_hash' when not idle_expires_at > {_NEW} then 'idle_expires_at_not_in_future'
+  when not absolute_expires_at > {_NEW} then 'absolute_expires_at_not_in_future' end as error from (select *, rotation_counter as k from sessions) s""")(
+    lambda m: m.sessions.withColumns({"csrf_secret_hash": F.when(F.col("rotation_counter") == 2, "").otherwise("c"), "handle_hash": F.when(F.col("rotation_counter") != 1, F.col("handle_hash"))})
+    .select("session_id", integrity.session_error(instant("2024-01-20 00:00:00")).alias("error"))
+)
+query("C17_new_transactions", f"""select oidc_transaction_id, case oidc_transaction_id % 5 when 1 then 'empty_state_hash' when 2 then 'empty_nonce_hash' else case when not expires_at > {_NEW} then 'expires_at_not_in_future' end end as error
+  from oidc_transactions""")(
+    lambda m: m.oidc_transactions.withColumns({"state_hash": F.when(F.col("oidc_transaction_id") % 5 != 1, F.col("state_hash")).otherwise(""), "nonce_hash": F.when(F.col("oidc_transaction_id") % 5 != 2, "n")})
+    .select("oidc_transaction_id", integrity.transaction_error(instant("2024-01-20 00:00:00")).alias("error"))
+)
+query("C17_new_identities", """select principal_id, case principal_id % 4 when 1 then 'empty_issuer' when 2 then 'empty_subject' end as error, case when principal_id % 4 = 1 then '' else issuer end as issuer,
+  case when principal_id % 4 = 2 then '' else subject end as subject, case when principal_id % 3 = 0 then 'a@b' end as email from oidc_identities""")(
+    lambda m: m.oidc_identities.select(
+        "principal_id", F.expr("case when principal_id % 4 = 1 then '\\t ' else concat(' ', issuer, '\\n') end").alias("issuer"), F.expr("case when principal_id % 4 = 2 then ' ' else concat(subject, ' ') end").alias("subject"),
+        F.expr("case principal_id % 3 when 0 then ' a@b' when 1 then '  ' end").alias("email")).select("principal_id", *integrity.identity_fields())
+)
+
 # --- mutations --------------------------------------------------------------------------------------------------------
 
 query("U1_inserted_programs", "select program_id, name from programs union all select 100, 'NEW'")(
@@ -421,9 +439,12 @@ query("X20_required_names", "select workspace_id, case when trim(raw) = '' then
 query("X21_keys", "select event_id, case event_id % 5 when 0 then 'ok' when 1 then 'member_missing' when 2 then 'ok' when 3 then 'symmetric_rejected' else 'not_allowed' end as outcome from audit_source")(
     lambda m: m.audit_source.select("event_id", x.jwk_decision(F.expr("case event_id % 5 when 0 then 'RSA' when 1 then 'EC' when 2 then 'OKP' when 3 then 'oct' else 'PQ' end"), F.lit("n"), F.lit("e"), F.lit("x"), F.lit(None).cast("string")).alias("outcome"))
 )
-query("X22_authorization_urls", "select event_id, 'https://idp/authorize?response_type=code&scope=openid+email&state=s%2F' || cast(event_id as varchar) as url from audit_source")(
-    lambda m: m.audit_source.select("event_id", x.authorization_url(F.lit("https://idp/authorize"), [("response_type", F.lit("code")), ("scope", F.lit("openid email")), ("state", F.concat(F.lit("s/"), F.col("event_id")))]).alias("url"))
-)
+query("X22_authorization_urls", """select event_id, 'https://idp/authorize?response_type=code&client_id=app+1&redirect_uri=https%3A%2F%2Fapp%2Fback%3Fa%3D1&scope=openid+email&state=s%2F' || event_id || '&nonce=n%3D' || event_id
+  || '&code_challenge=c-_' || event_id || '&code_challenge_method=S256' as url from audit_source""")(
+    lambda m: (lambda i: m.audit_source.select("event_id", x.authorization_url(F.lit("https://idp/authorize"), [
+        ("response_type", F.lit("code")), ("client_id", F.lit("app 1")), ("redirect_uri", F.lit("https://app/back?a=1")), ("scope", F.array_join(F.array(F.lit("openid"), F.lit("email")), " ")),
+        ("state", F.concat(F.lit("s/"), i)), ("nonce", F.concat(F.lit("n="), i)), ("code_challenge", F.concat(F.lit("c-_"), i)), ("code_challenge_method", F.lit("S256"))]).alias("url")))(F.col("event_id").cast("string"))
+)
 query("X23_key_cache", """select event_id, case when event_id % 4 < 2 and event_id % 3 = 0 then 'use' when event_id % 5 = 0 then case when event_id % 3 = 0 then 'use_stale' else 'not_found' end else 'refresh' end as action from audit_source""")(
     lambda m: m.audit_source.select("event_id", x.key_cache_decision(F.lit(10_000), F.when(F.col("event_id") % 4 < 2, 9_000).otherwise(1_000), F.when(F.col("event_id") % 5 == 0, 9_995).otherwise(9_000), F.col("event_id") % 3 == 0).alias("action"))
 )
@@ -443,9 +464,15 @@ query("X25_problems", f"""select event_id, case s when 401 then 'unauthorized' w
     lambda m: m.audit_source.withColumn("p", x.problem(F.expr(_STATUS), F.when(F.col("event_id") % 2 == 0, "Odd").otherwise(""))).select("event_id", "p.kind", "p.title")
 )
 
-_KINDS = "case event_id % 6 when 0 then 'session_expired' when 1 then 'csrf_token_mismatch' when 2 then 'not_found' when 3 then 'conflict' when 4 then 'nonce_mismatch' else 'jwks_fetch' end"
-query("A18_error_status", "select event_id, case event_id % 6 when 0 then 401 when 1 then 403 when 2 then 404 when 3 then 409 when 4 then 400 else 500 end as status from audit_source")(
-    lambda m: m.audit_source.withColumn("kind", F.expr(_KINDS)).select("event_id", access.error_status("kind").alias("status"))
+_BY_STATUS = {
+    401: "unauthenticated session_not_found session_expired session_revoked unauthorized", 403: "csrf_origin_mismatch csrf_missing_origin csrf_missing_header csrf_token_mismatch authorization security_violation",
+    400: "state_mismatch transaction_expired nonce_mismatch invalid_token domain idempotency_mismatch idempotency_in_progress", 404: "not_found", 409: "conflict",
+    500: "idp_communication jwks_fetch context_verification persistence internal unheard_of",
+}
+_KINDS = [(kind, status) for status, kinds in _BY_STATUS.items() for kind in kinds.split()]
+_KIND = f"case event_id % {len(_KINDS)} " + " ".join(f"when {i} then '{kind}'" for i, (kind, _) in enumerate(_KINDS)) + " end"
+query("A18_error_status", f"select event_id, case event_id % {len(_KINDS)} " + " ".join(f"when {i} then {status}" for i, (_, status) in enumerate(_KINDS)) + " end as status from audit_source")(
+    lambda m: m.audit_source.withColumn("kind", F.expr(_KIND)).select("event_id", access.error_status("kind").alias("status"))
 )
 query("X11_constant_time_equality", "select event_id, action_code = 'CLICK' as same from audit_source")(lambda m: m.audit_source.select("event_id", (F.col("action_code") == "CLICK").alias("same")))
 _KEYSET = ("keyset", "select n_regionkey as set_id, n_nationkey as key_id, 'k' || cast(n_nationkey as varchar(20)) as kid from nation where n_regionkey < 3 or n_nationkey = 3")
