@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wardstone.llm import queries
+from wardstone.llm import piece_sampling, queries
 from wardstone.llm.html_extract import Page, extract_pages
 from wardstone.llm.lattice import MARKER, forward, vocabulary
 from wardstone.llm.lattice_batch import log_marginals
@@ -81,6 +81,15 @@ def test_samples_follow_the_lattice():
     assert all(abs(got[s] / 20_000 - w / sum(share.values())) < 0.02 for s, w in share.items())
 
 
+def test_long_words_are_sampled_as_short_ones(monkeypatch):
+    """Words that are too long for a matrix give the same pieces for the same draws, so they follow the same distribution."""
+    texts = ["hello world", "été漢x a▁b unbelievable", "internationalisation of the " * 3]
+    want = [Sampler(None, 0.5)([t] * 50, list(range(50))) for t in texts]
+    monkeypatch.setattr(piece_sampling, "LONG", 1)
+    for t, each in zip(texts, want):
+        assert all((a == b).all() for a, b in zip(Sampler(None, 0.5)([t] * 50, list(range(50))), each))
+
+
 def test_sampling_rows(spark):
     rows = decode_pieces(sample_pieces(frame(spark))).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in rows) and len(rows) == len(ROWS)

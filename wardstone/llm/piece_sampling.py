@@ -71,7 +71,7 @@ class Sampler:
         vocab, weight, word = self.vocabulary, self.weight.tolist(), MARKER + part
         total, back, j, size = forward(vocab, word, weight), array("q"), len(word), vocab.size
         for draw in draws:
-            edges = vocab.ending(word, j)
+            edges = vocab.ending(word, j)[::-1]  # the shortest first, as a matrix has them
             shares = list(accumulate(math.exp(total[i] + sum([weight[x] for x in ids]) - total[j]) for i, ids in edges))
             start, ids = edges[min(bisect_right(shares, draw * shares[-1]), len(edges) - 1)]
             back.append(ids[0] if ids[0] in vocab.whole else size + ord(word[start]))
