@@ -179,7 +179,7 @@ def repeat_filters(payload: DataFrame, where: Layout, max_bytes: int = MAX_BYTES
         low, high = where.segments * i // passes, where.segments * (i + 1) // passes
         bits = np.zeros((high - low) * size // 8, np.uint8)
         some = repeats.where((F.col("segment") >= low) & (F.col("segment") < high)).select("segment", "keys")
-        for row in some.mapInPandas(drawn, "segment int, filter binary").toLocalIterator():  # the filters themselves, of bounded size
+        for row in some.mapInPandas(drawn, "segment int, filter binary").collect():  # the filters themselves, of bounded size
             at = (row["segment"] - low) * size // 8
             bits[at : at + size // 8] = np.frombuffer(bytes(row["filter"]), np.uint8)
         yield RepeatFilter(payload.sparkSession.sparkContext.broadcast(bits), where.segments, size, low, high)
