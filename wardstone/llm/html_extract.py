@@ -39,7 +39,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup, and elements that are never main text.
 RAW = frozenset("script style noscript template textarea title iframe noframes noembed xmp svg annotation select".split())
-ASIDE = frozenset("nav aside footer form menu dialog button head".split())
+ASIDE = frozenset("nav aside footer form menu dialog button label head".split())
 #: An element that starts closes open ones of these kinds, up to a border.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -55,22 +55,22 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie "
     "cookies copyright disclaimer disqus footer form gdpr login menu menus modal nav navbar navigation navi newsletter notice notices notification "
     "pager pagination paywall popup promo promotion promoted recommended related replies respond search share sharing sidebar signup skip skiplink social sponsor "
-    "sponsored subscribe subscription toc toolbar tracking widget widgets contentinfo complementary dialog alert".split()
+    "sponsored subscribe subscription toc toolbar tracking widget widgets contentinfo complementary dialog alert cta discussion feedback reply reviews".split()
 )
 PARTS = frozenset(
     "wrapper wrap container box block area list section bar inner outer item items link links panel unit slot zone region top bottom left right main primary secondary "
-    "sticky title body text message overlay icons icon button buttons group row column col site page post article entry blog header heading to content template thread form".split()
+    "sticky title body text message overlay icons icon user users reader readers customer button buttons group row column col site page post article entry blog header heading to content template thread form".split()
 )
 LAYOUT = frozenset("has no with without".split())
 TOPICS = frozenset("category cat tag topic section subject type format status post term".split())
-COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus feedback respond replies reply reviews".split())
 HEADERS = frozenset("header masthead".split())
 
 _TAG = re.compile(
     r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>|[^>]*+\Z)|[!?/][^>]*+(?:>|\Z))""", re.S
 )
-_MARKING = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden(?:[\s>=/]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -88,19 +88,22 @@ def _read(name: str, rest: str) -> tuple[str, int, bool, bool]:
     """An element's generalised step; how surely it is aside: 0 main, 1 by its classes, 2 surely; whether it is marked as the
     main part, and whether it is a header.
     """
-    classes, found, main, header = [], set(), name == "main", name == "header"
-    for key, *values in _MARKING.findall(rest):
-        value = "".join(values).lower()
-        if key.lower() == "class":
+    classes, found, main, header, hidden = [], set(), name == "main", name == "header", False
+    for key, *values in _ATTRIBUTE.findall(rest):
+        key, value = key.lower(), "".join(values).lower()
+        hidden = hidden or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and bool(_UNSEEN.search(value))
+        if key not in ("class", "id", "role"):
+            continue
+        if key == "class":
             classes += [re.sub(r"[\d>]+", "", x) for x in value.split()]
-        main = main or value == "main" and key.lower() == "role"
+        main = main or value == "main" and key == "role"
         for x in value.split():
             found |= marked(x)
             words = _WORDS.findall(x)
             if HEADERS & set(words) and not LAYOUT & set(words):
                 header = header or words[-1] in HEADERS or all(w in PARTS or w in HEADERS for w in words)
     whole_page = name in ("html", "body")
-    sure = name in ASIDE or bool(_HIDDEN.search(rest)) and not whole_page or bool(found & COMMENTS)
+    sure = name in ASIDE or hidden and not whole_page or bool(found & COMMENTS)
     aside = 0 if whole_page else 2 if sure else int(bool(found) and name not in ("main", "article"))
     return ".".join([name, *sorted({x for x in classes if x})]), aside, main, header and not whole_page
 
@@ -128,13 +131,13 @@ class Page:
 
     Elements stand in page order as entries of lists, so memory is linear in the page however deep it is. Of an element:
     parent, name, path (its key), aside (0, 1, 2), header that holds it, whether a heading stands between, the article or
-    main part that holds it (0: none), the container that it counts for. Of a path: what it goes on from, whether it is
+    main part that holds it (0: none), the container that it counts for, the block element that it stands in. Of a path: what it goes on from, whether it is
     the whole page's.
     """
 
     def __init__(self, source: str):
         self.parent, self.name, self.path, self.aside = [-1], [""], [0], [0]
-        self.header, self.heading, self.article, self.container = [0], [False], [0], [0]
+        self.header, self.heading, self.article, self.container, self.base = [0], [False], [0], [0], [0]
         self.above: dict[int, int] = {}
         self.whole = {0}
         self.blocks: list[tuple[int, str, int]] = []
@@ -156,7 +159,8 @@ class Page:
 
         def put(a: int, b: int) -> None:
             nonlocal links
-            if a < b:
+            x = stack[-1]
+            if a < b and self.aside[x] <= self.aside[self.base[x]]:  # else an aside within a line
                 part = source[a:b]
                 if "&" in part:
                     part = html.unescape(part)
@@ -251,6 +255,7 @@ class Page:
         # an article or main part stands for the containers in it
         self.article.append(x if name == "article" or main and self.name[self.article[above]] != "article" else self.article[above])
         self.container.append(x if block and name not in LEAVES else self.container[above])
+        self.base.append(x if block else self.base[above])
 
     def _kept(self) -> list[tuple[int, str, int]]:
         """Blocks that may be main text: not in an aside; of a header, only the headings, and those in an article.
@@ -334,6 +339,7 @@ class Page:
         total = sum(worth(text, links) for _, text, links in kept)
         if sum(worth(text, links) for (_, text, links), use in zip(kept, inside) if use) < COVER * total:
             inside = self._under(winners | self.chosen(own).keys())
+        inside = self._beside(inside)
         first, title = inside.index(True) if True in inside else 0, lambda i: self._titled(kept[i][0])
         if first and not any(use and title(i) for i, use in enumerate(inside)):
             above = next((i for i in range(first - 1, -1, -1) if title(i)), first)
@@ -341,6 +347,20 @@ class Page:
                 inside[i] = i == above or 2 * kept[i][2] < len(kept[i][1])
         return "\n\n".join(text for (_, text, _), use in zip(kept, inside) if use)
 
+    def _beside(self, inside: list[bool]) -> list[bool]:
+        """On a page without an article or main part, also the containers beside what is inside: of three words or more, most of it no links."""
+        tops = [self._top(x) for x, *_ in self.kept]
+        if any(use and self.article[top] for use, top in zip(inside, tops)):
+            return inside
+        beside = {self.parent[top] for use, top in zip(inside, tops) if use and top}
+        words, linked, size = Counter(), Counter(), Counter()
+        for top, (_, text, links) in zip(tops, self.kept):
+            words[top] += len(text.split())
+            linked[top] += links
+            size[top] += len(text)
+        more = {t for t in words if t and self.parent[t] in beside and words[t] >= 3 and 2 * linked[t] < size[t]}
+        return [use or top in more for use, top in zip(inside, tops)]
+
     def _titled(self, x: int) -> bool:
         while self.name[x] not in BLOCKS and x:
             x = self.parent[x]
