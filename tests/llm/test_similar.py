@@ -72,8 +72,9 @@ def test_late_shingles_and_parts_of_buckets_change_nothing(spark):
     notice = [f"notice{i}" for i in range(40)]
     own = [" ".join([*(f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([3, 10, 60]))), *notice]) for _ in range(60)]
     rows = [*near_rows(4), *enumerate(own)]
-    got = similar_groups(clash(frame(spark, rows)), crowd=3, share=1, part=5).select("doc_id", "component_id").collect()
-    assert sorted(map(tuple, got), key=str) == brute_groups(rows)
+    for more in ({"part": 5, "square": 3}, {"square": 2, "exact": True}):
+        got = similar_groups(clash(frame(spark, rows)), crowd=3, share=1, **more).select("doc_id", "component_id").collect()
+        assert sorted(map(tuple, got), key=str) == brute_groups(rows)
 
 
 def test_a_crowd_of_similar_texts(spark):

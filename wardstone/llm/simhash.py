@@ -161,11 +161,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", hexed, "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5, exact: bool = False) -> DataFrame:
     """The rows of ``docs`` whose id names their group: one document of each group, with all its columns.
 
     The groups are those of op1 (3-word shingles, MAX_BITS differing bits) or, with a ``similarity``, those of
-    ``similar_groups``: all texts linked by so much Jaccard similarity of their shingles of ``shingle`` words.
+    ``similar_groups``: all texts linked by so much Jaccard similarity of their shingles of ``shingle`` words (``exact``: none
+    missed by chance).
 
     Of rows that repeat an id one stays. A row with a null id goes if its group has an id; of a group whose ids are all
     null, one row of each fingerprint stays. Most rows pass straight through: only those whose id may be a loser's or a
@@ -174,7 +175,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if similarity is None:
         groups, named = simhash_groups(docs, id_col, text_col), _fingerprints(text_of(text_col))
     else:
-        groups, named = similar_groups(docs, id_col, text_col, similarity, shingle), node_of(shingle)(text_of(text_col))
+        groups, named = similar_groups(docs, id_col, text_col, similarity, shingle, exact=exact), node_of(shingle)(text_of(text_col))
     groups = stored(groups, "groups")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("component_id")).where("doc_id is not null")
     gone = stored(repeated.where("n > 1 or component_id != doc_id").select("doc_id", F.xxhash64("doc_id").alias("h"), (F.col("component_id") != F.col("doc_id")).alias("loser")), "gone")
