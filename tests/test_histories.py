@@ -139,9 +139,9 @@ def test_integrity_finds_injected_rows(spark):
     blank = integrity.check_violations(Tables.organizations, *integrity.CHECKS[0][:1], "organizations", "organization_id", integrity.CHECKS[0][3])
     assert [r["row_key"] for r in blank.collect()] == ["2"]
     assert integrity.unique_violations(Tables.organizations, "C8", "organizations", ("lower(slug)",)).first()["row_key"] == "a"
-    gone = integrity.foreign_violations(Tables.programs, "programs", "program_id", [("C11", ("organization_id",), Tables.organizations, ("organization_id",))])
+    gone = integrity.foreign_violations(Tables, "C11", (("C11", "programs", "program_id", ("organization_id",), "organizations", ("organization_id",), "cascade"),))
     assert [r["row_key"] for r in gone.collect()] == ["2"]
-    assert integrity.legacy_guard({"programs": Tables.programs, "none": Tables.programs.limit(0)}) == {"programs": True, "none": False}
+    assert dict(integrity.guarded({"programs": Tables.programs, "none": Tables.programs.limit(0)}).collect()) == {"programs": True, "none": False}
 
 
 @pytest.mark.parametrize("rule", sorted({x[0] for x in (*integrity.CHECKS, *integrity.UNIQUE, *integrity.FOREIGN)}))

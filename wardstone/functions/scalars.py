@@ -46,11 +46,17 @@ def pkce_challenge(verifier) -> Column:
 
 
 def handle_hash(secret: bytes, handle) -> Column:
-    return hmac_sha256_hex(secret, F.trim(_c(handle)))
+    return hmac_sha256_hex(secret, unicode_trim(handle))
 
 
 def csrf_token(secret: bytes, rotation, origin, prefix: str = "csrf-v1:") -> Column:
-    return hmac_sha256_hex(secret, F.concat(F.lit(prefix), _c(rotation), F.lit(":"), _c(origin)))
+    """Both parts are trimmed, and the origin's last slashes go."""
+    return hmac_sha256_hex(secret, F.concat(F.lit(prefix), unicode_trim(rotation), F.lit(":"), F.rtrim(unicode_trim(origin), F.lit("/"))))
+
+
+def same_secret(a, b) -> Column:
+    """Whether two secrets are equal, by their digests: how long it takes tells nothing of where they differ."""
+    return sha256_hex(a) == sha256_hex(b)
 
 
 # --- names and ids ----------------------------------------------------------------------------------------------------

@@ -241,11 +241,11 @@ def programs_by_membership(workspaces: DataFrame, memberships: DataFrame) -> Dat
 
 
 def programs_by_grant(workspaces: DataFrame, grants: DataFrame) -> DataFrame:
-    """(program_id, principal_id): a grant for the program or for one of its workspaces; revoked and expired ones count."""
-    own = grants.where("program_id is not null").select("program_id", "principal_id").distinct()
-    by_workspace = grants.where("workspace_id is not null").select("workspace_id", "principal_id").distinct()
-    inner = workspaces.select("workspace_id", "program_id").join(by_workspace, "workspace_id").select("program_id", "principal_id")
-    return own.unionByName(inner).distinct()
+    """(program_id, principal_id): a grant for the program or for one of its workspaces; revoked and expired ones count. Grants are read once."""
+    scopes = grants.select("principal_id", "program_id", "workspace_id").distinct()
+    own = workspaces.select(F.col("workspace_id").alias("__w"), F.col("program_id").alias("__p"))
+    both = scopes.join(own, F.col("workspace_id") == F.col("__w"), "left").select("principal_id", F.explode(F.array_compact(F.array("program_id", "__p"))).alias("program_id"))
+    return both.select("program_id", "principal_id").distinct()
 
 
 def visible_pairs(workspaces: DataFrame, memberships: DataFrame, grants: DataFrame) -> DataFrame:
@@ -279,6 +279,34 @@ class TenantContext:
             raise PermissionError("the tenant context is not the authorised workspace")
 
 
+#: The session's variable that holds the workspace of the current context, '' for none.
+VARIABLE = "app_workspace_id"
+
+
+def set_context(spark: SparkSession, workspace_id) -> None:
+    """Set the session's context; plans made from now on read it, those made before keep theirs."""
+    spark.sql(f"declare or replace variable {VARIABLE} string default ''")
+    spark.sql(f"set variable {VARIABLE} = :id", args={"id": "" if workspace_id is None else str(workspace_id)})
+
+
+def clear_context(spark: SparkSession) -> None:
+    """No context: strict tables give no rows."""
+    set_context(spark, None)
+
+
+def current_context() -> Column:
+    """The session's context as text, null where it is cleared; it must have been set or cleared once."""
+    return F.nullif(F.expr(f"system.session.{VARIABLE}"), F.lit(""))
+
+
+def session_policy(table: str) -> Column:
+    """``policy`` by the session's context."""
+    if table not in STRICT + SHARED:
+        return F.lit(True)
+    own = F.col("workspace_id").cast("string") == current_context()
+    return own if table in STRICT else F.col("workspace_id").isNull() | F.coalesce(own, F.lit(False))
+
+
 def context_error(context: str, authorised: str) -> Column:
     """Why a request's context is refused, as ``TenantContext.verify`` does for one: unset, or another workspace; null if it fits."""
     return F.when(F.col(context).isNull(), "unset").when(~F.col(context).eqNullSafe(F.col(authorised)), "mismatch")

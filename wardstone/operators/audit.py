@@ -1,7 +1,6 @@
 """Tamper-evident audit chains: canonical JSON, hashing, append and verification.
 
-Verification compares with recorded hashes only, so it is one window per workspace and runs in parallel over events'
-canonical texts. Appending is sequential within a workspace by nature: each task streams its workspaces' events in order
+Verification compares with recorded hashes only, so it runs over ranges of each workspace's sequence, in parallel. Appending is sequential within a workspace by nature: each task streams its workspaces' events in order
 and holds one hash at a time.
 """
 
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .ranges import numbered
+
 # --- canonical JSON ---------------------------------------------------------------------------------------------------
 
 _ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
@@ -60,6 +61,24 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+#: Texts that the built-in functions may write otherwise: numbers with a fraction, an exponent or many digits, escapes and
+#: control characters, and characters whose UTF-16 order is not that of UTF-8.
+_OWN_WAY = r"[0-9][.eE]|[0-9]{18}|[\\\x00-\x1F]|[^\x00-\x{D7FF}]"
+
+
+def canonicalised(df: DataFrame, column: str, to: str | None = None) -> DataFrame:
+    """``df`` with ``column`` (or ``to``) as ``canonical_json`` has it.
+
+    JSON texts are read and written as variants, whose keys are sorted; only texts that these may write otherwise, or
+    can't read, go through Python.
+    """
+    to = to or column
+    variant, text = F.try_parse_json(F.col(column)), F.col(column)
+    native = df.withColumn("__ws_json", F.when(text.isNotNull() & ~text.rlike(_OWN_WAY), F.to_json(variant)))
+    done, rest = F.col("__ws_json").isNotNull() | text.isNull(), F.col("__ws_json").isNull() & text.isNotNull()
+    return native.where(done).withColumn(to, F.col("__ws_json")).drop("__ws_json").unionByName(native.where(rest).withColumn(to, canonical_json(column)).drop("__ws_json"))
+
+
 # --- the hashed envelope ----------------------------------------------------------------------------------------------
 
 
@@ -162,11 +181,11 @@ def head_mismatches(heads: DataFrame, chain: DataFrame) -> DataFrame:
 def event_errors(chain: DataFrame, tie: str = "audit_event_id", partitioned: bool = True, expected_workspace=None) -> DataFrame:
     """Each event with its index in its chain and its first error (kind, expected, actual), or nulls.
 
-    With ``partitioned`` false the rows are one list that must belong to ``expected_workspace``.
+    With ``partitioned`` false the rows are one list that must belong to ``expected_workspace``. Chains are verified by
+    ranges of their sequence, whose last hash meets the next one's first event, so neither a workspace nor the list is one
+    task's.
     """
-    keys = ["workspace_id"] if partitioned else []
-    w = Window.partitionBy(*keys).orderBy("sequence", tie)
-    rows = chain.withColumn("index", (F.row_number().over(w) - 1).cast("long")).withColumn("__prior", F.lag("event_hash").over(w))
+    rows = numbered(chain, ["workspace_id"] if partitioned else [], ["sequence", tie], "index", {"event_hash": "__prior"})
     due, own = F.col("index") + 1, event_hash(F.col("__prior"), F.col("body"))
     other = ~F.col("workspace_id").eqNullSafe(F.lit(expected_workspace)) if not partitioned else F.lit(False)
     linked = F.col("previous_event_hash").eqNullSafe(F.col("__prior"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import unicode_trim
 from ..sources.model import union_all
+from ..sources.shared import stored
 
 #: (rule, table, key, condition that a violating row meets). A null operand passes, as in a CHECK. Conditions, values and
 #: bounds are fixed values of the model.
@@ -55,28 +56,33 @@ UNIQUE = (
     ("C9_partial_unique", "capability_grants", ("workspace_id", "principal_id", "capability_code"), "revoked_at is null"),
     ("C9_partial_unique", "capability_grants", ("program_id", "principal_id", "capability_code"), "revoked_at is null"),
 )
-#: (rule, child table, child key, child columns, parent table, parent columns). A null part passes.
+#: (rule, child table, child key, child columns, parent table, parent columns, what deleting the parent does). A null part
+#: passes. All that follows a reference from a row to another one goes by this table.
 FOREIGN = (
-    ("C11_foreign", "programs", "program_id", ("organization_id",), "organizations", ("organization_id",)),
-    ("C11_foreign", "workspaces", "workspace_id", ("organization_id",), "organizations", ("organization_id",)),
-    ("C11_foreign", "workspaces", "workspace_id", ("program_id", "organization_id"), "programs", ("program_id", "organization_id")),
-    ("C11_foreign", "memberships", "membership_id", ("workspace_id",), "workspaces", ("workspace_id",)),
-    ("C11_foreign", "memberships", "membership_id", ("principal_id",), "principals", ("principal_id",)),
-    ("C11_foreign", "capability_grants", "capability_grant_id", ("workspace_id",), "workspaces", ("workspace_id",)),
-    ("C11_foreign", "capability_grants", "capability_grant_id", ("program_id",), "programs", ("program_id",)),
-    ("C11_foreign", "capability_grants", "capability_grant_id", ("principal_id",), "principals", ("principal_id",)),
-    ("C11_foreign", "capability_grants", "capability_grant_id", ("granted_by_principal_id",), "principals", ("principal_id",)),
-    ("C11_foreign", "capability_grants", "capability_grant_id", ("revoked_by_principal_id",), "principals", ("principal_id",)),
-    ("C11_foreign", "oidc_identities", "principal_id", ("principal_id",), "principals", ("principal_id",)),
-    ("C11_foreign", "sessions", "session_id", ("principal_id",), "principals", ("principal_id",)),
-    ("C11_foreign", "session_rotations", "session_id", ("session_id",), "sessions", ("session_id",)),
-    ("C11_foreign", "chain_heads", "workspace_id", ("workspace_id",), "workspaces", ("workspace_id",)),
-    ("C11_foreign", "audit_events", "event_id", ("workspace_id",), "workspaces", ("workspace_id",)),
-    ("C11_foreign", "idempotency_records", "record_id", ("workspace_id",), "workspaces", ("workspace_id",)),
-    ("C11_foreign", "idempotency_records", "record_id", ("principal_id",), "principals", ("principal_id",)),
+    ("C11_foreign", "programs", "program_id", ("organization_id",), "organizations", ("organization_id",), "cascade"),
+    ("C11_foreign", "workspaces", "workspace_id", ("organization_id",), "organizations", ("organization_id",), "cascade"),
+    ("C11_foreign", "workspaces", "workspace_id", ("program_id", "organization_id"), "programs", ("program_id", "organization_id"), "cascade"),
+    ("C11_foreign", "memberships", "membership_id", ("workspace_id",), "workspaces", ("workspace_id",), "cascade"),
+    ("C11_foreign", "memberships", "membership_id", ("principal_id",), "principals", ("principal_id",), "cascade"),
+    ("C11_foreign", "capability_grants", "capability_grant_id", ("workspace_id",), "workspaces", ("workspace_id",), "cascade"),
+    ("C11_foreign", "capability_grants", "capability_grant_id", ("program_id",), "programs", ("program_id",), "cascade"),
+    ("C11_foreign", "capability_grants", "capability_grant_id", ("principal_id",), "principals", ("principal_id",), "cascade"),
+    ("C11_foreign", "capability_grants", "capability_grant_id", ("granted_by_principal_id",), "principals", ("principal_id",), "set_null"),
+    ("C11_foreign", "capability_grants", "capability_grant_id", ("revoked_by_principal_id",), "principals", ("principal_id",), "set_null"),
+    ("C11_foreign", "oidc_identities", "principal_id", ("principal_id",), "principals", ("principal_id",), "cascade"),
+    ("C11_foreign", "sessions", "session_id", ("principal_id",), "principals", ("principal_id",), "cascade"),
+    ("C11_foreign", "session_rotations", "session_id", ("session_id",), "sessions", ("session_id",), "cascade"),
+    ("C11_foreign", "chain_heads", "workspace_id", ("workspace_id",), "workspaces", ("workspace_id",), "restrict"),
+    ("C11_foreign", "audit_events", "event_id", ("workspace_id",), "workspaces", ("workspace_id",), "restrict"),
+    ("C11_foreign", "idempotency_records", "record_id", ("workspace_id",), "workspaces", ("workspace_id",), "cascade"),
+    ("C11_foreign", "idempotency_records", "record_id", ("principal_id",), "principals", ("principal_id",), "cascade"),
 )
 
 
+#: Columns that tell a table's rows apart, where its key does not.
+ROW = {"session_rotations": ("session_id", "rotation_number")}
+
+
 def _rows(df: DataFrame, rule: str, table: str, key: Column) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), key.cast("string").alias("row_key"))
 
@@ -106,18 +112,38 @@ def all_unique_violations(df: DataFrame, table: str, rules: list[tuple[str, tupl
     return again.select("rule", F.lit(table).alias("table_name"), text.alias("row_key"))
 
 
-def foreign_violations(child: DataFrame, table: str, key: str, rules: list[tuple[str, tuple[str, ...], DataFrame, tuple[str, ...]]]) -> DataFrame:
-    """Rows of ``child`` whose own columns have no parent, for several (rule, own, parent, theirs) in one scan."""
-    found, broken = child, []
-    for i, (rule, own, parent, theirs) in enumerate(rules):
-        known = parent.select(*(F.col(c).alias(f"__p{i}_{j}") for j, c in enumerate(theirs))).distinct()
-        found = found.join(known, [F.col(c) == F.col(f"__p{i}_{j}") for j, c in enumerate(own)], "left")
-        lost = F.col(f"__p{i}_0").isNull()
-        for c in own:
-            lost = lost & F.col(c).isNotNull()
-        broken.append(F.when(lost, F.lit(rule)))
-    rows = found.select(F.col(key), F.explode(F.array_compact(F.array(*broken))).alias("__rule"))
-    return rows.select(F.col("__rule").alias("rule"), F.lit(table).alias("table_name"), F.col(key).cast("string").alias("row_key"))
+def references(child: DataFrame, key: str, edges: list[tuple[int, int, tuple[str, ...]]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row (edge, target, parts, row_key, ``keep``) for each reference of ``child`` to another row: for several (edge, target, columns) in one scan.
+
+    ``parts`` are the reference's values as text; a reference with a null part is none.
+    """
+    held = []
+    for edge, target, columns in edges:
+        parts = [F.col(c).cast("string") for c in columns]
+        whole = F.lit(True)
+        for part in parts:
+            whole = whole & part.isNotNull()
+        held.append(F.when(whole, F.struct(F.lit(edge).alias("edge"), F.lit(target).alias("target"), F.array(*parts).alias("parts"))))
+    rows = child.select(F.col(key).cast("string").alias("row_key"), *keep, F.explode(F.array_compact(F.array(*held))).alias("__ref"))
+    return rows.select("__ref.*", "row_key", *keep)
+
+
+def referred(parents: list[tuple[int, DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """(target, parts) of the rows that references may point to, once each."""
+    each = [df.select(F.lit(target).alias("target"), F.array(*(F.col(c).cast("string") for c in columns)).alias("parts")) for target, df, columns in parents]
+    return union_all(each).distinct()
+
+
+def foreign_violations(tables, rule: str, foreign: tuple = FOREIGN) -> DataFrame:
+    """Rows that refer to none: all tables' references, which are no nulls, meet all parents in one anti-join."""
+    edges = [f for f in foreign if f[0] == rule]
+    targets = list(dict.fromkeys((f[4], f[5]) for f in edges))
+    found = []
+    for table, key in dict.fromkeys((f[1], f[2]) for f in edges):
+        own = [(0, targets.index((f[4], f[5])), f[3]) for f in edges if f[1] == table]
+        found.append(references(getattr(tables, table), key, own).withColumn("table_name", F.lit(table)))
+    parents = referred([(i, getattr(tables, t), columns) for i, (t, columns) in enumerate(targets)])
+    return union_all(found).join(parents, ["target", "parts"], "left_anti").select(F.lit(rule).alias("rule"), "table_name", "row_key")
 
 
 def violations(tables, rule: str) -> DataFrame:
@@ -125,21 +151,42 @@ def violations(tables, rule: str) -> DataFrame:
     found = [check_violations(getattr(tables, t), r, t, k, b) for r, t, k, b in CHECKS if r == rule]
     for table in dict.fromkeys(t for r, t, *_ in UNIQUE if r == rule):
         found.append(all_unique_violations(getattr(tables, table), table, [(r, ks, w) for r, t, ks, w in UNIQUE if (r, t) == (rule, table)]))
-    for table, key in dict.fromkeys((c, k) for r, c, k, *_ in FOREIGN if r == rule):
-        rules = [(r, own, getattr(tables, p), theirs) for r, c, _, own, p, theirs in FOREIGN if (r, c) == (rule, table)]
-        found.append(foreign_violations(getattr(tables, table), table, key, rules))
+    if any(r == rule for r, *_ in FOREIGN):
+        found.append(foreign_violations(tables, rule))
     return union_all(found)
 
 
 # --- changes between two snapshots ------------------------------------------------------------------------------------
 
 
-def append_only_violations(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Rows of ``before`` that ``after`` has dropped or changed: (row_key, change)."""
+def bucket_digests(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """(bucket, digest) by a hash of the key: digests sum two hashes of each row, so they don't depend on the order of rows."""
+    columns = [F.col(c) for c in sorted(df.columns)]
+    sums = [F.sum(F.xxhash64(*columns, F.lit(seed)).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    return df.groupBy(_bucket(key, buckets).alias("bucket")).agg(F.struct(F.count("*").alias("rows"), *sums).alias("digest"))
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets))
+
+
+def changed_buckets(before: DataFrame, after: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The buckets in which two snapshots differ; ``buckets`` rows at most."""
+    old, new = (bucket_digests(df, key, buckets).withColumnRenamed("digest", name) for df, name in ((before, "old"), (after, "new")))
+    return old.join(new, "bucket", "full").where(~F.col("old").eqNullSafe(F.col("new"))).select("bucket")
+
+
+def append_only_violations(before: DataFrame, after: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+    """Rows of ``before`` that ``after`` has dropped or changed: (row_key, change).
+
+    Only rows of buckets whose digests differ are joined: a snapshot that has only grown a little is read, not shuffled.
+    """
     names = [c for c in before.columns if c != key]
-    new = after.select(F.col(key).alias("__k"), F.struct(*names).alias("__new"))
-    rows = before.select(F.col(key), F.struct(*names).alias("__old")).join(new, F.col(key).eqNullSafe(F.col("__k")), "left")
-    change = F.when(F.col("__new").isNull(), "deleted").when(F.col("__old") != F.col("__new"), "updated")
+    changed = F.broadcast(stored(changed_buckets(before, after.select(*before.columns), key, buckets), "buckets").withColumnRenamed("bucket", "__b"))
+    held = lambda df: df.join(changed, _bucket(key, buckets) == F.col("__b"), "left_semi")
+    new = held(after).select(F.col(key).alias("__k"), F.struct(*names).alias("__new"))
+    rows = held(before).select(F.col(key), F.struct(*names).alias("__old")).join(new, F.col(key).eqNullSafe(F.col("__k")), "left")
+    change = F.when(F.col("__new").isNull(), "deleted").when(~F.col("__old").eqNullSafe(F.col("__new")), "updated")
     return rows.select(F.col(key).cast("string").alias("row_key"), change.alias("change")).where("change is not null")
 
 
@@ -151,57 +198,98 @@ def head_violations(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.select(F.col("workspace_id").cast("string").alias("row_key"), change.alias("change")).where("change is not null")
 
 
-def _actions(rows: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
-    return union_all([
-        df.select(F.lit(t).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.lit(action).alias("action")) for df, t, key, action in rows
-    ])
-
-
-def delete_closure(tables, program_id) -> DataFrame:
-    """What deleting a program takes with it (cascade), or what forbids it (restrict): (table_name, row_key, action)."""
-    programs, workspaces, grants = (getattr(tables, t).where(F.col("program_id") == F.lit(program_id)) for t in ("programs", "workspaces", "capability_grants"))
-    ids = workspaces.select("workspace_id")
-    held = lambda t: getattr(tables, t).join(ids, "workspace_id", "left_semi")
-    return _actions([
-        (programs, "programs", "program_id", "cascade"), (workspaces, "workspaces", "workspace_id", "cascade"), (held("memberships"), "memberships", "membership_id", "cascade"),
-        (held("capability_grants"), "capability_grants", "capability_grant_id", "cascade"), (grants, "capability_grants", "capability_grant_id", "cascade"),
-        (held("idempotency_records"), "idempotency_records", "record_id", "cascade"), (held("audit_events"), "audit_events", "event_id", "restrict"),
-        (held("chain_heads"), "chain_heads", "workspace_id", "restrict"),
-    ])
-
-
-def principal_delete_closure(tables, principal_id) -> DataFrame:
-    """What deleting a principal takes with it, and which rows only lose their mention of it (set_null)."""
-    own = lambda t, column="principal_id": getattr(tables, t).where(F.col(column) == F.lit(principal_id))
-    others = F.coalesce(F.col("principal_id") != F.lit(principal_id), F.lit(True))  # the rest goes with the cascade
-    rotations = tables.session_rotations.join(own("sessions").select("session_id"), "session_id", "left_semi")
-    grants = tables.capability_grants.where(others & ((F.col("granted_by_principal_id") == F.lit(principal_id)) | (F.col("revoked_by_principal_id") == F.lit(principal_id))))
-    return _actions([
-        (own("principals"), "principals", "principal_id", "cascade"), (own("memberships"), "memberships", "membership_id", "cascade"),
-        (own("capability_grants"), "capability_grants", "capability_grant_id", "cascade"), (own("oidc_identities"), "oidc_identities", "principal_id", "cascade"),
-        (own("sessions"), "sessions", "session_id", "cascade"), (rotations, "session_rotations", "session_id", "cascade"),
-        (own("idempotency_records"), "idempotency_records", "record_id", "cascade"), (grants, "capability_grants", "capability_grant_id", "set_null"),
-    ])
+def delete_closure(tables, table: str, chosen: str | Column, foreign: tuple = FOREIGN) -> DataFrame:
+    """What deleting the rows of ``table`` that ``chosen`` holds for does: (table_name, row_key, action).
+
+    ``cascade``: the rows that go, those first chosen too; ``restrict``: rows that forbid it; ``set_null``: rows that stay
+    and lose their reference. All of it follows ``foreign``. A table whose parents' fate is known is read once, for all of
+    its references. Tables that refer to each other, or to themselves, are followed in rounds until a round finds nothing,
+    each row being visited once.
+    """
+    cascades = [f for f in foreign if f[6] == "cascade"]
+    keys = {f[1]: f[2] for f in foreign}
+    reached = {table}
+    while new := {f[1] for f in cascades if f[4] in reached} - reached:
+        reached |= new
+    targets = list(dict.fromkeys((f[4], f[5]) for f in foreign))
+    wanted = {t: tuple(dict.fromkeys([*(c for p, columns in targets if p == t for c in columns), *ROW.get(t, ())])) for t in reached | {f[1] for f in foreign}}
+
+    def hits(child: str, doomed: dict[str, DataFrame], action: str) -> DataFrame | None:
+        """Rows of ``child`` that refer to doomed ones: row_key and the columns that others refer to, each row once."""
+        edges = [f for f in foreign if f[1] == child and f[4] in doomed and f[6] == action]
+        if not edges:
+            return None
+        own = [(0, targets.index((f[4], f[5])), f[3]) for f in edges]
+        gone = referred([(targets.index(t), doomed[t[0]], t[1]) for t in dict.fromkeys((f[4], f[5]) for f in edges)])
+        found = references(getattr(tables, child), keys[child], own, wanted[child]).join(gone, ["target", "parts"], "left_semi")
+        return found.select("row_key", *wanted[child]).distinct()
+
+    def first() -> DataFrame:
+        key = keys.get(table) or next(f[5][0] for f in foreign if f[4] == table)
+        return getattr(tables, table).where(chosen).select(F.col(key).cast("string").alias("row_key"), *wanted[table])
+
+    doomed: dict[str, DataFrame] = {}
+    pending = sorted(reached)
+    while pending:
+        ready = [t for t in pending if not {f[4] for f in cascades if f[1] == t} & set(pending)]
+        for t in ready:
+            parts = [x for x in (first() if t == table else None, hits(t, doomed, "cascade")) if x is not None]
+            doomed[t] = union_all(parts).distinct() if len(parts) > 1 else parts[0]
+        if not ready:  # what is left refers to itself
+            doomed |= _rounds({t: [x for x in (first() if t == table else None, hits(t, doomed, "cascade")) if x is not None] for t in pending}, lambda t, new: hits(t, new, "cascade"))
+            ready = pending
+        pending = [t for t in pending if t not in ready]
+    out = [(t, df, "cascade") for t, df in doomed.items()]
+    for child in dict.fromkeys(f[1] for f in foreign):
+        for action in ("restrict", "set_null"):
+            rows = hits(child, doomed, action)
+            if rows is not None:
+                gone = doomed.get(child) if action == "set_null" else None  # the rest goes with the cascade
+                out.append((child, rows if gone is None else rows.join(gone.select("row_key", *wanted[child]), ["row_key", *wanted[child]], "left_anti"), action))
+    return union_all([df.select(F.lit(t).alias("table_name"), "row_key", F.lit(action).alias("action")) for t, df, action in out])
+
+
+def _rounds(start: dict[str, list[DataFrame]], hits) -> dict[str, DataFrame]:
+    """The fixpoint of tables that refer to each other: each round's new rows are written, and followed in the next one."""
+    seen = {t: stored(union_all(parts).distinct(), "closure") for t, parts in start.items() if parts}
+    new = dict(seen)
+    while new:
+        found = {}
+        for t in start:
+            rows = hits(t, new)
+            if rows is not None:
+                if t in seen:
+                    same = F.lit(True)
+                    for c in seen[t].columns:
+                        same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}"))
+                    rows = rows.alias("n").join(seen[t].alias("s"), same, "left_anti")
+                rows = stored(rows, "closure")
+                if not rows.isEmpty():
+                    found[t] = rows
+        seen |= {t: seen[t].union(rows) if t in seen else rows for t, rows in found.items()}
+        new = found
+    return seen
 
 
 # --- rules for single rows --------------------------------------------------------------------------------------------
 
 
 def rotation_error(old, new, reason) -> list[Column]:
-    """error of a rotation's hashes (null if none), and its reason with a blank one made 'periodic'."""
+    """error of a rotation's hashes (null if none), and its trimmed reason, a blank one made 'periodic'."""
     old, new, reason = (F.col(x) if isinstance(x, str) else x for x in (old, new, reason))
     error = F.when(F.coalesce(F.octet_length(old), F.lit(0)) == 0, "empty_old").when(F.coalesce(F.octet_length(new), F.lit(0)) == 0, "empty_new").when(old == new, "identical")
-    return [error.alias("error"), F.when(F.trim(F.coalesce(reason, F.lit(""))) == "", "periodic").otherwise(reason).alias("reason")]
+    reason = unicode_trim(reason)
+    return [error.alias("error"), F.when(F.coalesce(reason, F.lit("")) == "", "periodic").otherwise(reason).alias("reason")]
 
 
 def return_path(x) -> Column:
-    x = F.col(x) if isinstance(x, str) else x
-    return F.when(F.trim(F.coalesce(x, F.lit(""))) == "", "/").otherwise(x)
+    """The trimmed path, "/" for a blank one."""
+    return F.coalesce(F.nullif(unicode_trim(x), F.lit("")), F.lit("/"))
 
 
 def blank_to_null(x) -> Column:
-    x = F.col(x) if isinstance(x, str) else x
-    return F.when(F.trim(x) != "", x)
+    """The trimmed text, null for a blank one."""
+    return F.nullif(unicode_trim(x), F.lit(""))
 
 
 def session_error(t: Column) -> Column:
@@ -232,11 +320,6 @@ def grant_error(t: Column, expires="expires_at") -> Column:
     return F.when(F.col(expires).isNotNull() & (F.col(expires) <= t), "expiry_not_in_future")
 
 
-def legacy_guard(frames: dict[str, DataFrame]) -> dict[str, bool]:
-    """Which tables hold rows, so that a migration must not run; one row of each is read."""
-    return {name: not df.isEmpty() for name, df in frames.items()}
-
-
 def guarded(frames: dict[str, DataFrame]) -> DataFrame:
-    """``legacy_guard`` as a table: (table_name, holds_rows), from one row of each at most."""
+    """(table_name, holds_rows): which tables hold rows, so that a migration must not run; one row of each is read at most."""
     return union_all([df.limit(1).agg((F.count("*") > 0).alias("holds_rows")).select(F.lit(name).alias("table_name"), "holds_rows") for name, df in frames.items()])

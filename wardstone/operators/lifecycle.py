@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import slug_error, unicode_trim
 from ..functions.temporal import session_active
+from ..sources.shared import stored
 
 # --- idempotency ------------------------------------------------------------------------------------------------------
 
@@ -73,30 +72,44 @@ def replayed_log(log: DataFrame) -> DataFrame:
 
 
 def replayed_log_ttl(log: DataFrame, ttl_seconds: int) -> DataFrame:
-    """A request log of requests that never finish: a key is in progress for a time, then acquired anew.
+    """A request log of requests that never finish: a key is in progress for a time, then acquired anew. Gives request_id and outcome.
 
-    Tasks stream their keys' requests in order and hold one record at a time. Gives request_id and outcome.
+    A key is held by its first request's hash, and only requests of that hash renew it. Each such instant points to the
+    first one more than the time to live later; those that can be reached from the first are acquired. Pointers double, so a
+    key's renewals take rounds in the logarithm of how many fit in its span. Each look ahead stays within a key's stretch of
+    the time to live, and instants are pre-aggregated, so a hot key's work splits by time.
     """
-    slim = log.select(
-        key_of().alias("key"), F.unix_micros(F.col("requested_at").cast("timestamp")).alias("at"),
-        "request_id", "request_hash",
-    )
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, until = None, None, 0
-        for frame in frames:
-            out = []
-            for k, at, request, asked in frame.itertuples(index=False):
-                if k != key:
-                    key, held = k, None
-                if held is None or held == asked and until < at:
-                    held, until = asked, at + ttl_seconds * 1_000_000
-                    out.append((request, "Acquired"))
-                else:
-                    out.append((request, "InProgress" if held == asked else "Mismatch"))
-            yield pd.DataFrame(out, columns=["request_id", "outcome"])
-
-    return slim.repartition("key").sortWithinPartitions("key", "at", "request_id").mapInPandas(run, "request_id long, outcome string")
+    micros = F.unix_micros(F.col("requested_at").cast("timestamp"))
+    slim = stored(log.select(key_of().alias("key"), micros.alias("at"), "request_id", "request_hash"), "requests")
+    held = slim.groupBy("key").agg(F.min(F.struct("at", "request_id", "request_hash")).alias("f")).select("key", F.col("f.at").alias("at0"), F.col("f.request_id").alias("id0"), F.col("f.request_hash").alias("held"))
+    held = stored(held, "held")
+    rows = stored(slim.join(held, "key").withColumn("matches", F.col("request_hash") == F.col("held")), "requests")
+    ttl = ttl_seconds * 1_000_000
+    # instants at which the key's own hash asks: the least request of an instant may renew
+    each = rows.where("matches").groupBy("key", "at").agg(F.min("at0").alias("at0"))
+    each = stored(each.withColumn("stretch", F.expr(f"(at - at0) div {ttl}")), "instants")
+    span = each.agg(F.coalesce(F.max("stretch"), F.lit(0))).first()[0]
+    # the next instant over at + ttl lies in the next stretch, or is the first of the next one that has any
+    ahead = each.select("key", (F.col("stretch") + 1).alias("stretch"), (F.col("at") + ttl).alias("x"), F.col("at").alias("of"))
+    points = each.select("key", "stretch", F.col("at").alias("x"), F.lit(None).cast("long").alias("of"))
+    later = Window.partitionBy("key", "stretch").orderBy(F.desc("x"), F.col("of").isNull())  # an instant at x itself comes too late for x
+    seen = ahead.unionByName(points).withColumn("next", F.last(F.when(F.col("of").isNull(), F.col("x")), ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, -1)))
+    near = seen.where("of is not null").select("key", F.col("of").alias("at"), "next")
+    firsts = each.groupBy("key", "stretch").agg(F.min("at").alias("first"))
+    after = Window.partitionBy("key").orderBy("stretch")  # a row a stretch
+    firsts = firsts.withColumns({"s1": F.lead("stretch").over(after), "f1": F.lead("first").over(after), "f2": F.lead("first", 2).over(after)})
+    far = F.when(F.col("s1") == F.col("stretch") + 1, F.col("f2")).otherwise(F.col("f1"))  # the first beyond the next stretch
+    jumps = each.join(firsts.select("key", "stretch", far.alias("far")), ["key", "stretch"]).join(near, ["key", "at"], "left")
+    jumps = stored(jumps.select("key", "at", F.coalesce("next", "far").alias("next")), "jumps")
+    got = stored(held.select("key", F.col("at0").alias("at")), "acquired")
+    for _ in range(int(span).bit_length()):
+        got = stored(got.union(got.join(jumps, ["key", "at"]).where("next is not null").select("key", "next")).distinct(), "acquired")
+        beyond = jumps.select(F.col("key"), F.col("at").alias("next"), F.col("next").alias("beyond"))
+        jumps = stored(jumps.where("next is not null").join(beyond, ["key", "next"], "left").select("key", "at", F.col("beyond").alias("next")), "jumps")
+    least = rows.where("matches").groupBy("key", "at").agg(F.min("request_id").alias("request_id"))
+    acquired = least.join(got, ["key", "at"], "left_semi").select(F.col("request_id").alias("__id"), F.lit(True).alias("__got"))
+    out = rows.join(acquired, F.col("request_id") == F.col("__id"), "left")
+    return out.select("request_id", F.when(F.col("__got"), "Acquired").when(F.col("matches"), "InProgress").otherwise("Mismatch").alias("outcome"))
 
 
 # --- sessions ---------------------------------------------------------------------------------------------------------
@@ -126,26 +139,43 @@ def evicted_sessions(sessions: DataFrame, t: Column, most: int = SessionRules.mo
 
 
 def opened(sessions: DataFrame, new: DataFrame, t: Column, most: int = SessionRules.most) -> DataFrame:
-    """The next snapshot: the oldest sessions of the principals of ``new`` revoked down to the limit, ``new`` added."""
-    going = evicted_sessions(sessions, t, most).join(new.select("principal_id").distinct(), "principal_id", "left_semi").select(F.col("session_id").alias("__gone"))
-    rows = sessions.join(going, F.col("session_id") == F.col("__gone"), "left")
-    rows = rows.withColumn("revoked_at", F.when(F.col("__gone").isNotNull(), t).otherwise(F.col("revoked_at"))).drop("__gone")
-    return rows.unionByName(new)
-
-
-def rotated(sessions: DataFrame, changes: DataFrame, t: Column, rules: SessionRules = SessionRules()) -> tuple[DataFrame, DataFrame]:
-    """(sessions, rotation rows) after ``changes`` (session_id, new_hash, reason). created_at never moves."""
-    new = changes.select(F.col("session_id").alias("__id"), F.col("new_hash").alias("__hash"), F.col("reason").alias("__reason"))
-    rows = sessions.join(new, F.col("session_id") == F.col("__id"), "left")
-    moved = F.col("__id").isNotNull()
-    rotations = rows.where(moved).select(
-        "session_id", (F.col("rotation_counter") + 1).alias("rotation_number"), F.col("handle_hash").alias("old_handle_hash"), F.col("__hash").alias("new_handle_hash"),
-        F.col("__reason").alias("reason"),
+    """The next snapshot after ``new`` were opened one after the other: by created_at, then session_id.
+
+    Each opening first revokes the principal's oldest active sessions down to one less than ``most``, so of old and new ones
+    together the newest ``most`` stay; one less if the last to open is not active at ``t`` itself.
+    """
+    rows = sessions.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+    alive = F.coalesce(session_active(t) & (F.col("__new") | (F.col("created_at") <= t)), F.lit(False))
+    rows = rows.withColumn("__alive", alive)
+    order = F.struct("__new", "created_at", "session_id")
+    last = rows.where("__new").groupBy("principal_id").agg(F.max_by("__alive", order).alias("__last")).withColumnRenamed("principal_id", "__p")
+    place = F.row_number().over(Window.partitionBy("principal_id").orderBy(F.desc("__new"), F.desc("created_at"), F.desc("session_id")))
+    ranked = rows.where("__alive").withColumn("__place", place).join(last, F.col("principal_id") == F.col("__p"))
+    gone = ranked.where(F.col("__place") > most - 1 + F.col("__last").cast("int")).select(F.col("session_id").alias("__gone"), F.col("__new").alias("__n"))
+    rows = rows.join(gone, (F.col("session_id") == F.col("__gone")) & (F.col("__new") == F.col("__n")), "left")
+    return rows.withColumn("revoked_at", F.when(F.col("__gone").isNotNull(), t).otherwise(F.col("revoked_at"))).select(*sessions.columns)
+
+
+def rotated(sessions: DataFrame, changes: DataFrame, t: Column, rules: SessionRules = SessionRules(), order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(sessions, rotation rows) after ``changes`` (session_id, new_hash, reason), several of a session in ``order``. created_at never moves.
+
+    Each change's old hash is the one before's new hash. Changes that ``order`` leaves equal go by new_hash, then reason.
+    """
+    ranked = Window.partitionBy("session_id").orderBy(*order, "new_hash", "reason")
+    steps = changes.withColumns({"__step": F.row_number().over(ranked), "__old": F.lag("new_hash").over(ranked)})
+    own = sessions.select(F.col("session_id").alias("__id"), F.col("rotation_counter").alias("__n"), F.col("handle_hash").alias("__first"))
+    steps = steps.join(own, F.col("session_id") == F.col("__id"))
+    rotations = steps.select(
+        "session_id", (F.col("__n") + F.col("__step")).cast(sessions.schema["rotation_counter"].dataType).alias("rotation_number"), F.coalesce("__old", "__first").alias("old_handle_hash"),
+        F.col("new_hash").alias("new_handle_hash"), "reason",
+    )
+    after = updated(
+        sessions.withColumn("__seen", F.lit(None).cast("boolean")), changes.select("session_id", *order, F.col("new_hash").alias("handle_hash"), F.lit(True).alias("__seen")),
+        "session_id", ["handle_hash", "__seen"], bump="rotation_counter", order=order,
     )
-    after = rows.withColumns({
-        "handle_hash": F.when(moved, F.col("__hash")).otherwise(F.col("handle_hash")), "rotation_counter": F.col("rotation_counter") + moved.cast("int"),
-        "last_seen_at": F.when(moved, t).otherwise(F.col("last_seen_at")),
-        "idle_expires_at": F.when(moved, t + F.expr(f"interval {rules.idle}")).otherwise(F.col("idle_expires_at")),
+    moved = F.coalesce("__seen", F.lit(False))
+    after = after.withColumns({
+        "last_seen_at": F.when(moved, t).otherwise(F.col("last_seen_at")), "idle_expires_at": F.when(moved, t + F.expr(f"interval {rules.idle}")).otherwise(F.col("idle_expires_at")),
     })
     return after.select(*sessions.columns), rotations
 
@@ -212,23 +242,41 @@ def resolved_identities(claims: DataFrame, identities: DataFrame) -> DataFrame:
 # --- mutations --------------------------------------------------------------------------------------------------------
 
 
-def inserted(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The next snapshot with ``new``; rows whose key exists are refused."""
-    return df.unionByName(new.join(df.select(key), key, "left_anti").select(*df.columns))
+def inserted(df: DataFrame, new: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """The next snapshot with ``new``; rows whose key exists are refused, and of new ones of one key all but the first in ``order``.
+
+    Rows that ``order`` leaves equal go by their values.
+    """
+    row = F.struct(*df.columns)
+    first = new.groupBy(F.col(key).alias("__k")).agg(F.min(F.struct(F.struct(*(order or [key])).alias("at"), row.alias("row"))).alias("first"))
+    return df.unionByName(first.join(df.select(key), F.col("__k") == F.col(key), "left_anti").select("first.row.*"))
+
+
+def folded(changes: DataFrame, key: str, columns: list[str], order: tuple[str, ...] = (), keep_null: bool = False) -> DataFrame:
+    """One row per key of a log of changes: (key, ``columns``, __n): each column's last value in ``order``, and how many changes.
+
+    With ``keep_null`` a null sets nothing, so the last value that is not null counts. Changes that ``order`` leaves equal
+    go by their values. Rows of a key are aggregated before they shuffle.
+    """
+    at = F.struct(*order, *columns)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)) if keep_null else F.max_by(c, at)
+    return changes.groupBy(key).agg(*(last(c).alias(c) for c in columns), F.count("*").alias("__n"))
 
 
-def updated(df: DataFrame, changes: DataFrame, key: str, columns: list[str], bump: str | None = None, keep_null: bool = False) -> DataFrame:
-    """The next snapshot with ``columns`` set from ``changes`` by key; ``bump`` counts a change up.
+def updated(df: DataFrame, changes: DataFrame, key: str, columns: list[str], bump: str | None = None, keep_null: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
+    """The next snapshot after a log of changes of ``columns`` by key, in ``order``; ``bump`` counts each change up.
 
-    With ``keep_null`` a null in ``changes`` leaves the old value. Keys that do not exist change nothing.
+    A key may have any number of changes: they are folded first, so no row is ever repeated. With ``keep_null`` a null in
+    ``changes`` leaves the old value. Keys that do not exist change nothing.
     """
-    new = changes.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in columns))
+    new = folded(changes, key, columns, order, keep_null)
+    new = new.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in columns), "__n")
     rows = df.join(new, F.col(key) == F.col("__k"), "left")
     hit = F.col("__k").isNotNull()
     value = lambda c: F.coalesce(F.col(f"__{c}"), F.col(c)) if keep_null else F.col(f"__{c}")
     rows = rows.withColumns({c: F.when(hit, value(c)).otherwise(F.col(c)) for c in columns})
     if bump:
-        rows = rows.withColumn(bump, F.col(bump) + hit.cast("int"))
+        rows = rows.withColumn(bump, F.col(bump) + F.coalesce("__n", F.lit(0)).cast(df.schema[bump].dataType))
     return rows.select(*df.columns)
 
 
@@ -258,19 +306,17 @@ def revoked_by_principal(sessions: DataFrame, principals: DataFrame, t: Column)
     return rows.withColumn("revoked_at", F.when(hit, t).otherwise(F.col("revoked_at"))).drop("__p"), affected
 
 
-def renamed(df: DataFrame, changes: DataFrame, key: str, code: str) -> DataFrame:
-    """The next snapshot with name and ``code`` set, trimmed, and row_version counted up, and an error for each change refused.
+def renamed(df: DataFrame, changes: DataFrame, key: str, code: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """The next snapshot with name and ``code`` set, trimmed, and row_version counted up by each change that is not refused.
 
-    ``changes``: the key, name and the code. A blank name or a code that is no slug refuses the change. Adds a column error.
+    ``changes``: the key, name and the code, several of a key in ``order``. A blank name or a code that is no slug refuses
+    the change, and the others go on. Adds a column error: that of the key's last refused change.
     """
     bad = F.when(unicode_trim("name") == "", "empty_name").otherwise(slug_error(code))
-    new = changes.select(F.col(key).alias("__k"), unicode_trim("name").alias("__name"), unicode_trim(code).alias("__code"), bad.alias("error"))
-    rows = df.join(new, F.col(key) == F.col("__k"), "left")
-    hit = F.col("__k").isNotNull() & F.col("error").isNull()
-    rows = rows.withColumns({
-        "name": F.when(hit, F.col("__name")).otherwise(F.col("name")), code: F.when(hit, F.col("__code")).otherwise(F.col(code)), "row_version": F.col("row_version") + hit.cast("int")
-    })
-    return rows.select(*df.columns, "error")
+    tried = changes.select(key, *order, unicode_trim("name").alias("name"), unicode_trim(code).alias(code), bad.alias("__error"))
+    refused = tried.where("__error is not null").groupBy(F.col(key).alias("__k")).agg(F.max_by("__error", F.struct(*order, "__error")).alias("error"))
+    rows = updated(df, tried.where("__error is null"), key, ["name", code], bump="row_version", order=order)
+    return rows.join(refused, F.col(key) == F.col("__k"), "left").select(*df.columns, "error")
 
 
 def consumed_transactions(transactions: DataFrame, attempts: DataFrame) -> DataFrame:

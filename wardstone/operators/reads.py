@@ -68,20 +68,24 @@ def ranked(df: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
 
 
-def text_filter(df: DataFrame, term: str, columns: list[str]) -> DataFrame:
-    """Rows where a column contains ``term`` whatever the case. A blank term keeps all; another is not trimmed."""
+def text_match(term: str, columns: list[str]) -> Column:
+    """Whether a column contains ``term`` whatever the case; a blank term matches all, another is not trimmed."""
     if not term.strip():
-        return df
+        return F.lit(True)
     held = F.lit(False)
     for c in columns:
         held = held | F.coalesce(F.lower(F.col(c).cast("string")).contains(term.lower()), F.lit(False))
-    return df.where(held)
+    return held
+
+
+def text_filter(df: DataFrame, term: str, columns: list[str]) -> DataFrame:
+    """The rows that match; of a page, those of the page: paging comes first, and its cursor stays what it is."""
+    return df.where(text_match(term, columns))
 
 
 def shown_of(df: DataFrame, term: str, columns: list[str]) -> DataFrame:
     """One row: how many rows a text filter shows, and of how many."""
-    shown = text_filter(df.withColumn("__shown", F.lit(1)), term, columns).agg(F.count("*").alias("shown"))
-    return shown.join(df.agg(F.count("*").alias("total")), F.lit(True))  # one row each
+    return df.agg(F.count(F.when(text_match(term, columns), 1)).alias("shown"), F.count("*").alias("total"))
 
 
 class CursorHistory:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as t
@@ -260,6 +260,22 @@ _CONTEXTS = "case membership_id % 3 when 0 then null when 1 then workspace_id el
 query("R6_contexts", f"select membership_id, c is not null as is_set from (select membership_id, {_CONTEXTS} as c from memberships) x")(
     lambda m: m.memberships.withColumn("context", F.expr(_CONTEXTS)).select("membership_id", F.coalesce(access.context_error("context", "context") != "unset", F.lit(True)).alias("is_set"))
 )
+def _in_turn(m, steps) -> DataFrame:
+    """Rows that the session's context shows after each step: (step, table_name, shown)."""
+    shown = []
+    for i, workspace in enumerate(steps):
+        access.set_context(m.spark, workspace)
+        for name, df in (("memberships", m.memberships), ("capability_grants", m.capability_grants), ("principals", m.principals)):
+            shown.append(df.where(access.session_policy(name)).agg(F.count("*").alias("shown")).select(F.lit(i).alias("step"), F.lit(name).alias("table_name"), "shown"))
+    access.clear_context(m.spark)
+    return union_all(shown)
+
+
+_STEPS = "\nunion all ".join(
+    f"select {i} as step, 'memberships' as table_name, count(*) as shown from memberships where workspace_id = {w} union all select {i}, 'capability_grants', count(*) from capability_grants where workspace_id is null or workspace_id = {w} "
+    f"union all select {i}, 'principals', count(*) from principals" for i, w in enumerate((3, "null", 5, "null"))
+)
+query("R6_context_set_and_cleared", _STEPS)(lambda m: _in_turn(m, (3, None, 5, None)))
 query("R7_verified_contexts", f"select membership_id, case when c is null then 'unset' when c <> workspace_id then 'mismatch' end as error from (select *, {_CONTEXTS} as c from memberships) x")(
     lambda m: m.memberships.withColumn("context", F.expr(_CONTEXTS)).select("membership_id", access.context_error("context", "workspace_id").alias("error"))
 )

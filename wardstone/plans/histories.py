@@ -24,9 +24,9 @@ def _hmac_sql(message: str, key: bytes = SECRET) -> str:
 
 
 def chain_events(m) -> DataFrame:
-    return m.audit_source.select(
+    return audit.canonicalised(m.audit_source, "metadata").select(
         "workspace_id", F.col("event_id").alias("audit_event_id"), "occurred_at", "action_code", F.lit("system").alias("actor_type"), F.lit("event").alias("entity_type"),
-        F.col("event_id").cast("string").alias("entity_id"), F.lit("{}").alias("authority_snapshot"), audit.canonical_json("metadata").alias("metadata"),
+        F.col("event_id").cast("string").alias("entity_id"), F.lit("{}").alias("authority_snapshot"), "metadata",
     )
 
 
@@ -58,7 +58,7 @@ def _recursive(key: str, sql: str, *more):
 
 
 query("H1_canonical_metadata", "select event_id, replace(metadata, ' ', '') as canonical from audit_source")(
-    lambda m: m.audit_source.select("event_id", audit.canonical_json("metadata").alias("canonical"))
+    lambda m: audit.canonicalised(m.audit_source, "metadata").select("event_id", F.col("metadata").alias("canonical"))
 )
 query("H2_envelopes", "select event_id, body from bodies", _CHAIN[0])(
     lambda m: (lambda e: e.select(F.col("audit_event_id").alias("event_id"), audit.envelope(e).alias("body")))(
@@ -92,14 +92,16 @@ def _verified(df: DataFrame) -> DataFrame:
     return audit.verified(df).select("workspace_id", "events", "intact", "kind", "index", "sequence")
 
 
-_recursive("H4_event_hash_matches", f"select workspace_id, sequence, i as index, kind from ({_ERRORS}) e", ("changed", "select * from chain where event_id % 50 <> 1"))(
-    lambda m: audit.event_errors(chain(m).where("audit_event_id % 50 != 1")).select("workspace_id", "sequence", "index", "kind")
+_recursive("H4_event_hash_matches", f"select workspace_id, sequence, i as index, kind from ({_ERRORS}) e", ("changed", "select * replace (case when event_id % 50 = 1 then sequence + 1000 else sequence end as sequence) from chain"))(
+    lambda m: audit.event_errors(chain(m).withColumn("sequence", F.when(F.col("audit_event_id") % 50 == 1, F.col("sequence") + 1000).otherwise(F.col("sequence")))).select("workspace_id", "sequence", "index", "kind")
 )
 _recursive("H5_chain_verify", _VERIFIED, ("changed", "select * from chain"))(lambda m: _verified(chain(m)))
 _recursive("H5_chain_verify_tampered", _VERIFIED, ("changed", "select * replace (case when event_id % 97 = 0 then replace(body, 'CLICK', 'CLICKED') else body end as body) from chain"))(
     lambda m: _verified(chain(m).withColumn("body", F.when(F.col("audit_event_id") % 97 == 0, F.replace("body", F.lit("CLICK"), F.lit("CLICKED"))).otherwise(F.col("body"))))
 )
-_recursive("H5_chain_verify_gap", _VERIFIED, ("changed", "select * from chain where sequence % 50 <> 0"))(lambda m: _verified(chain(m).where("sequence % 50 != 0")))
+_recursive("H5_chain_verify_gap", _VERIFIED, ("changed", "select * replace (case when sequence >= 50 then sequence + 1 else sequence end as sequence) from chain"))(
+    lambda m: _verified(chain(m).withColumn("sequence", F.when(F.col("sequence") >= 50, F.col("sequence") + 1).otherwise(F.col("sequence"))))
+)
 _recursive("H5_chain_verify_disorder", _VERIFIED, ("changed", "select * from chain union all select * from chain where sequence % 61 = 0"))(
     lambda m: (lambda c: _verified(c.unionByName(c.where("sequence % 61 = 0"))))(chain(m))
 )
@@ -229,9 +231,9 @@ query("L6_touched_sessions", f"select session_id, case when {_ALIVE} then {_SAT}
     lambda m: lifecycle.touched(m.sessions, instant(SESSION_AT)).select("session_id", "last_seen_at", "idle_expires_at")
 )
 query("L7_rotation_breaks", """select session_id, rotation_number, broken from (select *, case when n is null then case when rotation_number <> 1 then 'gap' end when rotation_number <> n + 1 then 'gap'
-  when old_handle_hash <> h then 'hash' end as broken from (select *, lag(rotation_number) over w as n, lag(new_handle_hash) over w as h from session_rotations
-  where (session_id + rotation_number) % 7 <> 0 window w as (partition by session_id order by rotation_number)) a) b where broken is not null""")(
-    lambda m: lifecycle.rotation_breaks(m.session_rotations.where("(session_id + rotation_number) % 7 != 0"))
+  when old_handle_hash <> h then 'hash' end as broken from (select *, lag(rotation_number) over w as n, lag(new_handle_hash) over w as h from (select * replace (case when (session_id + rotation_number) % 7 = 0 then rotation_number + 1000 else rotation_number end
+  as rotation_number) from session_rotations) r window w as (partition by session_id order by rotation_number)) a) b where broken is not null""")(
+    lambda m: lifecycle.rotation_breaks(m.session_rotations.withColumn("rotation_number", F.expr("case when (session_id + rotation_number) % 7 = 0 then rotation_number + 1000 else rotation_number end")))
 )
 
 query("P5_session_view", f"""select session_id as id, principal_id, case when revoked_at is not null then 'revoked' when {_SAT} >= idle_expires_at or {_SAT} >= absolute_expires_at then 'expired' else 'active' end as status,
@@ -264,7 +266,7 @@ query("C16_rotation_errors", """select session_id, rotation_number, case when ro
     lambda m: m.session_rotations.select("session_id", "rotation_number", *integrity.rotation_error(
         "old_handle_hash", F.when(F.col("rotation_number") % 5 == 0, F.col("old_handle_hash")).otherwise(F.col("new_handle_hash")), F.when(F.col("rotation_number") % 3 == 0, " ").otherwise(F.col("reason"))))
 )
-query("C17_blank_defaults", "select workspace_id, case when trim(raw) = '' then '/' else raw end as return_path, case when trim(raw) <> '' then raw end as email from names", _NAMES)(
+query("C17_blank_defaults", "select workspace_id, case when trim(raw) = '' then '/' else trim(raw) end as return_path, case when trim(raw) <> '' then trim(raw) end as email from names", _NAMES)(
     lambda m: names(m).select("workspace_id", integrity.return_path("raw").alias("return_path"), integrity.blank_to_null("raw").alias("email"))
 )
 

@@ -110,6 +110,20 @@ query("K12_workspaces_matching", "select workspace_id, name from workspaces wher
 )
 query("K13_shown_of_total", "select count(*) filter (where lower(name) like '%1%') as shown, count(*) as total from workspaces")(lambda m: reads.shown_of(m.workspaces, "1", ["name"]))
 
+_PROGRAM_PAGE = ("page", "select *, true as has_more, 14 as next_cursor from (select * from programs where program_id > 4 order by program_id limit 10) p")
+query("K11_page_matching", "select program_id, name, has_more, next_cursor from page where lower(name) like '%tion_1%'", _PROGRAM_PAGE)(
+    lambda m: reads.text_filter(reads.keyset_page(m.programs, "program_id", 10, 4), "TION_1", ["name", "program_code"]).select("program_id", "name", "has_more", "next_cursor")
+)
+_WORKSPACE_PAGE = ("page", """select *, (select count(*) from workspaces where workspace_id > 20) > 40 as has_more, case when (select count(*) from workspaces where workspace_id > 20) > 40 then max(workspace_id) over () end as next_cursor
+  from (select * from workspaces where workspace_id > 20 order by workspace_id limit 40) p""")
+_LIKE = "lower(name) like '%3%' or lower(workspace_code) like '%3%' or cast(workspace_id as varchar) like '%3%'"
+query("K12_page_matching", f"select workspace_id, name, has_more, next_cursor from page where {_LIKE}", _WORKSPACE_PAGE)(
+    lambda m: reads.text_filter(reads.keyset_page(m.workspaces, "workspace_id", 40, 20), "3", ["name", "workspace_code", "workspace_id"]).select("workspace_id", "name", "has_more", "next_cursor")
+)
+query("K13_shown_of_page", f"select count(*) filter ({_LIKE}) as shown, count(*) as total from page", _WORKSPACE_PAGE)(
+    lambda m: reads.shown_of(reads.keyset_page(m.workspaces, "workspace_id", 40, 20), "3", ["name", "workspace_code", "workspace_id"])
+)
+
 query("P1_program_view", "select program_id as id, organization_id, name, program_code as slug, cast(null as varchar) as description, created_at, created_at as updated_at from programs")(
     lambda m: reads.program_view(m.programs)
 )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import integrity
+from ..operators import catalog, integrity
 from ..sources.model import Model, ansi_text, portable
 from .reads import query
 
@@ -182,21 +182,114 @@ def _taken(table: str, key: str, where: str, action: str = "cascade") -> str:
     return f"select '{table}' as table_name, cast({key} as varchar) as row_key, '{action}' as action from bad_{table} where {where}"
 
 
-_OF_PROGRAM = "workspace_id in (select workspace_id from bad_workspaces where program_id = 3)"
+#: A workspace refers to its program by the program's and the organization's id: one of another organization is an orphan (C11), and stays.
+_IN_PROGRAM = "(program_id, organization_id) in (select program_id, organization_id from bad_programs where program_id = 3)"
+_OF_PROGRAM = f"workspace_id in (select workspace_id from bad_workspaces where {_IN_PROGRAM})"
 _PROGRAM = "\nunion all ".join([
-    _taken("programs", "program_id", "program_id = 3"), _taken("workspaces", "workspace_id", "program_id = 3"), _taken("memberships", "membership_id", _OF_PROGRAM),
+    _taken("programs", "program_id", "program_id = 3"), _taken("workspaces", "workspace_id", _IN_PROGRAM), _taken("memberships", "membership_id", _OF_PROGRAM),
     _taken("capability_grants", "capability_grant_id", _OF_PROGRAM), _taken("capability_grants", "capability_grant_id", "program_id = 3"), _taken("idempotency_records", "record_id", _OF_PROGRAM),
     _taken("audit_events", "event_id", _OF_PROGRAM, "restrict"), _taken("chain_heads", "workspace_id", _OF_PROGRAM, "restrict"),
 ])
-query("C13_delete_closure", _PROGRAM, *(t for t in _TABLES if t[0] in _PROGRAM))(lambda m: integrity.delete_closure(Spoiled(m.spark, m.sf_dir), 3))
+query("C13_delete_closure", _PROGRAM, *(t for t in _TABLES if t[0] in _PROGRAM))(lambda m: integrity.delete_closure(Spoiled(m.spark, m.sf_dir), "programs", "program_id = 3"))
 _PRINCIPAL = "\nunion all ".join([
     *(_taken(t, k, "principal_id = 4") for t, k in (("principals", "principal_id"), ("memberships", "membership_id"), ("capability_grants", "capability_grant_id"), ("oidc_identities", "principal_id"),
                                                     ("sessions", "session_id"), ("idempotency_records", "record_id"))),
     _taken("session_rotations", "session_id", "session_id in (select session_id from bad_sessions where principal_id = 4)"),
     _taken("capability_grants", "capability_grant_id", "principal_id <> 4 and (granted_by_principal_id = 4 or revoked_by_principal_id = 4)", "set_null"),
 ])
-query("C13_delete_principal", _PRINCIPAL, *(t for t in _TABLES if t[0] in _PRINCIPAL))(lambda m: integrity.principal_delete_closure(Spoiled(m.spark, m.sf_dir), 4))
+query("C13_delete_principal", _PRINCIPAL, *(t for t in _TABLES if t[0] in _PRINCIPAL))(lambda m: integrity.delete_closure(Spoiled(m.spark, m.sf_dir), "principals", "principal_id = 4"))
+_ORGANIZATION = "organization_id = 2"
+_PROGRAMS = f"select program_id from bad_programs where {_ORGANIZATION}"
+_WORKSPACES = f"select workspace_id from bad_workspaces where {_ORGANIZATION} or (program_id, organization_id) in (select program_id, organization_id from bad_programs where {_ORGANIZATION})"
+_OF_ORGANIZATION = "\nunion all ".join([
+    _taken("organizations", "organization_id", _ORGANIZATION), _taken("programs", "program_id", _ORGANIZATION), _taken("workspaces", "workspace_id", f"workspace_id in ({_WORKSPACES})"),
+    _taken("memberships", "membership_id", f"workspace_id in ({_WORKSPACES})"), _taken("capability_grants", "capability_grant_id", f"workspace_id in ({_WORKSPACES}) or program_id in ({_PROGRAMS})"),
+    _taken("idempotency_records", "record_id", f"workspace_id in ({_WORKSPACES})"), _taken("audit_events", "event_id", f"workspace_id in ({_WORKSPACES})", "restrict"),
+    _taken("chain_heads", "workspace_id", f"workspace_id in ({_WORKSPACES})", "restrict"),
+])
+query("C13_delete_organization", _OF_ORGANIZATION, *(t for t in _TABLES if t[0] in _OF_ORGANIZATION))(
+    lambda m: integrity.delete_closure(Spoiled(m.spark, m.sf_dir), "organizations", "organization_id = 2")
+)
 _GUARD = ("principals", "memberships", "capability_grants", "oidc_transactions", "audit_events", "idempotency_records")
 query("C18_legacy_guard", "\nunion all ".join(f"select '{t}' as table_name, count(*) > 0 as holds_rows from bad_{t} where {'1 = 0' if t == 'oidc_transactions' else '1 = 1'}" for t in _GUARD), *(t for t in _TABLES if t[0][4:] in _GUARD))(
     lambda m: (lambda tables: integrity.guarded({t: getattr(tables, t).where(F.lit(t != "oidc_transactions")) for t in _GUARD}))(Spoiled(m.spark, m.sf_dir))
 )
+
+# --- the catalog, and how the data keeps it ---------------------------------------------------------------------------
+
+#: Every foreign key by hand: child, its columns, parent, its columns, what deleting the parent does.
+_KEYS = """programs organization_id organizations organization_id cascade
+workspaces organization_id organizations organization_id cascade
+workspaces program_id,organization_id programs program_id,organization_id cascade
+memberships workspace_id workspaces workspace_id cascade
+memberships principal_id principals principal_id cascade
+capability_grants workspace_id workspaces workspace_id cascade
+capability_grants program_id programs program_id cascade
+capability_grants principal_id principals principal_id cascade
+capability_grants granted_by_principal_id principals principal_id set_null
+capability_grants revoked_by_principal_id principals principal_id set_null
+oidc_identities principal_id principals principal_id cascade
+sessions principal_id principals principal_id cascade
+session_rotations session_id sessions session_id cascade
+chain_heads workspace_id workspaces workspace_id restrict
+audit_events workspace_id workspaces workspace_id restrict
+idempotency_records workspace_id workspaces workspace_id cascade
+idempotency_records principal_id principals principal_id cascade"""
+
+
+def _key_sql(line: str) -> str:
+    child, own, parent, theirs, action = line.split()
+    pairs = list(zip(own.split(","), theirs.split(",")))
+    known, there = " and ".join(f"c.{a} is not null" for a, _ in pairs), " and ".join(f"p.{b} = c.{a}" for a, b in pairs)
+    return "\nunion all ".join(
+        f"select 'fk_{child}_{own.replace(',', '_')}' as constraint_name, '{child}' as table_name, '{a}' as column_name, {i + 1} as ordinal, '{parent}' as parent_table, '{b}' as parent_column, "
+        f"'{action}' as delete_rule, true as in_data, (select count(*) from bad_{child} c where {known}) as held, "
+        f"(select count(*) from bad_{child} c where {known} and not exists (select 1 from bad_{parent} p where {there})) as orphans" for i, (a, b) in enumerate(pairs)
+    )
+
+
+_FOREIGN_KEYS = "\nunion all ".join(map(_key_sql, _KEYS.split("\n")))
+query("J14_foreign_keys", _FOREIGN_KEYS, *(t for t in _TABLES if t[0] in _FOREIGN_KEYS))(lambda m: catalog.foreign_keys(Spoiled(m.spark, m.sf_dir), m.spark))
+_TENANT = ("workspaces", "memberships", "audit_events", "capability_grants", "idempotency_records", "principals", "sessions")
+_SECURED = "\nunion all ".join(
+    f"select '{t}' as table_name, {'true' if mode else 'false'} as row_security, {repr(t + '_by_workspace') if mode else 'null'} as policy_name, {repr(mode) if mode else 'null'} as mode, count(*) as held, "
+    f"{'count(*) filter (workspace_id is null)' if mode == 'strict' else '0'} as shown_to_none, {'count(*) filter (workspace_id is null)' if mode == 'shared' else '0'} as shown_to_all from bad_{t}"
+    for t, mode in zip(_TENANT, ("strict", "strict", "strict", "shared", "shared", None, None))
+)
+query("J14_policies", _SECURED, *(t for t in _TABLES if t[0][4:] in _TENANT))(
+    lambda m: (lambda tables: catalog.secured_relations({t: getattr(tables, t) for t in _TENANT}, m.spark))(Spoiled(m.spark, m.sf_dir))
+)
+
+
+def _repeated(table: str, columns: str, where: str = "true") -> str:
+    parts = columns.split(",")
+    known = " and ".join(f"{c} is not null" for c in parts)
+    return (f"select 'uq_{table}_{'_'.join(parts)}' as constraint_name, '{table}' as table_name, '{columns}' as columns, "
+            f"(select count(*) from (select 1 from bad_{table} where {known} and {where} group by {columns} having count(*) > 1) k) as repeated")
+
+
+_UNIQUE = "\nunion all ".join([
+    _repeated("organizations", "lower(slug)"), _repeated("programs", "organization_id,program_code"), _repeated("workspaces", "program_id,workspace_code"), _repeated("oidc_identities", "issuer,subject"),
+    _repeated("sessions", "handle_hash"), _repeated("session_rotations", "session_id,rotation_number"), _repeated("oidc_transactions", "state_hash"), _repeated("audit_events", "workspace_id,sequence"),
+    _repeated("audit_events", "workspace_id,event_hash"), _repeated("memberships", "workspace_id,principal_id", "status = 'active'"),
+    _repeated("capability_grants", "workspace_id,principal_id,capability_code", "revoked_at is null"), _repeated("capability_grants", "program_id,principal_id,capability_code", "revoked_at is null"),
+])
+query("M5_unique_keys", _UNIQUE, *(t for t in _TABLES if t[0] in _UNIQUE))(lambda m: catalog.unique_drift(Spoiled(m.spark, m.sf_dir), m.spark))
+_VERSIONS = "\nunion all ".join(f"select 'C3_version' as rule, '{t}' as table_name, count(*) as held, count(*) filter (not row_version > 0) as broken from bad_{t}" for t in ("programs", "workspaces", "memberships"))
+query("M5_version_checks", _VERSIONS, *(t for t in _TABLES if t[0] in _VERSIONS))(lambda m: catalog.check_drift(Spoiled(m.spark, m.sf_dir)).where("rule = 'C3_version'"))
+query("M5_triggers", """select 'append_only' as trigger_name, 'audit_events' as table_name, 'DELETE' as event, count(*) filter (event_id % 40 = 0) as refused from audit_source
+  union all select 'append_only', 'audit_events', 'UPDATE', count(*) filter (event_id % 40 = 1) from audit_source
+  union all select 'kept_heads', 'chain_heads', 'DELETE', count(distinct workspace_id) filter (workspace_id % 8 = 0) from audit_source
+  union all select 'rising_heads', 'chain_heads', 'UPDATE', count(distinct workspace_id) filter (workspace_id % 9 = 0 and workspace_id % 8 <> 0) from audit_source""")(
+    lambda m: (lambda e, h: catalog.trigger_refusals({
+        "audit_events": integrity.append_only_violations(e, e.where("event_id % 40 != 0").withColumn("action_code", F.when(F.col("event_id") % 40 == 1, "X").otherwise(F.col("action_code"))), "event_id"),
+        "chain_heads": integrity.head_violations(h, h.where("workspace_id % 8 != 0").withColumn("last_sequence", F.when(F.col("workspace_id") % 9 == 0, F.col("last_sequence") - 1).otherwise(F.col("last_sequence")))),
+    }, m.spark))(m.audit_source, m.audit_source.groupBy("workspace_id").agg(F.max("sequence").cast("long").alias("last_sequence")))
+)
+_ROLES = """select r.role, t.table_name, case when r.role = 'ops_readonly' then 'SELECT' when t.table_name = 'audit_events' then 'INSERT,SELECT'
+  when t.table_name = 'idempotency_records' then 'INSERT,SELECT,UPDATE' else 'DELETE,INSERT,SELECT,UPDATE' end as privileges, t.held
+  from (select unnest(['app', 'worker', 'ops_readonly', 'audit_append']) as role) r cross join (""" + "\nunion all ".join(f"select '{t}' as table_name, count(*) as held from bad_{t}" for t in _TENANT) + """) t
+  where r.role <> 'audit_append' or t.table_name = 'audit_events'"""
+query("M5_roles", _ROLES, *(t for t in _TABLES if t[0][4:] in _TENANT))(
+    lambda m: (lambda tables: catalog.role_reach({t: getattr(tables, t) for t in _TENANT}, m.spark))(Spoiled(m.spark, m.sf_dir))
+)
