@@ -276,6 +276,14 @@ _STEPS = "\nunion all ".join(
     f"union all select {i}, 'principals', count(*) from principals" for i, w in enumerate((3, "null", 5, "null"))
 )
 query("R6_context_set_and_cleared", _STEPS)(lambda m: _in_turn(m, (3, None, 5, None)))
+def _setting(m) -> DataFrame:
+    access.set_context(m.spark, 7)
+    rows = m.request_log.where(access.session_policy("idempotency_records")).select("request_id", access.current_context().alias("scope"))
+    access.clear_context(m.spark)
+    return rows
+
+
+query("S20_session_setting", "select request_id, '7' as scope from request_log where workspace_id is null or workspace_id = 7")(_setting)
 query("R7_verified_contexts", f"select membership_id, case when c is null then 'unset' when c <> workspace_id then 'mismatch' end as error from (select *, {_CONTEXTS} as c from memberships) x")(
     lambda m: m.memberships.withColumn("context", F.expr(_CONTEXTS)).select("membership_id", access.context_error("context", "workspace_id").alias("error"))
 )

@@ -7,10 +7,13 @@ lower-case hex SHA-256 of a string. Ids are integers or strings; the operators d
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import shared_dir
+
 #: The fixed instants of the registered queries.
 AS_OF, SESSION_AT = "1999-06-01 00:00:00", "2024-01-15 12:00:00"
 
@@ -98,6 +101,23 @@ def ansi_text(sql: str) -> str:
     return _TABLE.sub(lambda m: m[1], sql)
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def clustered(spark: SparkSession, sf_dir: str, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """A table of the model written once a session, in ranges of ``keys`` and sorted by them.
+
+    A filter on the keys reaches this scan, which reads only the files and row groups whose bounds hold the value; the view
+    itself may stop it, as a window over lines does in ``capability_grants``.
+    """
+    which = (spark.sparkContext.applicationId, sf_dir, name, keys)
+    if which not in _WRITTEN:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        view(spark, sf_dir, name).repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+        _WRITTEN[which] = path
+    return spark.read.parquet(_WRITTEN[which])
+
+
 class Model:
     """The model's tables over one folder, as attributes."""
 
@@ -109,6 +129,10 @@ class Model:
             raise AttributeError(name)
         return view(self.spark, self.sf_dir, name)
 
+    def by(self, name: str, *keys: str) -> DataFrame:
+        """A table clustered by ``keys``, for lookups and pages."""
+        return clustered(self.spark, self.sf_dir, name, keys)
+
 
 def ansi(sql: str, *more: tuple[str, str]) -> str:
     """An oracle statement: the views that ``sql`` names as common tables, then ``more`` (name, SELECT), before it."""
