@@ -91,3 +91,35 @@ def test_pipeline_stage_joins_similar_texts(spark, sf):
     apart = [(d, t) for d, t in rows if brute_fingerprint(t)]
     got = sorted(r["doc_id"] for r in corpus_pipeline.near(spark, frame(spark, apart), sf).collect())
     assert got == sorted({c for _, c in brute_groups(apart)})
+
+
+def test_large_buckets_are_dealt_out_by_the_other_segment(spark):
+    from wardstone.llm.simhash import near_links
+
+    rng = random.Random(6)
+    low = rng.getrandbits(32)
+    prints = {rng.getrandbits(32) << 32 | low ^ (1 << rng.randrange(32) if rng.random() < 0.3 else 0) for _ in range(300)}
+    for p in list(prints)[:80]:
+        prints.add(p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    near = {(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+
+    def parts(links):
+        root = {x: x for x in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        least: dict = {}
+        for x in signed:
+            least[find(x)] = min(x, least.get(find(x), x))
+        return {x: least[find(x)] for x in signed}
+
+    df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(4)
+    for large in (1 << 16, 4):
+        got = [tuple(r) for r in near_links(df, large, 1).collect()]
+        assert parts(got) == parts(near)

@@ -3,6 +3,7 @@
 A 64-bit fingerprint is cut into two 32-bit segments. Of two fingerprints that differ in at most three bits, one
 segment differs in at most one bit, so both have a one-wildcard variant of that segment in common (the segment with
 one bit left out). All variants are an index; an equality join on it gives the candidates, which are verified in full.
+Buckets of the index that are very large are dealt out by the bytes of the other segment, so that no task gets one whole.
 Equal fingerprints are one node from the start, and a bucket of the index gives a spanning forest of its links.
 """
 
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -26,6 +28,9 @@ from .similar import node_of, similar_groups
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Fingerprints of a bucket that are compared in place; larger buckets are cut by further bytes, exactly.
 BUCKET = 512
+#: Fingerprints of a bucket from which it is dealt out by the bytes of the other segment; most such buckets (8 bytes each, the
+#: largest if there are more); they are found on one fingerprint of so many, which steers where pairs meet only.
+LARGE, MOST_LARGE, LARGE_SHARE = 1 << 16, 1 << 20, 16
 
 _BYTE_BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.int32)
 
@@ -53,18 +58,36 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
-def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The 64 index rows of each fingerprint: key (segment number, left-out bit, rest of the segment) and fingerprint."""
-    for frame in frames:
-        for part in np.array_split(frame["fp"].to_numpy(), len(frame) // 4096 + 1):
-            fp = part.view(np.uint64)
-            keys = []
-            for segment in range(2):
-                value = (fp >> np.uint64(32 * segment)) & np.uint64(0xFFFFFFFF)
-                for bit in range(32):
-                    rest = value & ~np.uint64(1 << bit)
-                    keys.append(rest | np.uint64((segment * 32 + bit) << 32))
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.tile(part, 64)})
+def _variants(large: Broadcast | None = None):
+    """The 64 index rows of each fingerprint: key (segment number, left-out bit, rest of the segment) and fingerprint.
+
+    A row of a ``large`` bucket stands four times instead, under the bytes of the other segment: of two fingerprints of a
+    bucket that differ in three bits at most, one of these four bytes is the same.
+    """
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        crowded = large.value if large else np.zeros(0, np.int64)
+        for frame in frames:
+            for part in np.array_split(frame["fp"].to_numpy(), len(frame) // 4096 + 1):
+                fp = part.view(np.uint64)
+                keys = []
+                for segment in range(2):
+                    value = (fp >> np.uint64(32 * segment)) & np.uint64(0xFFFFFFFF)
+                    for bit in range(32):
+                        rest = value & ~np.uint64(1 << bit)
+                        keys.append(rest | np.uint64((segment * 32 + bit) << 32))
+                key, own = np.concatenate(keys).view(np.int64), np.tile(part, 64)
+                full = np.isin(key, crowded) if len(crowded) else np.zeros(len(key), bool)
+                if full.any():
+                    parts = [(key[~full], own[~full])]
+                    other = np.where(key[full] >> 37 & 1, 0, 32).astype(np.uint64)  # where the other segment begins
+                    for place in range(4):
+                        octet = (own[full].view(np.uint64) >> (other + np.uint64(8 * place))) & np.uint64(255)
+                        parts.append((key[full] | ((octet.astype(np.int64) + 256 * place + 1) << 38), own[full]))
+                    key, own = (np.concatenate(x) for x in zip(*parts))
+                yield pd.DataFrame({"key": key, "fp": own})
+
+    return made
 
 
 def _near_forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -137,10 +160,14 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(np.array(out, np.uint64).view(np.int64), columns=["a", "b"])
 
 
-def near_links(fingerprints: DataFrame) -> DataFrame:
+def near_links(fingerprints: DataFrame, large: int = LARGE, share: int = LARGE_SHARE) -> DataFrame:
     """Links (a, b) among the distinct values of the long column fp: enough of them to connect all that are near."""
-    index = fingerprints.select("fp").distinct().mapInPandas(_variants, "key long, fp long")
-    met = index.repartition("key").sortWithinPartitions("key")
+    own = fingerprints.select("fp").distinct()
+    some = own.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInPandas(_variants(), "key long, fp long")
+    counts = some.groupBy("key").count().where(F.col("count") >= max(2, large // share))
+    got = counts.orderBy(F.desc("count"), "key").limit(MOST_LARGE).select("key").toArrow().column(0)
+    held = fingerprints.sparkSession.sparkContext.broadcast(np.sort(got.to_numpy()))
+    met = own.mapInPandas(_variants(held), "key long, fp long").repartition("key").sortWithinPartitions("key")
     return met.mapInPandas(_links, "a long, b long").distinct()
 
 
