@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .conversation_repair import repair_conversations
+from .conversation_sql import REPAIR_SQL, TRIE_SQL
 from .conversation_trie import conversation_trie
 from .exact_dedup import exact_groups
 from .html_extract import extract_pages
@@ -139,4 +140,6 @@ QUERIES = {
     "op12_conversation_trie": op12_conversation_trie,
     "op13_conversation_repair": op13_conversation_repair,
 }
-SQL = {"op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
+SQL = {
+    "op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_conversation_trie": TRIE_SQL, "op13_conversation_repair": REPAIR_SQL,
+}
