@@ -19,15 +19,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
-#: Bits for each expected hash in the once filters and for each repeat in the twice filter; bits set by a hash; the
-#: broadcast's bound in bytes.
-BITS_PER_HASH, BITS_PER_REPEAT, PROBES, MAX_BYTES = 12, 10, 4, 32 << 20
+#: Bits for each expected hash in the once filters; bits for each repeat in the twice filter, and the least of them, at which
+#: one hash in six that does not repeat is suspected; bits set by a hash; the broadcast's bound in bytes.
+BITS_PER_HASH, BITS_PER_REPEAT, LEAST_PER_REPEAT, PROBES, MAX_BYTES = 12, 10, 4, 4, 32 << 20
 #: Least and most bits of a segment; segments that are cut before segments grow.
 LEAST_BITS, MOST_BITS, SEGMENTS = 1 << 18, 1 << 25, 1 << 12
 #: Hashes that a task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 SENT_SCHEMA = "segment int, once binary, twice binary"
 
@@ -153,13 +153,16 @@ class RepeatFilter:
 def repeat_filters(payload: DataFrame, where: Layout, max_bytes: int = MAX_BYTES, most: int = 1) -> Iterator[RepeatFilter | None]:
     """Merge the rows of ``sent`` by segment and broadcast the twice filters, each of ``max_bytes`` at most.
 
-    There are as many as the repeats need, each for a range of segments. If that is more than ``most`` there is one,
-    which is full if ``most`` is 1, and else None: any hash may repeat.
+    Repeats have BITS_PER_REPEAT each, or fewer so that one filter holds them all, but LEAST_PER_REPEAT at least. Past that
+    there are as many filters as they need, each for a range of segments. If that is more than ``most`` there is one, which
+    is full if ``most`` is 1, and else None: any hash may repeat.
     """
-    merged = payload.repartition("segment").sortWithinPartitions("segment").mapInPandas(_repeats(where.bits), "segment int, n long, keys binary")
+    merged = payload.repartition("segment").sortWithinPartitions("segment").mapInPandas(released(_repeats(where.bits)), "segment int, n long, keys binary")
     repeats = stored(merged, "repeats")
     largest = repeats.agg(F.max("n")).first()[0] or 0
-    size, bound = max(64, -(-largest * BITS_PER_REPEAT // 64) * 64), max_bytes * 8
+    bound = max_bytes * 8
+    room, (size, least) = bound // where.segments // 64 * 64, (max(64, -(-largest * bits // 64) * 64) for bits in (BITS_PER_REPEAT, LEAST_PER_REPEAT))
+    size = min(size, max(room, least))
     passes = -(-where.segments * size // bound)
     if passes > most:
         if most > 1:
@@ -197,4 +200,4 @@ def column_filter(rows: DataFrame, hash_col: str, expected: int, max_bytes: int
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from sent((frame["h"].to_numpy() for frame in frames), where, members)
 
-    return repeat_filter(rows.select(F.col(hash_col).alias("h")).where("h is not null").mapInPandas(send, SENT_SCHEMA), where, max_bytes)
+    return repeat_filter(rows.select(F.col(hash_col).alias("h")).where("h is not null").mapInPandas(released(send), SENT_SCHEMA), where, max_bytes)

@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import released, stored, text_of
 
 CAPACITY = 2048
 #: Word chunks whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Plan rows that are broadcast (under 100 bytes each); a plan has a few rows for each length that occurs.
 PLAN_ROWS = 100_000
 
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).mapInPandas(tokenise, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).mapInPandas(released(tokenise), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

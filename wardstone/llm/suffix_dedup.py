@@ -22,20 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import MAX_BYTES, SENT_SCHEMA, RepeatFilter, column_filter, layout, repeat_filters, sent
-from .common import stored, text_of
+from .common import released, stored, text_of
 from .suffix_sort import suffix_order
 
 #: Bytes of a repeated string, and of an anchor in it.
 LENGTH, ANCHOR = 50, 28
-#: Bound of a broadcast filter of repeated anchors, and most passes with such a filter each, every one of which hashes all
-#: texts again; past that one pass without a filter shuffles every context, 6 to 9 times the input.
-FILTER_BYTES, MOST_PASSES = MAX_BYTES, 8
+#: Bound of a broadcast filter of repeated anchors: 134 million of them at four bits each in one pass; most passes with such
+#: a filter each, every one of which hashes all texts again; past that one pass without a filter shuffles every context, 6
+#: to 9 times the input.
+FILTER_BYTES, MOST_PASSES = 2 * MAX_BYTES, 8
 #: Different contexts of an anchor from which its windows are dealt out one by one, and most such anchors (8 bytes each).
 CROWD, MOST_CROWDED = 1000, 1 << 20
 #: Crowds are found on one document of so many, by a hash of its id; this steers where windows go, never what is found.
 CROWD_SHARE = 8
 #: Bytes of a text that are hashed at a time, contexts that a task merges before it sends them, bytes sorted together.
-CHUNK, MERGED, BLOCK = 1 << 16, 1 << 16, 1 << 13
+CHUNK, MERGED, BLOCK = 1 << 16, 1 << 15, 1 << 13
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -230,16 +231,20 @@ def _sorter(length: int, k: int, block: int = BLOCK):
 
         def close() -> None:
             nonlocal size
-            if len({x[5] for x in bucket.values()} | {x[6] for x in bucket.values()}) < 2:
-                return  # one document only
-            if len(bucket) == 1:
-                (x,) = bucket.values()
-                plain.append((x[0], x[1], 0, x[2] - 1, x[5]))
-                return
-            number = len(contexts)
+            by_anchor: dict[bytes, list[tuple]] = {}  # anchors of one hash are apart if their bytes are
             for x in bucket.values():
-                contexts.append((*x, number))
-                size += len(x[4])
+                by_anchor.setdefault(x[4][x[3] : x[3] + k], []).append(x)
+            for own in by_anchor.values():
+                if len({x[5] for x in own} | {x[6] for x in own}) < 2:
+                    continue  # one document only
+                if len(own) == 1:
+                    (x,) = own
+                    plain.append((x[0], x[1], 0, x[2] - 1, x[5]))
+                    continue
+                number = len(contexts)
+                for x in own:
+                    contexts.append((*x, number))
+                    size += len(x[4])
 
         def out() -> Iterator[pd.DataFrame]:
             nonlocal size
@@ -270,22 +275,40 @@ def _sorter(length: int, k: int, block: int = BLOCK):
     return run
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter_bytes: int = FILTER_BYTES, crowd: int = CROWD) -> DataFrame:
-    """Rows (id, mark, starts, ends) of the byte runs to remove, for ``docs`` (id long, mark long, t string)."""
+class Copies:
+    """Which rows are surely copies of a text with a smaller id: their mark repeats, and their id is no first one's."""
+
+    def __init__(self, again: RepeatFilter, first: RepeatFilter):
+        self.again, self.first = again, first
+
+    def __call__(self, marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.again.suspects(marks) & ~self.first.suspects(ids)
+
+    def left(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Frames with mark and idh, without such rows; in the worker that hashes the rest, so that no other is needed."""
+        for frame in frames:
+            kept = frame[~self(frame["mark"].to_numpy(), frame["idh"].to_numpy())]
+            if len(kept):
+                yield kept
+
+
+def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter_bytes: int = FILTER_BYTES, crowd: int = CROWD, copies: Copies | None = None) -> DataFrame:
+    """Rows (id, mark, starts, ends) of the byte runs to remove, for ``docs`` (id long, mark long, t string), ``copies`` left out."""
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     where = layout(2 * total // (length - k + 2) + 1)
+    docs = docs.select("id", "mark", "t", F.xxhash64("id").alias("idh"))
 
     def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-        for frame in frames:
+        for frame in copies.left(frames) if copies else frames:
             for text, _, _, _, h, _ in anchors_of([_raw(t) for t in frame["t"]], length, k):
                 order = np.lexsort((h, text))  # once for each text (a long text's parts count on their own)
                 h, text = h[order], text[order]
                 yield h[np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]].view(np.int64)
 
-    payload = docs.select("t").mapInPandas(lambda frames: sent(hashes(frames), where), SENT_SCHEMA)
+    payload = docs.mapInPandas(released(lambda frames: sent(hashes(frames), where)), SENT_SCHEMA)
     runs = None
     for suspects in repeat_filters(payload, where, filter_bytes, MOST_PASSES):
-        some = _runs_of(docs, suspects, length, k, crowd)
+        some = _runs_of(docs, suspects, length, k, crowd, copies)
         if runs is not None or suspects and suspects.high < suspects.segments:  # of several: so that its filter can go
             some = stored(some, "pass")
             suspects.held.unpersist()
@@ -293,13 +316,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter
     return runs.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
 
 
-def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int, crowd: int) -> DataFrame:
+def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int, crowd: int, copies: Copies | None) -> DataFrame:
     """Rows (id, mark, s, e): the byte runs to remove for the windows of the anchors that ``suspects`` has; None: of all."""
+    left = copies.left if copies else iter
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Anchors and hashes of their contexts, each pair once in a while."""
         cut, seen, size = Cutter(suspects, np.zeros(0, np.int64), length, k), [], 0
-        for frame in frames:
+        for frame in left(frames):
             for _, h, c, *_ in cut([_raw(t) for t in frame["t"]]):
                 seen.append(pd.DataFrame({"h": h, "c": c}))
                 size += len(h)
@@ -309,8 +333,8 @@ def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int
         if seen:
             yield pd.concat(seen).drop_duplicates()
 
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(CROWD_SHARE)) == 0).select("t")
-    counts = some.mapInPandas(pairs, "h long, c long").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd // CROWD_SHARE)
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(CROWD_SHARE)) == 0)
+    counts = some.mapInPandas(released(pairs), "h long, c long").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd // CROWD_SHARE)
     full = counts.orderBy(F.desc("n"), "h").limit(MOST_CROWDED).select("h").toArrow()  # if there are more, the largest
     crowded = np.sort(full.column(0).to_numpy())
     held = docs.sparkSession.sparkContext.broadcast(crowded)
@@ -335,7 +359,7 @@ def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int
                 "low": np.minimum.reduceat(doc, edge), "high": np.maximum.reduceat(doc, edge),
             })
 
-        for frame in frames:
+        for frame in left(frames):
             raws, ids = [_raw(t) for t in frame["t"]], frame["id"].to_numpy()
             for text, h, c, q, n, p in cut(raws):
                 parts.append((h, c, q, n, p, ids[text], text))
@@ -347,9 +371,9 @@ def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int
                 size = 0
                 yield merged(raws)
 
-    met = docs.select("id", "t").mapInPandas(contexts, "h long, c long, n int, p int, part binary, low long, high long")
+    met = docs.mapInPandas(released(contexts), "h long, c long, n int, p int, part binary, low long, high long")
     met = met.repartition("h").sortWithinPartitions("h")
-    owners = stored(met.mapInPandas(_sorter(length, k), "h long, c long, a int, b int, m long"), "owners")
+    owners = stored(met.mapInPandas(released(_sorter(length, k)), "h long, c long, a int, b int, m long"), "owners")
 
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, parts, size = Cutter(suspects, held.value, length, k), [], 0
@@ -359,7 +383,7 @@ def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int
             parts.clear()
             return pd.DataFrame({"h": h, "c": c, "id": doc, "mark": mark, "q": q.astype(np.int32)})
 
-        for frame in frames:
+        for frame in left(frames):
             ids, marks = frame["id"].to_numpy(), frame["mark"].to_numpy()
             for text, h, c, q, *_ in cut([_raw(t) for t in frame["t"]]):
                 parts.append((h, c, ids[text], marks[text], q))
@@ -370,7 +394,7 @@ def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int
         if parts:
             yield gathered()
 
-    spots = docs.mapInPandas(places, "h long, c long, id long, mark long, q int")
+    spots = docs.mapInPandas(released(places), "h long, c long, id long, mark long, q int")
     return spots.join(owners, ["h", "c"]).where("m < id").select("id", "mark", (F.col("q") + F.col("a")).alias("s"), (F.col("q") + F.col("b") + length).alias("e"))
 
 
@@ -395,21 +419,30 @@ def suffix_array_dedup(
     character is dropped from the text, while kept_sha256 and the counts are of the bytes. Extra columns pass through;
     columns of the four names are replaced. An empty table gives an empty result.
     """
-    names, key, again = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), F.col("__ws_id"), F.col("__ws_again")
+    names, key = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), F.col("__ws_id")
     base = docs.drop(*names).withColumn(text_col, text_of(text_col)).withColumn("__ws_id", F.col(id_col).cast("long")).withColumn("__ws_sha", F.sha2(text_col, 256))
     base = base.withColumn("__ws_mark", F.when(key.isNotNull(), F.xxhash64("__ws_sha")))
 
     rows = docs.count()
-    base = base.withColumn("__ws_again", column_filter(base, "__ws_mark", rows, filter_bytes).holds(F.col("__ws_mark")))
-    firsts = stored(base.where(again).groupBy("__ws_sha").agg(F.xxhash64(F.min(key)).alias("first")), "firsts")
-    first = column_filter(firsts, "first", firsts.count(), filter_bytes, members=True)
-    base = base.withColumn("__ws_copy", again & ~first.holds(F.xxhash64(key)))  # surely not the first of its text
+    mark, idh = F.col("__ws_mark"), F.xxhash64(key)
+    repeated = column_filter(base, "__ws_mark", rows, filter_bytes)
+    firsts = stored(base.where(repeated.holds(mark)).groupBy("__ws_sha").agg(F.xxhash64(F.min(key)).alias("first")), "firsts")
+    copies = Copies(repeated, column_filter(firsts, "first", firsts.count(), filter_bytes, members=True))
 
-    known = base.where(key.isNotNull() & ~F.col("__ws_copy")).select(key.alias("id"), F.col("__ws_mark").alias("mark"), F.col(text_col).alias("t"))
-    runs = removed_spans(known, length, k, filter_bytes, crowd).withColumn("h", F.xxhash64("id"))
+    known = base.where(key.isNotNull()).select(key.alias("id"), mark.alias("mark"), F.col(text_col).alias("t"))
+    runs = removed_spans(known, length, k, filter_bytes, crowd, copies).withColumn("h", F.xxhash64("id"))
     runs = stored(runs.select(F.col("id").alias("__ws_of"), F.col("mark").alias("__ws_text"), F.col("runs").alias("__ws_runs"), "h"), "runs")
     touched = column_filter(runs, "h", runs.count(), filter_bytes, members=True)
-    base = base.withColumn("__ws_met", ~F.col("__ws_copy") & key.isNotNull() & touched.holds(F.xxhash64(key)))
+
+    @F.pandas_udf("long")
+    def fate(marks: pd.Series, ids: pd.Series) -> pd.Series:
+        """1: a copy of an earlier text, 2: has runs to remove, maybe, 0: neither."""
+        marks, ids = marks.to_numpy(), ids.to_numpy()
+        return pd.Series(np.where(copies(marks, ids), 1, np.where(touched.suspects(ids), 2, 0)))
+
+    zero = F.lit(0).cast("long")
+    base = base.withColumn("__ws_fate", F.when(key.isNotNull(), fate(F.coalesce(mark, zero), idh)).otherwise(0))
+    base = base.withColumn("__ws_copy", F.col("__ws_fate") == 1).withColumn("__ws_met", F.col("__ws_fate") == 2)
 
     @F.pandas_udf("text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     def without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -420,7 +453,7 @@ def suffix_array_dedup(
             out.append((left.decode("utf-8", "ignore"), len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
         return pd.DataFrame(out, columns=["text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    gone, size, zero = F.col("__ws_copy") & (F.octet_length(text_col) >= length), F.octet_length(text_col).cast("long"), F.lit(0).cast("long")
+    gone, size = F.col("__ws_copy") & (F.octet_length(text_col) >= length), F.octet_length(text_col).cast("long")
     plain = base.where(~F.col("__ws_met")).withColumns({
         "n_bytes": size, "n_removed": F.when(gone, size).otherwise(zero), "n_spans": F.when(gone, 1).otherwise(zero).cast("long"),
         "kept_sha256": F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("__ws_sha")), text_col: F.when(gone, "").otherwise(F.col(text_col)),
@@ -429,5 +462,5 @@ def suffix_array_dedup(
     none = F.array().cast("array<struct<s:int,e:int>>")
     met = met.withColumn("__ws_out", without(text_col, F.coalesce("__ws_runs", none)))
     met = met.withColumns({text_col: F.col("__ws_out.text"), **{x: F.col(f"__ws_out.{x}") for x in names}})
-    extra = ("__ws_id", "__ws_sha", "__ws_mark", "__ws_again", "__ws_copy", "__ws_met")
+    extra = ("__ws_id", "__ws_sha", "__ws_mark", "__ws_fate", "__ws_copy", "__ws_met")
     return plain.drop(*extra).unionByName(met.drop(*extra, "__ws_out", "__ws_of", "__ws_text", "__ws_runs"))
