@@ -72,7 +72,7 @@ def test_late_shingles_and_parts_of_buckets_change_nothing(spark):
     notice = [f"notice{i}" for i in range(40)]
     own = [" ".join([*(f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([3, 10, 60]))), *notice]) for _ in range(60)]
     rows = [*near_rows(4), *enumerate(own)]
-    for more in ({"part": 5, "square": 3}, {"square": 2, "exact": True}):
+    for more in ({"part": 5, "square": 3}, {"square": 2, "exact": True}, {"block": 150, "blocks": 1}):
         got = similar_groups(clash(frame(spark, rows)), crowd=3, share=1, **more).select("doc_id", "component_id").collect()
         assert sorted(map(tuple, got), key=str) == brute_groups(rows)
 
@@ -85,6 +85,21 @@ def test_a_crowd_of_similar_texts(spark):
     assert {r["component_id"] for r in similar_groups(frame(spark, rows)).collect()} == {0}
 
 
+def test_a_crowd_around_the_threshold(spark):
+    """Copies changed more and less: most pairs are a little under 0.8, some groups and single texts stay apart."""
+    rng = random.Random(11)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        changed = {rng.randrange(120) for _ in range(rng.randint(1, 6))}
+        rows.append((i, " ".join(f"n{rng.randint(0, 10**6)}" if k in changed else w for k, w in enumerate(words))))
+    want = brute_groups(rows)
+    assert 1 < len({c for _, c in want}) < 150
+    for more in ({}, {"block": 2000}, {"square": 20, "block": 2000, "blocks": 2}):
+        got = similar_groups(frame(spark, rows), **more).select("doc_id", "component_id").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 def test_pipeline_stage_joins_similar_texts(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = near_rows()
