@@ -1,7 +1,8 @@
-"""Forward sums over the lattices of many words at once, in log space, by numpy."""
+"""Forward sums over the lattices of many words at once, in log space, and expected uses of pieces, by numpy."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -102,6 +103,22 @@ class Batch:
             most = parts.max(axis=0)
             self.total[:, j] = most + np.log(np.exp(parts - most).sum(axis=0))
 
+    def expected(self, counts: np.ndarray) -> None:
+        """Add the expected uses of each piece in the words to ``counts``."""
+        share, uses = np.zeros_like(self.total), [np.zeros(x.shape) for x in self.logs]
+        share[:, self.n] = 1
+        for j in range(self.n, 0, -1):
+            for k in range(1, min(len(self.logs), j) + 1):
+                use = share[:, j] * np.exp(self.total[:, j - k] + self.logs[k - 1][:, j - k] - self.total[:, j])
+                uses[k - 1][:, j - k] = use
+                share[:, j - k] += use
+        for ids, use in zip(self.ids, uses):
+            found = ids >= 0
+            counts += np.bincount(ids[found], use[found], len(counts))
+        if self.spelled:
+            for spelled, amount in zip(self.spelled, np.bincount(self.at.ravel(), uses[0][self.none], len(self.spelled))):
+                np.add.at(counts, spelled, amount)
+
     def shares(self, j: int) -> np.ndarray:
         """For each word, the cumulative shares of the edges of 1, 2, ... characters that end at ``j``."""
         return np.exp(np.stack([self.total[:, j - k] + self.logs[k - 1][:, j - k] for k in range(1, min(len(self.logs), j) + 1)], axis=1) - self.total[:, j : j + 1]).cumsum(axis=1)
@@ -115,3 +132,20 @@ def log_marginals(words: list[str], weight: np.ndarray, path: str | None = None)
     for i in (i for i, w in enumerate(words) if len(w) > LONG):
         out[i] = forward(table.vocab, MARKER + words[i], listed)[-1]
     return out
+
+
+def expected_counts(words: list[str], weight: np.ndarray, path: str | None = None) -> np.ndarray:
+    """The expected uses of each piece, over all segmentations of each of ``words``."""
+    table = piece_table(path)
+    counts, listed, vocab = np.zeros(table.vocab.size), weight.tolist(), table.vocab
+    for _, codes in by_length(words, LONG):
+        Batch(codes, table, weight).expected(counts)
+    for word in (MARKER + w for w in words if len(w) > LONG):
+        total, share = forward(vocab, word, listed), np.zeros(len(word) + 1)
+        share[-1] = 1
+        for j in range(len(word), 0, -1):
+            for i, ids in vocab.ending(word, j):
+                use = share[j] * math.exp(total[i] + sum([listed[x] for x in ids]) - total[j])
+                share[i] += use
+                np.add.at(counts, list(ids), use)
+    return counts

@@ -3,7 +3,10 @@
 The scores of an existing vocabulary weight the pieces, and the forward recursion sums all segmentations of a word in log
 space. No piece has the space's marker but at its start, so a text's segmentations are those of its words, one after the
 other, and the words' marginals sum to one over all words. The corpus gives the share of words and ends, and the counts
-of the base. Spark counts each different word once, so a word's lattice is summed once, however often the word occurs.
+of the base. If ``learned``, expected counts over the different words of training re-estimate the pieces' weights, and each
+word of training is one more piece of its own lattice: its discounted share of the words; what the discount frees is the
+share of the segmentations into pieces, so the marginals still sum to one.
+Spark counts each different word once, so a word's lattice is summed once, however often the word occurs.
 The words that occur most (HEAD of them at most) are broadcast with their scores; only the other words of a document
 shuffle, to meet theirs.
 """
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 from .lattice import vocabulary
-from .lattice_batch import log_marginals
+from .lattice_batch import expected_counts, log_marginals
 
-#: Smoothing of the base.
-ALPHA = 0.1
+#: Smoothing of the base, and of a piece's expected count.
+ALPHA, PIECE_ALPHA = 0.1, 0.1
 #: Most words that are broadcast, and the most bytes of such a word.
 HEAD, HEAD_BYTES = 100_000, 64
 
@@ -65,31 +68,62 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("train").alias("train"))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD) -> DataFrame:
+def piece_weights(words: DataFrame, path: str | None = None) -> np.ndarray:
+    """Log weights of the pieces by their expected counts over the different words of training, from the vocabulary's weights.
+
+    A task gives one row at most for each piece of the vocabulary, and so does the driver's result.
+    """
+    first = np.array(vocabulary(path).weight)
+
+    def uses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(len(first))
+        for frame in frames:
+            counts += expected_counts([w.decode("utf-8", "surrogatepass") for w in frame["word"]], first, path)
+        piece = np.flatnonzero(counts)
+        yield pd.DataFrame({"piece": piece.astype(np.int32), "n": counts[piece]})
+
+    seen = words.where("train > 0").select("word").mapInPandas(uses, "piece int, n double")
+    got = seen.groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.where(np.isfinite(first), PIECE_ALPHA, 0.0)
+    counts[got["piece"].to_numpy(np.int64)] += got["n"].to_numpy(float)
+    weight, usable = np.full(len(counts), -np.inf), counts > 0
+    weight[usable] = np.log(counts[usable] / counts.sum())
+    return weight
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD, learned: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text, A-Z lower-cased, and one end. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1)))
     over tokens; score is the log10 of the product of the words' shares of tokens times their marginals over all
     segmentations, and of the end's share. Null and empty texts are an end alone. Repeated rows are scored each. If no
     row is to be learned from, c, N and V are 0 and words and ends have a share of half. A word of any length is summed
-    in memory linear in it. Columns other than the two are not read.
+    in memory linear in it. Columns other than the two are not read. ``learned``: see above; without a word to learn from
+    it changes nothing.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"), held_out(id_col).alias("held"))
     words = stored(word_counts(base), "words")
     ends = base.where("not held").count()
-    n_words, v_words = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1))).first()
+    of = lambda when: F.count(F.when(when, 1))
+    n_words, v_words, once, twice = words.agg(F.coalesce(F.sum("train"), F.lit(0)), of(F.col("train") > 0), of(F.col("train") == 1), of(F.col("train") == 2)).first()
     n, v = n_words + ends, v_words + (ends > 0)
     floor = n + ALPHA * (v + 1)
     end = (ends + 0.5) / (n + 1)  # never 0 or 1
-    weight = np.array(vocabulary(path).weight)
+    learned = learned and n_words > 0
+    weight = piece_weights(words, path) if learned else np.array(vocabulary(path).weight)
+    less = once / (once + 2 * twice) if once and twice else 0.5  # the discount of a count: over 0 and below 1
 
     @F.pandas_udf("double")
-    def lattice_log10(column: pd.Series) -> pd.Series:
-        return pd.Series((math.log1p(-end) + log_marginals([w.decode("utf-8", "surrogatepass") for w in column], weight, path)) / math.log(10))
+    def lattice_log10(column: pd.Series, train: pd.Series) -> pd.Series:
+        log = log_marginals([w.decode("utf-8", "surrogatepass") for w in column], weight, path)
+        if learned:
+            own = np.maximum(train.to_numpy() - less, 0) / n_words
+            log = np.logaddexp(math.log(less * v_words / n_words) + log, np.log(own, where=own > 0, out=np.full(len(own), -np.inf)))
+        return pd.Series((math.log1p(-end) + log) / math.log(10))
 
     scored = words.select(
         "word", "uses", (F.col("train") > 0).cast("long").alias("known"), F.log10((F.col("train") + ALPHA) / F.lit(floor)).alias("base"),
-        lattice_log10("word").alias("lattice"),
+        lattice_log10("word", "train").alias("lattice"),
     )
     scored = stored(scored, "scored")
     # the head: a bounded number of bounded words

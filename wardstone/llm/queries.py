@@ -45,7 +45,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), learned=True)
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
