@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .bloom import column_filter
-from .common import stored, text_of
+from .common import released, stored, text_of
 from .components import connected_components, forest
 from .similar import node_of, similar_groups
 
@@ -163,12 +163,12 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_links(fingerprints: DataFrame, large: int = LARGE, share: int = LARGE_SHARE) -> DataFrame:
     """Links (a, b) among the distinct values of the long column fp: enough of them to connect all that are near."""
     own = fingerprints.select("fp").distinct()
-    some = own.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInPandas(_variants(), "key long, fp long")
+    some = own.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInPandas(released(_variants()), "key long, fp long")
     counts = some.groupBy("key").count().where(F.col("count") >= max(2, large // share))
     got = counts.orderBy(F.desc("count"), "key").limit(MOST_LARGE).select("key").toArrow().column(0)
     held = fingerprints.sparkSession.sparkContext.broadcast(np.sort(got.to_numpy()))
-    met = own.mapInPandas(_variants(held), "key long, fp long").repartition("key").sortWithinPartitions("key")
-    return met.mapInPandas(_links, "a long, b long").distinct()
+    met = own.mapInPandas(released(_variants(held)), "key long, fp long").repartition("key").sortWithinPartitions("key")
+    return met.mapInPandas(released(_links), "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +193,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The groups are those of op1 (3-word shingles, MAX_BITS differing bits) or, with a ``similarity``, those of
     ``similar_groups``: all texts linked by so much Jaccard similarity of their shingles of ``shingle`` words (``exact``: none
-    missed by chance).
+    missed by chance). These go by the deletion variants of their fingerprints first, as op1 does, and the similarity decides.
 
     Of rows that repeat an id one stays. A row with a null id goes if its group has an id; of a group whose ids are all
     null, one row of each fingerprint stays. Most rows pass straight through: only those whose id may be a loser's or a
@@ -202,7 +202,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if similarity is None:
         groups, named = simhash_groups(docs, id_col, text_col), _fingerprints(text_of(text_col))
     else:
-        groups, named = similar_groups(docs, id_col, text_col, similarity, shingle, exact=exact), node_of(shingle)(text_of(text_col))
+        groups, named = similar_groups(docs, id_col, text_col, similarity, shingle, exact=exact, signatures=near_links), node_of(shingle)(text_of(text_col))
     groups = stored(groups, "groups")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("component_id")).where("doc_id is not null")
     gone = stored(repeated.where("n > 1 or component_id != doc_id").select("doc_id", F.xxhash64("doc_id").alias("h"), (F.col("component_id") != F.col("doc_id")).alias("loser")), "gone")

@@ -8,6 +8,9 @@ order of the text, the first FIRST of a prefix do as well: that two texts at 0.8
 of less than one in a million. A text that is mostly of frequent shingles is filed under its whole prefix. SimHash
 fingerprints of 512 bits sort out what meets by chance, and the exact similarity decides.
 
+With ``signatures`` (the deletion variants of simhash.py) the 64-bit fingerprints come first: of those that they link, the exact
+similarity decides, and what it links is one node for the rounds that follow, which find what three bits do not.
+
 The first round links a bucket's members to a few leaders that they very likely resemble, so that a crowd of copies takes
 one comparison a member; a very large bucket is dealt out in parts, whose leaders meet in the second. The third takes
 those that these have not connected: fingerprints tell which members of a bucket may be similar, and join them to crowds.
@@ -21,7 +24,7 @@ FIRST and the fingerprints may miss a pair, by less than one chance in a million
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 
@@ -93,7 +96,7 @@ def node_of(shingle: int):
     return named
 
 
-ROW = "doc_id long, mark long, node long, n int, sketch binary, prefix array<long>"
+ROW = "doc_id long, mark long, node long, n int, sketch binary, fp long, prefix array<long>"
 
 
 def _is_in(hashes: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -102,7 +105,7 @@ def _is_in(hashes: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 def _rows(shingle: int, least: Fraction, late: Broadcast, exact: bool = False):
-    """A row for each text: its set's name, size, sketch and the first of its prefix (all of it if ``exact``), in which the ``late`` hashes come last."""
+    """A row for each text: its set's name, size, sketch, the sketch's first word (fp) and the first of its prefix (all of it if ``exact``), in which the ``late`` hashes come last."""
     up, down = least.numerator, least.denominator
 
     def prefix(hashes: np.ndarray) -> np.ndarray:
@@ -113,9 +116,10 @@ def _rows(shingle: int, least: Fraction, late: Broadcast, exact: bool = False):
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [shingle_set(t, shingle) for t in frame["t"]]
+            sketches = [sketch(x) for x in sets]
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].astype("Int64"), "mark": frame["mark"], "node": [node(x) for x in sets], "n": [len(x) for x in sets],
-                "sketch": [sketch(x) for x in sets], "prefix": [prefix(x) for x in sets],
+                "sketch": sketches, "fp": np.frombuffer(b"".join(sketches), np.int64)[::SKETCH_WORDS], "prefix": [prefix(x) for x in sets],
             })
 
     return made
@@ -343,6 +347,7 @@ def prefix_index(rows: DataFrame) -> DataFrame:
 
 def similar_links(
     texts: DataFrame, rows: DataFrame, least: Fraction, shingle: int, part: int = PART, square: int = SQUARE, exact: bool = False, block: int = BLOCK, blocks: int = MOST_BLOCKS,
+    signatures: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Links (a, b) of nodes at a similarity of ``least`` or more: enough of them to connect all that are.
 
@@ -410,10 +415,22 @@ def similar_links(
         keyed = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt")
         return stored(keyed.mapInPandas(released(_met_sets(least, exact)), "a long, b long").distinct(), "rest_links")
 
-    first = index.withColumns({"label": F.col("node"), "salt": F.lit(0).cast("long"), "side": F.lit(WITHIN)})
+    def signed() -> tuple[DataFrame, DataFrame]:
+        """Links of nodes whose 64-bit fingerprints the signatures connect, and the rows of the index but those of nodes linked to another one."""
+        own = stored(rows.select("fp", "node").distinct(), "fps")
+        heads = stored(own.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+        side = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}"))
+        pairs = own.join(heads, "fp").select("node", "head").union(signatures(heads).join(side("a"), "a").join(side("b"), "b").select("ha", "hb")).where("node != head")
+        links = verified(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")), "signed")[1]
+        parts = stored(connected_components(links), "signed_parts").where("node != root").select(F.col("node").alias("__node"))
+        return links, index.join(parts, F.col("node") == F.col("__node"), "left_anti")
+
+    near, unlinked = signed() if signatures else (None, index)
+    first = unlinked.withColumns({"label": F.col("node"), "salt": F.lit(0).cast("long"), "side": F.lit(WITHIN)})
     if split:  # few rows: each stands for ``part`` rows of the index
         first = first.drop("salt").join(large, "h", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long"))))
     tried, links = verified(buckets(first, True), "first")
+    links = links.union(near) if near else links
     if split:  # one member of each label of a bucket, so that the parts' leaders meet
         some = labelled(links, "parts")[0].groupBy("h", "salt", "side", "label").agg(F.min(F.struct("node", "n", "sketch")).alias("one")).select("h", "salt", "side", "label", "one.*")
         links = links.union(verified(buckets(some, True).join(tried, ["a", "b"], "left_anti"), "parts")[1])
@@ -424,13 +441,13 @@ def similar_links(
 
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, crowd: int = CROWD, share: int = SHARE, part: int = PART,
-    square: int = SQUARE, exact: bool = False, block: int = BLOCK, blocks: int = MOST_BLOCKS,
+    square: int = SQUARE, exact: bool = False, block: int = BLOCK, blocks: int = MOST_BLOCKS, signatures: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits, the name of its shingle set) and component_id.
 
     A text of fewer words than ``shingle`` is one shingle; wordless texts are one group. Nulls, repeats and empty tables
     are treated as in ``simhash_groups``. With ``exact`` texts meet on their whole prefixes and no fingerprint sorts pairs
-    out, so no pair is missed by chance.
+    out, so no pair is missed by chance. ``signatures`` gives links (a, b) among the 64-bit fingerprints of a column fp.
     """
     least = Fraction(str(similarity))
     if not 0 < least <= 1:
@@ -439,7 +456,7 @@ def similar_groups(
     late = docs.sparkSession.sparkContext.broadcast(crowded(texts, shingle, crowd, share))
     rows = stored(texts.mapInPandas(released(_rows(shingle, least, late, exact)), ROW), "rows")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    parts = stored(connected_components(stored(similar_links(texts, rows, least, shingle, part, square, exact, block, blocks), "links")), "parts").withColumnRenamed("node", "__node")
+    parts = stored(connected_components(stored(similar_links(texts, rows, least, shingle, part, square, exact, block, blocks, signatures), "links")), "parts").withColumnRenamed("node", "__node")
     joined = nodes.join(parts, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.select("node", "root").join(least, "root").select("node", "component_id")
