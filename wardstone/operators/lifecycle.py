@@ -211,10 +211,27 @@ def rotation_breaks(rotations: DataFrame) -> DataFrame:
     return rows.withColumn("broken", broken).where("broken is not null").select("session_id", "rotation_number", "broken")
 
 
+#: Rows of a key from which they are dealt out, over so many tasks; they are found on one row of so many, which steers where
+#: rows meet only; most such keys.
+HOT, SPREAD, HOT_SHARE, MOST_HOT = 1 << 15, 256, 16, 1024
+
+
+def _looked_up(rows: DataFrame, key: str, side: DataFrame, side_key: str, hot: int = HOT, share: int = HOT_SHARE) -> DataFrame:
+    """A left join whose rows of a hot key (null is one) lie in several tasks; the other side's rows of it stand once in each."""
+    mark = F.xxhash64(*rows.columns)
+    often = rows.where(F.pmod(mark, F.lit(share)) == 0).groupBy(F.col(key).alias("__hot")).count().where(F.col("count") >= max(1, hot // share))
+    often = F.broadcast(often.orderBy(F.desc("count"), "__hot").limit(MOST_HOT).select("__hot", F.lit(True).alias("__is")))
+    salt = F.when(F.col("__is"), F.pmod(mark, F.lit(SPREAD * share)) % SPREAD).otherwise(0).cast("int")
+    left = rows.join(often, F.col(key).eqNullSafe(F.col("__hot")), "left").withColumn("__salt", salt).drop("__hot", "__is")
+    each = F.sequence(F.lit(0), F.when(F.col("__is"), SPREAD - 1).otherwise(0))
+    right = side.join(often, F.col(side_key) == F.col("__hot"), "left").withColumn("__at", F.explode(each)).drop("__hot", "__is")
+    return left.join(right, (F.col(key) == F.col(side_key)) & (F.col("__salt") == F.col("__at")), "left").drop("__salt", "__at", side_key)
+
+
 def found_sessions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Requests (active_hash, previous_hash) with the session found by the active key's hash, else by the previous key's."""
     s = lambda p: sessions.select(F.col("handle_hash").alias(f"__{p}"), F.col("session_id").alias(f"{p}_session"))
-    rows = requests.join(s("a"), F.col("active_hash") == F.col("__a"), "left").join(s("p"), F.col("previous_hash") == F.col("__p"), "left")
+    rows = _looked_up(_looked_up(requests, "active_hash", s("a"), "__a"), "previous_hash", s("p"), "__p")
     return rows.select(
         *requests.columns, F.coalesce("a_session", "p_session").alias("session_id"), (F.col("a_session").isNull() & F.col("p_session").isNotNull()).alias("by_previous_key")
     )
