@@ -24,8 +24,9 @@ from .common import released, stored
 #: Bits for each expected hash in the once filters; bits for each repeat in the twice filter, and the least of them, at which
 #: one hash in six that does not repeat is suspected; bits set by a hash; the broadcast's bound in bytes.
 BITS_PER_HASH, BITS_PER_REPEAT, LEAST_PER_REPEAT, PROBES, MAX_BYTES = 12, 10, 4, 4, 32 << 20
-#: Least and most bits of a segment; segments that are cut before segments grow.
-LEAST_BITS, MOST_BITS, SEGMENTS = 1 << 18, 1 << 25, 1 << 12
+#: Least and most bits of a segment; segments that are cut before segments grow. A task sends a row a segment and flush, so the
+#: number of segments must not follow the data: it stays from 134 million bits on, up to 17 billion of them.
+LEAST_BITS, MOST_BITS, SEGMENTS = 1 << 18, 1 << 25, 1 << 9
 #: Hashes that a task gathers before it sends them.
 FLUSH = 1 << 18
 

@@ -173,13 +173,65 @@ class Cutter:
                 yield text, h, c, first, many, offset
 
 
+def _shared_runs(contexts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """Of contexts as below: context and place in it of each window, and whether a window of its bucket has the same hash.
+
+    Windows that are alone with their hash are equal to no other, so only the rest need be sorted; which of these are equal
+    is for the sort to say.
+    """
+    octets = np.frombuffer(b"".join(x[4] for x in contexts), np.uint8)
+    sizes, many, bucket = (np.array(x, np.int64) for x in ([len(x[4]) for x in contexts], [x[2] for x in contexts], [x[7] for x in contexts]))
+    of, at = np.repeat(np.arange(len(contexts)), many), np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
+    start = np.repeat(sizes.cumsum() - sizes, many) + at
+    keys = _mixed(_content_hashes(octets, start, start + length) + bucket[of].astype(np.uint64) * _MUL)
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    shared = np.zeros(len(keys), bool)
+    shared[order] = np.r_[same, False] | np.r_[False, same]
+    return of, at, shared
+
+
 def _window_owners(contexts: list[tuple], length: int, k: int) -> pd.DataFrame:
     """For contexts (h, c, windows, anchor's offset, bytes, least doc, last doc, bucket): runs of windows and least docs.
 
-    The anchor, which all windows of a bucket share, stands as one byte that UTF-8 never has.
+    What is sorted are the runs of windows that may have an equal, each different one of a bucket once. The anchor, which all
+    windows of a bucket share, stands as one byte that UTF-8 never has.
     """
+    low, high = (np.array([x[i] for x in contexts], np.int64) for i in (5, 6))
+    of, at, shared = _shared_runs(contexts, length)
+    m = low[of]
+    if shared.any():
+        chosen = np.flatnonzero(shared)
+        edge = np.flatnonzero(np.r_[True, (np.diff(chosen) != 1) | (of[chosen[1:]] != of[chosen[:-1]])])
+        many = np.diff(np.r_[edge, len(chosen)])
+        parts: dict[tuple[int, bytes], int] = {}
+        which, sorted_runs = [], []
+        for c, a, n in zip(of[chosen[edge]].tolist(), at[chosen[edge]].tolist(), many.tolist()):
+            x = contexts[c]
+            part = x[4][a : a + n + length - 1]
+            place = parts.setdefault((x[7], part), len(parts))
+            if place == len(sorted_runs):
+                sorted_runs.append((n, x[3] - a, part, x[5], x[7]))
+            elif x[5] < sorted_runs[place][3]:
+                sorted_runs[place] = (*sorted_runs[place][:3], x[5], x[7])
+            which.append(place)
+        least, first = _least_of_equals(sorted_runs, length, k)
+        m[chosen] = least[np.repeat(first[which], many) + np.arange(len(chosen)) - np.repeat(edge, many)]
+    edge = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (of[1:] != of[:-1])])
+    last = np.r_[edge[1:], len(m)] - 1
+    use = m[edge] < high[of[edge]]
+    edge, last = edge[use], last[use]
+    c = of[edge]
+    return pd.DataFrame({
+        "h": np.array([x[0] for x in contexts], np.int64)[c], "c": np.array([x[1] for x in contexts], np.int64)[c],
+        "a": at[edge].astype(np.int32), "b": at[last].astype(np.int32), "m": m[edge],
+    })
+
+
+def _least_of_equals(runs: list[tuple], length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For runs (windows, anchor's offset, bytes, least doc, bucket): the least doc of each window's equals, and each run's first window."""
     text, stops, width = bytearray(b"\0"), [0], length - k + 1
-    for _, _, _, offset, part, *_ in contexts:
+    for _, offset, part, *_ in runs:
         text += part[:offset]
         text += b"\xff"
         text += part[offset + k :]
@@ -187,34 +239,26 @@ def _window_owners(contexts: list[tuple], length: int, k: int) -> pd.DataFrame:
         stops.append(len(text) - 1)
     order = np.array(suffix_order(bytes(text), stops), np.int64)
     octets, starts = np.frombuffer(bytes(text), np.uint8), np.array(stops[:-1], np.int64) + 1
-    many = np.array([x[2] for x in contexts], np.int64)
-    owner = np.full(len(octets), -1, np.int64)  # context of each window start
-    windows = np.repeat(starts - np.r_[0, many.cumsum()[:-1]], many) + np.arange(many.sum())
-    owner[windows] = np.repeat(np.arange(len(contexts)), many)
+    many = np.array([x[0] for x in runs], np.int64)
+    owner = np.full(len(octets), -1, np.int64)  # run of each window start
+    first = many.cumsum() - many
+    windows = np.repeat(starts - first, many) + np.arange(many.sum())
+    owner[windows] = np.repeat(np.arange(len(runs)), many)
     order = order[owner[order] >= 0]
     new = np.zeros(len(order), bool)
     new[0] = True
     for j in range(width):
         seen = octets[order + j]
         new[1:] |= seen[1:] != seen[:-1]
-    bucket = np.array([x[7] for x in contexts], np.int64)[owner[order]]
+    bucket = np.array([x[4] for x in runs], np.int64)[owner[order]]
     key = new.cumsum() * (bucket.max() + 1) + bucket
-    least = np.array([x[5] for x in contexts], np.int64)
+    least = np.array([x[3] for x in runs], np.int64)
     by = np.argsort(key, kind="stable")
     edge = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
     low = np.minimum.reduceat(least[owner[order]][by], edge)
     at = np.empty(len(octets), np.int64)
     at[order[by]] = np.repeat(low, np.diff(np.r_[edge, len(by)]))
-    m, c = at[windows], owner[windows]
-    edge = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (c[1:] != c[:-1])])
-    last = np.r_[edge[1:], len(m)] - 1
-    c, m = c[edge], m[edge]
-    use = m < np.array([x[6] for x in contexts], np.int64)[c]
-    c = c[use]
-    return pd.DataFrame({
-        "h": np.array([x[0] for x in contexts], np.int64)[c], "c": np.array([x[1] for x in contexts], np.int64)[c],
-        "a": (windows[edge][use] - starts[c]).astype(np.int32), "b": (windows[last][use] - starts[c]).astype(np.int32), "m": m[use],
-    })
+    return at[windows], first
 
 
 def _same(a: bytes, b: bytes) -> None:
