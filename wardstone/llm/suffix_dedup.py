@@ -35,8 +35,11 @@ FILTER_BYTES, MOST_PASSES = 2 * MAX_BYTES, 8
 CROWD, MOST_CROWDED = 1000, 1 << 20
 #: Crowds are found on one document of so many, by a hash of its id; this steers where windows go, never what is found.
 CROWD_SHARE = 8
-#: Bytes of a text that are hashed at a time, contexts that a task merges before it sends them, bytes sorted together.
-CHUNK, MERGED, BLOCK = 1 << 16, 1 << 15, 1 << 13
+#: Bytes of a text that are hashed at a time, contexts that a task merges before it sends them, bytes of contexts whose windows
+#: are sorted together, which are a third of them or less as a rule.
+CHUNK, MERGED, BLOCK = 1 << 16, 1 << 15, 1 << 15
+#: Rows that the sorter gathers before it merges and groups them.
+GATHERED = 10_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -97,9 +100,9 @@ def _runs(octets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
     return (least & np.uint64(0xFFFFF)).astype(np.int64), hashes
 
 
-def anchors_of(raws: list[bytes], length: int = LENGTH, k: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+def anchors_of(raws: list[bytes], length: int = LENGTH, k: int = ANCHOR, content: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of windows with the same anchor, as arrays: text (its place in ``raws``), first window, windows, place and hash of
-    the anchor, hash of the run's bytes. Short texts are hashed together, long ones CHUNK windows at a time.
+    the anchor, and with ``content`` hash of the run's bytes. Short texts are hashed together, long ones CHUNK windows at a time.
     """
     pieces: list[tuple[int, int, bytes]] = []  # text, first window, bytes
     held = 0
@@ -120,7 +123,8 @@ def anchors_of(raws: list[bytes], length: int = LENGTH, k: int = ANCHOR) -> Iter
         first, many, which = first[own], many[own], which[own]
         text, base = (np.array([x[i] for x in pieces], np.int64)[which] for i in (0, 1))
         at = place[first]
-        return text, first - starts[which] + base, many, at - starts[which] + base, hashes[at], _content_hashes(octets, first, first + many + length - 1)
+        out = text, first - starts[which] + base, many, at - starts[which] + base, hashes[at]
+        return (*out, _content_hashes(octets, first, first + many + length - 1)) if content else out
 
     for i, raw in enumerate(raws):
         for at in range(0, max(0, len(raw) - length + 1), CHUNK):
@@ -271,54 +275,78 @@ def _sorter(length: int, k: int, block: int = BLOCK):
     """Rows sorted by h, a bucket's rows all in one partition: the owners of the windows of each different context."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        contexts, size, bucket, at, plain = [], 0, {}, None, []
+        held, rows, least, contexts, size = [], 0, GATHERED, [], 0
 
-        def close() -> None:
-            nonlocal size
-            by_anchor: dict[bytes, list[tuple]] = {}  # anchors of one hash are apart if their bytes are
-            for x in bucket.values():
-                by_anchor.setdefault(x[4][x[3] : x[3] + k], []).append(x)
-            for own in by_anchor.values():
-                if len({x[5] for x in own} | {x[6] for x in own}) < 2:
-                    continue  # one document only
-                if len(own) == 1:
-                    (x,) = own
-                    plain.append((x[0], x[1], 0, x[2] - 1, x[5]))
-                    continue
-                number = len(contexts)
-                for x in own:
-                    contexts.append((*x, number))
-                    size += len(x[4])
-
-        def out() -> Iterator[pd.DataFrame]:
+        def merged(last: bool) -> tuple[np.ndarray, ...]:
+            """Columns of the gathered rows, each context once; but for the last time, the last bucket's stay."""
+            h, c, n, p, part, low, high = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((c, h))
+            edge = np.flatnonzero(np.r_[True, (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)])
+            one = order[edge]
+            first = np.repeat(one, np.diff(np.r_[edge, len(order)]))
+            for i in np.flatnonzero(first != order).tolist():
+                _same(part[first[i]], part[order[i]])
+            low, high = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge)
+            out = h[one], c[one], n[one], p[one], part[one], low, high
+            if last:
+                return out
+            cut = int(np.searchsorted(out[0], out[0][-1]))
+            held.append(tuple(x[cut:] for x in out))
+            return tuple(x[:cut] for x in out)
+
+        def owners(last: bool) -> Iterator[pd.DataFrame]:
             nonlocal size
-            if contexts:
-                yield _window_owners(contexts, length, k)
-            if plain:
-                yield pd.DataFrame(plain, columns=["h", "c", "a", "b", "m"]).astype({"a": "int32", "b": "int32"})
-            contexts.clear()
-            plain.clear()
-            size = 0
+            h, c, n, p, part, low, high = merged(last)
+            if not len(h):
+                return
+            start = np.flatnonzero(np.r_[True, np.diff(h) != 0])
+            many = np.diff(np.r_[start, len(h)])
+            met = np.minimum.reduceat(low, start) < np.maximum.reduceat(high, start)  # else one document only
+            alone = start[met & (many == 1)]
+            if len(alone):
+                yield _whole(h[alone], c[alone], n[alone], low[alone])
+            left = met & (many > 1)
+            for a, b in zip(start[left].tolist(), (start + many)[left].tolist()):
+                by_anchor: dict[bytes, list[tuple]] = {}  # anchors of one hash are apart if their bytes are
+                for x in zip(*(y[a:b].tolist() for y in (h, c, n, p, part, low, high))):
+                    by_anchor.setdefault(x[4][x[3] : x[3] + k], []).append(x)
+                for own in by_anchor.values():
+                    if min(x[5] for x in own) == max(x[6] for x in own):
+                        continue  # one document only
+                    if len(own) == 1:
+                        (x,) = own
+                        yield _whole(*(np.array([x[i]], np.int64) for i in (0, 1, 2, 5)))
+                        continue
+                    number = len(contexts)
+                    for x in own:
+                        contexts.append((*x, number))
+                        size += len(x[4])
+                if size >= block:
+                    yield _window_owners(contexts, length, k)
+                    contexts.clear()
+                    size = 0
 
         for frame in frames:
-            for row in zip(*(frame[x].tolist() for x in ("h", "c", "n", "p", "part", "low", "high"))):
-                if row[0] != at:
-                    close()
-                    if size >= block or len(plain) >= 10_000:
-                        yield from out()
-                    bucket, at = {}, row[0]
-                old = bucket.get(row[1])
-                if old is None:
-                    bucket[row[1]] = row
-                else:
-                    _same(old[4], row[4])
-                    bucket[row[1]] = (*old[:5], min(old[5], row[5]), max(old[6], row[6]))
-        close()
-        yield from out()
+            held.append(tuple(frame[x].to_numpy() for x in ("h", "c", "n", "p", "part", "low", "high")))
+            rows += len(frame)
+            if rows >= least:
+                yield from owners(False)
+                rows = len(held[0][0])
+                least = max(GATHERED, 2 * rows)
+        if held:
+            yield from owners(True)
+        if contexts:
+            yield _window_owners(contexts, length, k)
 
     return run
 
 
+def _whole(h: np.ndarray, c: np.ndarray, n: np.ndarray, low: np.ndarray) -> pd.DataFrame:
+    """Contexts that are the only ones of their anchors: all their windows are their least documents'."""
+    return pd.DataFrame({"h": h, "c": c, "a": np.zeros(len(h), np.int32), "b": (n - 1).astype(np.int32), "m": low})
+
+
 class Copies:
     """Which rows are surely copies of a text with a smaller id: their mark repeats, and their id is no first one's."""
 
@@ -344,7 +372,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, filter
 
     def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for frame in copies.left(frames) if copies else frames:
-            for text, _, _, _, h, _ in anchors_of([_raw(t) for t in frame["t"]], length, k):
+            for text, _, _, _, h in anchors_of([_raw(t) for t in frame["t"]], length, k, content=False):
                 order = np.lexsort((h, text))  # once for each text (a long text's parts count on their own)
                 h, text = h[order], text[order]
                 yield h[np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]].view(np.int64)
