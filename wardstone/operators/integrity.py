@@ -134,16 +134,38 @@ def referred(parents: list[tuple[int, DataFrame, tuple[str, ...]]]) -> DataFrame
     return union_all(each).distinct()
 
 
-def foreign_violations(tables, rule: str, foreign: tuple = FOREIGN) -> DataFrame:
-    """Rows that refer to none: all tables' references, which are no nulls, meet all parents in one anti-join."""
+#: Most parents, of all small tables together, that are broadcast, and among how many numbers what refers to them in vain is dealt.
+FEW_PARENTS, DEALT = 100_000, 1024
+
+
+def foreign_violations(tables, rule: str, foreign: tuple = FOREIGN, few: int = FEW_PARENTS) -> DataFrame:
+    """Rows that refer to none: all tables' references, which are no nulls, meet all parents in two anti-joins.
+
+    Tables of few rows, which many references share, are broadcast, so that no reference to them moves. What refers to them in
+    vain moves with a number of its own, as one missing parent may be many rows'.
+    """
     edges = [f for f in foreign if f[0] == rule]
     targets = list(dict.fromkeys((f[4], f[5]) for f in edges))
     found = []
     for table, key in dict.fromkeys((f[1], f[2]) for f in edges):
         own = [(0, targets.index((f[4], f[5])), f[3]) for f in edges if f[1] == table]
         found.append(references(getattr(tables, table), key, own).withColumn("table_name", F.lit(table)))
-    parents = referred([(i, getattr(tables, t), columns) for i, (t, columns) in enumerate(targets)])
-    return union_all(found).join(parents, ["target", "parts"], "left_anti").select(F.lit(rule).alias("rule"), "table_name", "row_key")
+    parents = [(i, getattr(tables, t), columns) for i, (t, columns) in enumerate(targets)]
+    counts = union_all([df.select(F.lit(i).alias("target")) for i, df, _ in parents]).groupBy("target").count().collect()  # a row a table
+    sizes = {i: 0 for i, *_ in parents} | {r["target"]: r["count"] for r in counts}
+    small, room = [], few
+    for i in sorted(sizes, key=sizes.get):
+        room -= sizes[i]
+        if room >= 0:
+            small.append(i)
+    rows = union_all(found)
+    if small:
+        rows = rows.join(F.broadcast(referred([x for x in parents if x[0] in small])), ["target", "parts"], "left_anti")
+    if len(small) < len(parents):
+        dealt = F.when(F.col("target").isin(small), 1 + F.pmod(F.xxhash64("row_key"), F.lit(DEALT))).otherwise(0).alias("__dealt")
+        large = referred([x for x in parents if x[0] not in small]).withColumn("__dealt", F.lit(0).cast("long"))
+        rows = rows.select("*", dealt).join(large, ["target", "parts", "__dealt"], "left_anti")
+    return rows.select(F.lit(rule).alias("rule"), "table_name", "row_key")
 
 
 def violations(tables, rule: str) -> DataFrame:
