@@ -27,6 +27,8 @@ class PieceTable:
             h = np.zeros(1, np.uint64)
             for c in piece:
                 h = self.more(h, np.array([ord(c)], np.uint64))
+            if not h[0]:
+                raise ValueError("a piece has the hash of an empty place")
             at = int(self.place(h)[0])
             while self.values[at] >= 0:
                 if self.keys[at] == h[0]:
@@ -44,14 +46,18 @@ class PieceTable:
     def ids(self, h: np.ndarray) -> np.ndarray:
         """The piece of each hash, or -1."""
         at = self.place(h)
-        out = np.where(self.keys[at] == h, self.values[at], -1)
-        open_ = (self.keys[at] != h) & (self.values[at] >= 0)
-        while open_.any():
+        key = self.keys[at]
+        out = np.where(key == h, self.values[at], -1)
+        open_ = np.flatnonzero((key != h) & (key != 0))  # few: another piece's place
+        at, h, flat = at.ravel()[open_], h.ravel()[open_], out.ravel()
+        while len(open_):
             at = (at + 1) & ((1 << self.bits) - 1)
-            hit = open_ & (self.keys[at] == h)
-            out[hit] = self.values[at][hit]
-            open_ &= (self.keys[at] != h) & (self.values[at] >= 0)
-        return np.where(out >= 0, out, -1)
+            key = self.keys[at]
+            hit = key == h
+            flat[open_[hit]] = self.values[at[hit]]
+            go = ~hit & (key != 0)
+            open_, at, h = open_[go], at[go], h[go]
+        return flat.reshape(out.shape)
 
 
 @lru_cache(maxsize=2)

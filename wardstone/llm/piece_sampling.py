@@ -26,7 +26,7 @@ from .lattice_batch import Batch, by_length, piece_table
 #: Seed of all draws, and sharpness: a segmentation's weight is raised to this power.
 SEED, SHARPNESS = 17, 0.5
 #: Characters of texts that are handled together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 20
 #: Words of more characters go one by one.
 LONG = 256
 
@@ -43,6 +43,9 @@ class Sampler:
         """
         size, n = self.vocabulary.size, batch.n
         shares = [None, *(batch.shares(j) for j in range(1, n + 1))]
+        edges = np.full((len(batch.ids), *batch.codes.shape), -1, np.int64)
+        for k, ids in enumerate(batch.ids):
+            edges[k, :, : ids.shape[1]] = ids
         place, count = np.full(len(words), n), np.zeros(len(words), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for j in range(n, 0, -1):
@@ -52,12 +55,10 @@ class Sampler:
             row, share = words[here], shares[j]
             pick = (share[row] <= (draws[at[here] + count[here]] * share[row, -1])[:, None]).sum(axis=1)
             pick = np.minimum(pick, share.shape[1] - 1)
-            start, ids = j - 1 - pick, np.empty(len(here), np.int64)
-            for k in range(share.shape[1]):
-                own = pick == k
-                if own.any():
-                    got = batch.ids[k][row[own], j - 1 - k]
-                    ids[own] = np.where(got >= 0, got, size + batch.codes[row[own], j - 1 - k].astype(np.int64)) if k == 0 else got
+            start = j - 1 - pick
+            ids = edges[pick, row, start]
+            bare = np.flatnonzero(ids < 0)  # always of one character: any longer edge is a piece
+            ids[bare] = size + batch.codes[row[bare], start[bare]].astype(np.int64)
             found.append((here, count[here], ids))
             place[here] = start
             count[here] += 1
