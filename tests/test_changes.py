@@ -121,6 +121,20 @@ def test_a_log_replayed_with_a_time_to_live(spark):
     assert "Python" not in plan_of(got) and "MapInPandas" not in plan_of(got) and "SinglePartition" not in plan_of(got)
 
 
+def test_a_log_whose_keys_ask_once_moves_little(spark):
+    """Only keys of several requests take part in the rounds, and no table holds a key's text."""
+    log = spark.range(3000).select(
+        F.col("id").alias("request_id"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("workspace_id"), F.lit(1).alias("principal_id"), F.lit("r").alias("route_code"),
+        F.when(F.col("id") < 20, "same").otherwise(F.concat(F.lit("k"), "id")).alias("key_hash"), F.when(F.col("id") != 2000, "h").alias("request_hash"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("requested_at"),
+    )
+    got = lifecycle.replayed_log_ttl(log, 5)
+    want = {i: "InProgress" if i < 20 and i % 3 == 0 and i not in (0, 6, 12, 18) else "Acquired" for i in range(3000)}
+    assert dict(got.collect()) == want and got.count() == 3000
+    read = spark.read.parquet(*(f for f in got.inputFiles() if "/requests-" in f))
+    assert read.count() == 7 and not {"digest", "key_hash"} & set(read.columns)
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_numbers_and_rows_before_over_ranges(spark, keys):
     rng = random.Random(1)

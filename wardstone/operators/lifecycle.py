@@ -77,13 +77,19 @@ def replayed_log_ttl(log: DataFrame, ttl_seconds: int) -> DataFrame:
     A key is held by its first request's hash, and only requests of that hash renew it. Each such instant points to the
     first one more than the time to live later; those that can be reached from the first are acquired. Pointers double, so a
     key's renewals take rounds in the logarithm of how many fit in its span. Each look ahead stays within a key's stretch of
-    the time to live, and instants are pre-aggregated, so a hot key's work splits by time.
+    the time to live, and instants are pre-aggregated, so a hot key's work splits by time. Only keys of several requests go
+    this way, each under a number in place of its text.
     """
     micros = F.unix_micros(F.col("requested_at").cast("timestamp"))
-    slim = stored(log.select(key_of().alias("key"), micros.alias("at"), "request_id", "request_hash"), "requests")
-    held = slim.groupBy("key").agg(F.min(F.struct("at", "request_id", "request_hash")).alias("f")).select("key", F.col("f.at").alias("at0"), F.col("f.request_id").alias("id0"), F.col("f.request_hash").alias("held"))
-    held = stored(held, "held")
-    rows = stored(slim.join(held, "key").withColumn("matches", F.col("request_hash") == F.col("held")), "requests")
+    digest = F.unhex(F.sha2(key_of(), 256))
+    slim = stored(log.select(digest.alias("digest"), micros.alias("at"), "request_id", "request_hash"), "requests")
+    firsts = slim.groupBy("digest").agg(F.min(F.struct("at", "request_id", "request_hash")).alias("f"), (F.count("*") > 1).alias("again"))
+    again = lambda c: F.when(F.col("again"), c)  # noqa: E731  a key's only request is acquired: its id is all that is written
+    firsts = firsts.select("again", F.col("f.request_id").alias("id0"), *(again(F.col(c)).alias(to) for c, to in (("digest", "digest"), ("f.at", "at0"), ("f.request_hash", "held"))))
+    firsts = stored(firsts.withColumn("key", again(F.monotonically_increasing_id())), "held")
+    once, held = firsts.where("not again").select(F.col("id0").alias("request_id"), F.lit("Acquired").alias("outcome")), firsts.where("again")
+    rows = slim.join(held.select("digest", "key", "at0", "held"), "digest").withColumn("matches", F.col("request_hash") == F.col("held"))
+    rows = stored(rows.select("key", "at", "at0", "request_id", "matches"), "requests")
     ttl = ttl_seconds * 1_000_000
     # instants at which the key's own hash asks: the least request of an instant may renew
     each = rows.where("matches").groupBy("key", "at").agg(F.min("at0").alias("at0"))
@@ -109,7 +115,7 @@ def replayed_log_ttl(log: DataFrame, ttl_seconds: int) -> DataFrame:
     least = rows.where("matches").groupBy("key", "at").agg(F.min("request_id").alias("request_id"))
     acquired = least.join(got, ["key", "at"], "left_semi").select(F.col("request_id").alias("__id"), F.lit(True).alias("__got"))
     out = rows.join(acquired, F.col("request_id") == F.col("__id"), "left")
-    return out.select("request_id", F.when(F.col("__got"), "Acquired").when(F.col("matches"), "InProgress").otherwise("Mismatch").alias("outcome"))
+    return once.unionByName(out.select("request_id", F.when(F.col("__got"), "Acquired").when(F.col("matches"), "InProgress").otherwise("Mismatch").alias("outcome")))
 
 
 # --- sessions ---------------------------------------------------------------------------------------------------------
