@@ -42,23 +42,19 @@ class Sampler:
         A character that its bytes spell stands as its code point above the vocabulary's ids.
         """
         size, n = self.vocabulary.size, batch.n
-        shares = [None, *(batch.shares(j) for j in range(1, n + 1))]
-        edges = np.full((len(batch.ids), *batch.codes.shape), -1, np.int64)
-        for k, ids in enumerate(batch.ids):
-            edges[k, :, : ids.shape[1]] = ids
         place, count = np.full(len(words), n), np.zeros(len(words), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for j in range(n, 0, -1):
             here = np.flatnonzero(place == j)
             if not len(here):
                 continue
-            row, share = words[here], shares[j]
+            row, share = words[here], batch.shares(j)
             pick = (share[row] <= (draws[at[here] + count[here]] * share[row, -1])[:, None]).sum(axis=1)
             pick = np.minimum(pick, share.shape[1] - 1)
             start = j - 1 - pick
-            ids = edges[pick, row, start]
+            ids = batch.ids[pick, start, row].astype(np.int64)
             bare = np.flatnonzero(ids < 0)  # always of one character: any longer edge is a piece
-            ids[bare] = size + batch.codes[row[bare], start[bare]].astype(np.int64)
+            ids[bare] = size + batch.codes[start[bare], row[bare]].astype(np.int64)
             found.append((here, count[here], ids))
             place[here] = start
             count[here] += 1
