@@ -61,11 +61,16 @@ def _placed(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) & np.uint64(segments - 1)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _bits(keys: np.ndarray, size: int) -> np.ndarray:
-    """PROBES bit numbers under ``size`` of each key, one row a probe."""
+def _bit(keys: np.ndarray, size: int, probe: int) -> np.ndarray:
+    """A bit number under ``size`` of each key."""
     a = keys.astype(np.uint64)
     b = (a * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(29)
-    return np.stack([((a + np.uint64(i) * b) ^ (b >> np.uint64(7))) % np.uint64(size) for i in range(PROBES)]).astype(np.int64)
+    return (((a + np.uint64(probe) * b) ^ (b >> np.uint64(7))) % np.uint64(size)).astype(np.int64)
+
+
+def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """PROBES bit numbers under ``size`` of each key, one row a probe."""
+    return np.stack([_bit(keys, size, i) for i in range(PROBES)])
 
 
 def sent(batches: Iterable[np.ndarray], where: Layout, all_twice: bool = False) -> Iterator[pd.DataFrame]:
@@ -136,10 +141,13 @@ class RepeatFilter:
     def suspects(self, hashes: np.ndarray) -> np.ndarray:
         segment, keys = _placed(hashes, self.segments)
         bits, whole = self.held.value, self.high - self.low == self.segments
-        own = segment if whole else np.clip(segment - self.low, 0, self.high - self.low - 1)
-        at = own * self.size + _bits(keys, self.size)
-        out = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-        return out if whole else out & (segment >= self.low) & (segment < self.high)
+        left = np.arange(len(keys)) if whole else np.flatnonzero((segment >= self.low) & (segment < self.high))
+        for i in range(PROBES):  # most that do not repeat miss at the first bits: the next are looked up for the rest only
+            at = (segment[left] - self.low) * self.size + _bit(keys[left], self.size, i)
+            left = left[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 != 0]
+        out = np.zeros(len(keys), bool)
+        out[left] = True
+        return out
 
     def holds(self, column: Column) -> Column:
         """Whether the hash in a long column is suspected; a null is not."""

@@ -67,6 +67,11 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         _STANDING.remove(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let the shuffle files of what has been stored go: Spark deletes them once the driver's garbage is collected, which may be late."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, to be read in bounded batches."""
     bounded_batches(spark)

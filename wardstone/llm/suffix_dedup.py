@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import MAX_BYTES, SENT_SCHEMA, RepeatFilter, column_filter, layout, repeat_filters, sent
-from .common import released, stored, text_of
+from .common import released, stored, swept, text_of
 from .suffix_sort import suffix_order
 
 #: Bytes of a repeated string, and of an anchor in it.
@@ -77,13 +77,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MUL)
-_BYTE_TOO = _mixed(_BYTE ^ _MUL)
 
 
-def _content_hashes(octets: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray = _BYTE) -> np.ndarray:
-    """A 64-bit hash of the bytes from each start to each end, wherever they stand; ``of``: a number for each byte."""
+def _content_hashes(octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to each end, wherever they stand."""
     power, inverse = _powers(1 << max(len(octets) - 1, 1).bit_length())
-    sums = np.r_[np.uint64(0), np.cumsum(of[octets] * power[: len(octets)], dtype=np.uint64)]
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[octets] * power[: len(octets)], dtype=np.uint64)]
     return _mixed((sums[end] - sums[start]) * inverse[start])
 
 
@@ -100,9 +99,10 @@ def _runs(octets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
     return (least & np.uint64(0xFFFFF)).astype(np.int64), hashes
 
 
-def anchors_of(raws: list[bytes], length: int = LENGTH, k: int = ANCHOR, content: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with the same anchor, as arrays: text (its place in ``raws``), first window, windows, place and hash of
-    the anchor, and with ``content`` hash of the run's bytes. Short texts are hashed together, long ones CHUNK windows at a time.
+def _anchors_in(raws: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows with the same anchor: bytes that were hashed together, the hashes of their strings of ``k`` bytes, and as
+    arrays each run's start in them, text (its place in ``raws``), first window, windows, place and hash of the anchor. Short
+    texts are hashed together, long ones CHUNK windows at a time.
     """
     pieces: list[tuple[int, int, bytes]] = []  # text, first window, bytes
     held = 0
@@ -123,8 +123,7 @@ def anchors_of(raws: list[bytes], length: int = LENGTH, k: int = ANCHOR, content
         first, many, which = first[own], many[own], which[own]
         text, base = (np.array([x[i] for x in pieces], np.int64)[which] for i in (0, 1))
         at = place[first]
-        out = text, first - starts[which] + base, many, at - starts[which] + base, hashes[at]
-        return (*out, _content_hashes(octets, first, first + many + length - 1)) if content else out
+        return octets, hashes, first, text, first - starts[which] + base, many, at - starts[which] + base, hashes[at]
 
     for i, raw in enumerate(raws):
         for at in range(0, max(0, len(raw) - length + 1), CHUNK):
@@ -138,6 +137,12 @@ def anchors_of(raws: list[bytes], length: int = LENGTH, k: int = ANCHOR, content
         yield found()
 
 
+def anchors_of(raws: list[bytes], length: int = LENGTH, k: int = ANCHOR, content: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each run: text, first window, windows, place and hash of the anchor, and with ``content`` hash of the run's bytes."""
+    for octets, _, start, *run in _anchors_in(raws, length, k):
+        yield (*run, _content_hashes(octets, start, start + run[2] + length - 1)) if content else tuple(run)
+
+
 def anchors(raw: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Of one text: first window, windows, place and hash of the anchor, hash of the run's bytes."""
     got = [x[1:] for x in anchors_of([raw], length, k)]
@@ -154,25 +159,28 @@ class Cutter:
     def __init__(self, suspects: RepeatFilter | None, crowded: np.ndarray, length: int, k: int):
         self.suspects, self.crowded, self.length, self.k = suspects, crowded, length, k
 
+    def _full(self, h: np.ndarray) -> np.ndarray:
+        """Which anchors are crowded; ``crowded`` is sorted, and may have many more than ``h``."""
+        if not len(self.crowded):
+            return np.zeros(len(h), bool)
+        return self.crowded[np.minimum(np.searchsorted(self.crowded, h), len(self.crowded) - 1)] == h
+
     def __call__(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-        for text, first, many, place, hashes, content in anchors_of(raws, self.length, self.k):
+        for octets, grams, start, text, first, many, place, hashes in _anchors_in(raws, self.length, self.k):
+            h, offset = hashes.view(np.int64), place - first
             if self.suspects:
-                keep = self.suspects.suspects(hashes.view(np.int64))
-                text, first, many, place, hashes, content = (x[keep] for x in (text, first, many, place, hashes, content))
-            h, c, offset = hashes.view(np.int64), content.view(np.int64), place - first
-            full = np.isin(h, self.crowded) if len(self.crowded) else np.zeros(len(h), bool)
+                keep = self.suspects.suspects(h)
+                start, text, h, first, many, offset = (x[keep] for x in (start, text, h, first, many, offset))
+            full = self._full(h)
             if full.any():  # window by window: each is a context of its own, filed under its own bytes
-                parts = [x[~full] for x in (text, h, c, first, many, offset)]
-                for i in np.unique(text[full]):
-                    mine = full & (text == i)
-                    n = many[mine]
-                    window = np.repeat(first[mine] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())
-                    low, high = int(window.min()), int(window.max()) + self.length
-                    octets, start = np.frombuffer(raws[i], np.uint8, high - low, low), window - low
-                    own, too = (_content_hashes(octets, start, start + self.length, of) for of in (_BYTE, _BYTE_TOO))
-                    more = (np.full(len(window), i), too.view(np.int64), own.view(np.int64), window, np.ones(len(window), np.int64), np.repeat(place[mine], n) - window)
-                    parts = [np.r_[x, y] for x, y in zip(parts, more)]
-                text, h, c, first, many, offset = parts
+                n, last = many[full], self.length - self.k
+                of, step = np.repeat(np.flatnonzero(full), n), np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+                window, own = start[of] + step, np.zeros(len(of), np.uint64)
+                for i in (*range(0, last, self.k), last):
+                    own = _mixed(own * _MUL + grams[window + i])
+                more = window, text[of], own.view(np.int64), first[of] + step, np.ones(len(of), np.int64), offset[of] - step
+                start, text, h, first, many, offset = (np.concatenate((x[~full], y)) for x, y in zip((start, text, h, first, many, offset), more))
+            c = _content_hashes(octets, start, start + many + self.length - 1).view(np.int64)
             if len(h):
                 yield text, h, c, first, many, offset
 
@@ -198,8 +206,9 @@ def _shared_runs(contexts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
 def _window_owners(contexts: list[tuple], length: int, k: int) -> pd.DataFrame:
     """For contexts (h, c, windows, anchor's offset, bytes, least doc, last doc, bucket): runs of windows and least docs.
 
-    What is sorted are the runs of windows that may have an equal, each different one of a bucket once. The anchor, which all
-    windows of a bucket share, stands as one byte that UTF-8 never has.
+    What is sorted are the runs of windows that may have an equal, each different one of a bucket once, and none that is the
+    only one of its bucket: its windows differ in their anchor's offset. The anchor, which all windows of a bucket share, stands
+    as one byte that UTF-8 never has.
     """
     low, high = (np.array([x[i] for x in contexts], np.int64) for i in (5, 6))
     of, at, shared = _shared_runs(contexts, length)
@@ -219,7 +228,10 @@ def _window_owners(contexts: list[tuple], length: int, k: int) -> pd.DataFrame:
             elif x[5] < sorted_runs[place][3]:
                 sorted_runs[place] = (*sorted_runs[place][:3], x[5], x[7])
             which.append(place)
-        least, first = _least_of_equals(sorted_runs, length, k)
+        size, owner, home = (np.array([x[i] for x in sorted_runs], np.int64) for i in (0, 3, 4))
+        least, first, several = np.repeat(owner, size), size.cumsum() - size, np.bincount(home)[home] > 1
+        if several.any():
+            least[np.repeat(several, size)] = _least_of_equals([x for x, own in zip(sorted_runs, several.tolist()) if own], length, k)
         m[chosen] = least[np.repeat(first[which], many) + np.arange(len(chosen)) - np.repeat(edge, many)]
     edge = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (of[1:] != of[:-1])])
     last = np.r_[edge[1:], len(m)] - 1
@@ -232,8 +244,8 @@ def _window_owners(contexts: list[tuple], length: int, k: int) -> pd.DataFrame:
     })
 
 
-def _least_of_equals(runs: list[tuple], length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For runs (windows, anchor's offset, bytes, least doc, bucket): the least doc of each window's equals, and each run's first window."""
+def _least_of_equals(runs: list[tuple], length: int, k: int) -> np.ndarray:
+    """For runs (windows, anchor's offset, bytes, least doc, bucket): the least doc of each window's equals."""
     text, stops, width = bytearray(b"\0"), [0], length - k + 1
     for _, offset, part, *_ in runs:
         text += part[:offset]
@@ -262,10 +274,10 @@ def _least_of_equals(runs: list[tuple], length: int, k: int) -> tuple[np.ndarray
     low = np.minimum.reduceat(least[owner[order]][by], edge)
     at = np.empty(len(octets), np.int64)
     at[order[by]] = np.repeat(low, np.diff(np.r_[edge, len(by)]))
-    return at[windows], first
+    return at[windows]
 
 
-def _same(a: bytes, b: bytes) -> None:
+def _same(a: list[bytes], b: list[bytes]) -> None:
     """Equal hashes stand for equal bytes from here on; all contexts of one hash meet here, so that none goes unseen."""
     if a != b:
         raise ValueError("two contexts of one anchor have the same 64-bit hash: run with another length of anchors")
@@ -285,8 +297,8 @@ def _sorter(length: int, k: int, block: int = BLOCK):
             edge = np.flatnonzero(np.r_[True, (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)])
             one = order[edge]
             first = np.repeat(one, np.diff(np.r_[edge, len(order)]))
-            for i in np.flatnonzero(first != order).tolist():
-                _same(part[first[i]], part[order[i]])
+            more = first != order
+            _same(part[first[more]].tolist(), part[order[more]].tolist())
             low, high = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge)
             out = h[one], c[one], n[one], p[one], part[one], low, high
             if last:
@@ -307,12 +319,14 @@ def _sorter(length: int, k: int, block: int = BLOCK):
             if len(alone):
                 yield _whole(h[alone], c[alone], n[alone], low[alone])
             left = met & (many > 1)
-            for a, b in zip(start[left].tolist(), (start + many)[left].tolist()):
+            rows = list(zip(*(x[np.repeat(left, many)].tolist() for x in (h, c, n, p, part, low, high))))
+            ends = many[left].cumsum().tolist()
+            for a, b in zip([0, *ends], ends):
                 by_anchor: dict[bytes, list[tuple]] = {}  # anchors of one hash are apart if their bytes are
-                for x in zip(*(y[a:b].tolist() for y in (h, c, n, p, part, low, high))):
+                for x in rows[a:b]:
                     by_anchor.setdefault(x[4][x[3] : x[3] + k], []).append(x)
                 for own in by_anchor.values():
-                    if min(x[5] for x in own) == max(x[6] for x in own):
+                    if len(by_anchor) > 1 and min(x[5] for x in own) == max(x[6] for x in own):
                         continue  # one document only
                     if len(own) == 1:
                         (x,) = own
@@ -422,12 +436,15 @@ def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int
             one = order[edge]
             parts.clear()
             first = np.repeat(one, np.diff(np.r_[edge, len(order)]))
-            for i in np.flatnonzero(first != order).tolist():
-                x, y = first[i], order[i]
-                _same(raws[row[x]][q[x] : q[x] + n[x] + length - 1], raws[row[y]][q[y] : q[y] + n[y] + length - 1])
+            more = first != order
+
+            def cut_out(of: np.ndarray) -> list[bytes]:
+                return [raws[r][a:b] for r, a, b in zip(row[of].tolist(), q[of].tolist(), (q[of] + n[of] + length - 1).tolist())]
+
+            _same(cut_out(first[more]), cut_out(order[more]))
             return pd.DataFrame({
                 "h": h[edge], "c": c[edge], "n": n[one].astype(np.int32), "p": p[one].astype(np.int32),
-                "part": [raws[r][a:b] for r, a, b in zip(row[one].tolist(), q[one].tolist(), (q[one] + n[one] + length - 1).tolist())],
+                "part": cut_out(one),
                 "low": np.minimum.reduceat(doc, edge), "high": np.maximum.reduceat(doc, edge),
             })
 
@@ -446,6 +463,7 @@ def _runs_of(docs: DataFrame, suspects: RepeatFilter | None, length: int, k: int
     met = docs.mapInPandas(released(contexts), "h long, c long, n int, p int, part binary, low long, high long")
     met = met.repartition("h").sortWithinPartitions("h")
     owners = stored(met.mapInPandas(released(_sorter(length, k)), "h long, c long, a int, b int, m long"), "owners")
+    swept(docs.sparkSession)  # the contexts, twice the input
 
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, parts, size = Cutter(suspects, held.value, length, k), [], 0
@@ -504,6 +522,7 @@ def suffix_array_dedup(
     known = base.where(key.isNotNull()).select(key.alias("id"), mark.alias("mark"), F.col(text_col).alias("t"))
     runs = removed_spans(known, length, k, filter_bytes, crowd, copies).withColumn("h", F.xxhash64("id"))
     runs = stored(runs.select(F.col("id").alias("__ws_of"), F.col("mark").alias("__ws_text"), F.col("runs").alias("__ws_runs"), "h"), "runs")
+    swept(docs.sparkSession)
     touched = column_filter(runs, "h", runs.count(), filter_bytes, members=True)
 
     @F.pandas_udf("long")
