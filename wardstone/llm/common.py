@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +70,13 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
 
 
 def swept(spark: SparkSession) -> None:
-    """Let the shuffle files of what has been stored go: Spark deletes them once the driver's garbage is collected, which may be late."""
+    """Let the shuffle files of what has been stored go: Spark deletes them once the driver's garbage is collected, which may be late.
+
+    The listeners' queues hold the last event, and with it the plan of a query that has just ended, until the next one comes.
+    """
+    spark.range(1).count()
+    with contextlib.suppress(Py4JError):  # still busy: only less goes
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     spark.sparkContext._jvm.System.gc()
 
 
